@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docuquarry.llm import decontam, line_dedup, mixing, sharding, url_filter
+from docuquarry.llm import decontam, line_dedup, mixing, quality, sharding, toxicity, url_filter
 from docuquarry.llm.runtime import table
 
 #: (verdict, host, path) of the url rules.
@@ -17,6 +17,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -35,8 +39,12 @@ def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules).drop("n_candidates")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op5_benchmark_decontamination, op6_mix_sources, op8_sharding, op9_url_filters)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op5_benchmark_decontamination, op6_mix_sources, op8_sharding, op9_url_filters, op10_toxicity)}
 
 
 _LINES = r"""
