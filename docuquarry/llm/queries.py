@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docuquarry.llm import decontam, line_dedup, mixing, quality, sharding, toxicity, url_filter
+from docuquarry.llm import decontam, line_dedup, mixing, quality, sharding, topk, toxicity, url_filter
 from docuquarry.llm.runtime import table
 
 #: (verdict, host, path) of the url rules.
@@ -21,6 +21,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -44,7 +48,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op5_benchmark_decontamination, op6_mix_sources, op8_sharding, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op5_benchmark_decontamination, op6_mix_sources, op8_sharding, op9_url_filters, op10_toxicity)}
 
 
 _LINES = r"""
@@ -69,5 +73,14 @@ SELECT page_id, host, path, split_part(best, ' ', 1) AS rule,
 FROM b"""
 
 
+_TOP_K = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(v.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op9_url_filters": _URLS}
+    return {"op1_line_dedup": _LINES, "op3_exact_top_k": _TOP_K, "op9_url_filters": _URLS}
