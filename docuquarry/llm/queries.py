@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docuquarry.llm import decontam, line_dedup, mixing, quality, sharding, topk, toxicity, url_filter
+from docuquarry.llm import decontam, line_dedup, lpf, mixing, quality, sharding, topk, toxicity, url_filter
 from docuquarry.llm.runtime import table
 
 #: (verdict, host, path) of the url rules.
@@ -34,6 +34,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lpf.remove_repeats(table(spark, sf_dir, "documents"), min_len=100)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), 40).drop("position")
 
@@ -48,7 +52,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op5_benchmark_decontamination, op6_mix_sources, op8_sharding, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity)}
 
 
 _LINES = r"""
