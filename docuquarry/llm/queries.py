@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docuquarry.llm import decontam, line_dedup, lpf, mixing, quality, sharding, topk, toxicity, url_filter
+from docuquarry.llm import decontam, line_dedup, lpf, minhash, mixing, quality, sharding, topk, toxicity, url_filter
 from docuquarry.llm.runtime import table
 
 #: (verdict, host, path) of the url rules.
@@ -25,6 +25,10 @@ def op3_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -52,7 +56,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity)}
 
 
 _LINES = r"""
