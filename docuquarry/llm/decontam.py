@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.llm import textkit as tk
+from docuquarry.llm.runtime import filter_texts
 
 #: A benchmark of more text than this is refused: its windows are broadcast.
 MAX_BENCHMARK_BYTES = 64 << 20
@@ -89,6 +90,27 @@ def _strip(raw: bytes, start: np.ndarray, end: np.ndarray, hit: np.ndarray) -> b
     return b"".join([*out, raw[at:]])
 
 
+def _shared_windows(docs: DataFrame, benchmark: DataFrame, n: int, item_col: str, text_col: str):
+    """Broadcast windows of a benchmark whose size is checked first."""
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the benchmark has {total} bytes; {MAX_BENCHMARK_BYTES} can be broadcast")
+    return docs.sparkSession.sparkContext.broadcast(_benchmark_windows([tuple(r) for r in bench.collect()], n))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05) -> DataFrame:
+    """The rows of docs, all columns kept, that decontaminate doesn't call contaminated."""
+    shared = _shared_windows(docs, benchmark, n, "item_id", "text")
+
+    def clean(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
+        _, _, doc, _, hit = scan(tk.LOWER[buf], off, shared.value)
+        n_hit = np.bincount(doc[hit], minlength=len(off) - 1)
+        return (n_hit == 0) | (n_hit < share * np.bincount(doc, minlength=len(off) - 1) - 1e-9)
+
+    return filter_texts(docs, "text", clean)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", clean_text: bool = False) -> DataFrame:
     """For each row of docs: n_words, n_hit, n_items, items_sha256, contaminated, and with clean_text the text without hit spans.
 
@@ -98,12 +120,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: flo
     share of its words. Null and empty texts have no words; null items no windows; an empty benchmark
     hits nothing; repeated rows are judged each; other columns are ignored.
     """
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).alias("text")).filter("item IS NOT NULL AND text IS NOT NULL")
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"the benchmark has {total} bytes; {MAX_BENCHMARK_BYTES} can be broadcast")
-    shared = spark.sparkContext.broadcast(_benchmark_windows([tuple(r) for r in bench.collect()], n))
+    shared = _shared_windows(docs, benchmark, n, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
@@ -116,7 +133,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: flo
                 n_hit = np.bincount(doc[hit], minlength=b - a)
                 cols = [
                     batch.column(0).slice(a, b - a), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array((n_hit > 0) & (n_hit >= share * n_words)),
+                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]), pa.array((n_hit > 0) & (n_hit >= share * n_words - 1e-9)),
                 ]
                 names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
                 if clean_text:

@@ -7,8 +7,8 @@ candidates, those whose collision-corrected similarity estimate can't reach the
 and links are confirmed on the full sets. Documents with equal sets are one class from the start.
 
 No bucket's pairs are all made: members are first compared with one pivot of the bucket (another in
-each bucket), and only members that are still in different components afterwards meet each other.
-Buckets with many such members are cut by the other frequent keys that their members share.
+each bucket), and only members that are still in different components afterwards meet each other, in
+blocks of bounded size, where the members whose estimates allow a link are compared on their sets.
 """
 
 from __future__ import annotations
@@ -26,13 +26,15 @@ from docuquarry.llm.runtime import materialize, small_side
 
 REGISTERS, BAND_ROWS, BANDS = 256, 5, 48
 #: Registers, of a byte each, that the similarity estimate compares.
-ESTIMATE = 128
+ESTIMATE = 256
 #: Sets of up to so many shingles also emit the keys of an exact prefix filter.
 SMALL_SET = 22
-#: Members of a bucket, still apart after the pivots, that meet each other; larger buckets are cut first.
-BUCKET = 48
+#: Pivots of a bucket in the second round, for members whose component isn't all of it.
+PIVOTS = 4
+#: Members of a block; larger buckets are dealt out in pairs of blocks.
+BLOCK = 512
 #: Standard errors below the threshold at which an estimate rules a pair out.
-MARGIN = 6.0
+MARGIN = 5.0
 _NO_ID = (1 << 63) - 1
 _rng = np.random.default_rng(4242)
 _FILL = np.stack([_rng.permutation(REGISTERS) for _ in range(24)])
@@ -87,13 +89,8 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
             short = (regs[:, :ESTIMATE] % 255 + 1).astype(np.uint8) * (regs[:, :ESTIMATE] != 0).astype(np.uint8)
             out_keys = []
             for h, k in zip(sets, keys, strict=True):
-                if not len(h):
-                    out_keys.append(k[:0])
-                elif len(h) <= SMALL_SET:
-                    n = len(h) - -(-percent * len(h) // 100) + 1
-                    out_keys.append(np.unique(np.concatenate([k, tk.mix(h[:n], 99).view(np.int64)])))
-                else:
-                    out_keys.append(k)
+                few = len(h) - -(-percent * len(h) // 100) + 1 if 0 < len(h) <= SMALL_SET else 0
+                out_keys.append(np.concatenate([k[: BANDS * bool(len(h))], tk.mix(h[:few], 99).view(np.int64)]))
             sums = [np.array([int(tk.mix(h, salt).sum(dtype=np.uint64)) for h in sets], np.uint64).view(np.int64) for salt in (1, 2)]
             offsets = np.concatenate([[0], np.cumsum([len(k) for k in out_keys])]).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out_keys)))
@@ -103,18 +100,74 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, percent: int) -> Iter
             )
 
 
-def _possible(percent: int):
+def _near(na: np.ndarray, nb: np.ndarray, ra: np.ndarray, rb: np.ndarray, percent: int) -> np.ndarray:
     """Pairs whose sizes and estimate allow the threshold."""
+    sized = 100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)
+    near, err = estimate(ra, rb)
+    return sized & (near >= percent / 100 - MARGIN * err)
+
 
+def _possible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            na, nb = batch.column(2).to_numpy(), batch.column(3).to_numpy()
             mat = lambda i: np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, ESTIMATE)
-            near, err = estimate(mat(4), mat(5))
-            keep = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (near >= percent / 100 - MARGIN * err)
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+            keep = pa.array(_near(batch.column(2).to_numpy(), batch.column(3).to_numpy(), mat(4), mat(5), percent))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+
+    return run
+
+
+def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of 0/1 matrices over some elements at a time."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row, column = row[seen[column] > 1], column[seen[column] > 1]
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out, width = np.zeros((len(sets), len(sets))), 8192
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, width):
+        part = slice(*np.searchsorted(column, [at, at + width]))
+        some = np.zeros((len(sets), width), np.float32)
+        some[row[part], column[part] - at] = 1
+        out += some @ some.T
+    return out
+
+
+def _meet(percent: int):
+    """Rows (key, x, y, block, id, comp, n, regs, set) sorted by (key, x, y): pairs of different components that 32-bit sets link."""
+
+    def settle(rows: list[tuple]) -> pa.RecordBatch:
+        x, y = rows[0][1:3]
+        block, ids, comp, n = (np.array([r[i] for r in rows], np.int64) for i in (3, 4, 5, 6))
+        regs = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, ESTIMATE)
+        near = np.zeros((len(rows), len(rows)), bool)
+        for i in range(len(rows) - 1):
+            j = np.arange(i + 1, len(rows))
+            j = j[(comp[j] != comp[i]) & (ids[j] != ids[i]) & ((x == y) | (block[j] != block[i]))]
+            near[i, j[_near(n[i], n[j], regs[i][None], regs[j], percent)]] = True
+        live = np.flatnonzero(near.any(0) | near.any(1))
+        near = near[np.ix_(live, live)]
+        if not len(live):
+            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
+        both = shared_counts([np.frombuffer(rows[i][8], np.uint32) for i in live])
+        sizes = n[live]
+        i, j = np.nonzero(near & (100 * (both + 3) >= percent * (sizes[:, None] + sizes[None, :] - both - 3)))  # 3: elements that fell together
+        i, j = ids[live[i]], ids[live[j]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if rows and rows[0][:3] != r[:3]:
+                    yield settle(rows)
+                    rows = []
+                rows.append(r)
+        if rows:
+            yield settle(rows)
 
     return run
 
@@ -142,39 +195,53 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     with_regs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
     maybe = materialize(with_regs.mapInArrow(_possible(percent), "a long, b long"), "maybe")
     ids = maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct()
-    ids = materialize(ids.join(classes.select("id", "doc", "tie"), "id"), "ids")
-    texts = docs.join(small_side(ids, ids.count()), ["doc", "tie"]).select("id", "text").dropDuplicates(["id"])
-    texts = materialize(texts, "texts")
+    texts = materialize(_texts(ids, classes, docs), "texts")
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     both = maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
     return materialize(both.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
 
 
-def _apart(members: DataFrame) -> DataFrame:
-    """Members (key, id, comp) of buckets that hold more than one component, with the number of members."""
-    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 <> _c2").select("key", "size")
-    return members.join(mixed, "key")
+def _more_stars(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of members (key, id, comp) with PIVOTS more pivots of their bucket that are in another component."""
+    masks = [F.expr(f"min(id ^ xxhash64(key, {m}))").alias(f"_p{m}") for m in range(PIVOTS)]
+    mixed = members.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), *masks).filter("_c1 <> _c2")
+    centres = F.explode(F.array_distinct(F.array(*[F.expr(f"_p{m} ^ xxhash64(key, {m})") for m in range(PIVOTS)])))
+    # a bucket's pivots and their components first, so that members of the same one never pair
+    pivots = mixed.select("key", centres.alias("pivot")).join(labels.select(F.col("id").alias("pivot"), F.col("comp").alias("_of")), "pivot", "left")
+    per_key = pivots.groupBy("key").agg(F.collect_list(F.struct("pivot", F.coalesce("_of", "pivot").alias("of"))).alias("_all"))
+    wanted = members.join(per_key, "key").select("id", F.explode(F.expr("filter(_all, p -> p.of <> comp)")).alias("_p"))
+    return wanted.select(F.least("id", "_p.pivot").alias("a"), F.greatest("id", "_p.pivot").alias("b")).distinct()
 
 
-def _pairs_apart(members: DataFrame, levels: int = 3) -> DataFrame:
-    """Pairs of ids that share a key and are in different components.
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.buffers(batch.column(1))
+            for a, b in tk.slices(off):
+                sets = tk.shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], words)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([h.astype(np.uint32).tobytes() for h in sets], pa.binary())], ["id", "set"])
 
-    A bucket of more than BUCKET members is cut: its members get the pairs of such keys that they hold
-    as new keys. Similar members share several keys; after levels cuts every pair left is made.
-    """
-    out = None
-    for level in range(levels + 1):
-        apart = materialize(_apart(members), "apart")
-        now = apart if level == levels else apart.filter(F.col("size") <= BUCKET)
-        x, y = now.select("key", F.col("id").alias("a"), F.col("comp").alias("ca")), now.select("key", F.col("id").alias("b"), F.col("comp").alias("cb"))
-        pairs = x.join(y, "key").filter("a < b AND ca <> cb").select("a", "b")
-        out = pairs if out is None else out.unionByName(pairs)
-        large = apart.filter(F.col("size") > BUCKET)
-        if level == levels or large.isEmpty():
-            return out.distinct()
-        held = large.groupBy("id", "comp").agg(F.array_sort(F.collect_set("key")).alias("_keys"))
-        joint = F.expr("flatten(transform(_keys, (x, i) -> transform(slice(_keys, i + 2, size(_keys)), y -> xxhash64(x, y))))")
-        members = held.select("id", "comp", F.explode(F.array_distinct(joint)).alias("key"))
+    return run
+
+
+def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(id, text) of these classes: the text of each one's first document."""
+    ids = materialize(ids.join(classes.select("id", "doc", "tie"), "id"), "ids")
+    return docs.join(small_side(ids, ids.count()), ["doc", "tie"]).select("id", "text").dropDuplicates(["id"])
+
+
+def _pairs_apart(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids that share a key, are in different components and seem linked, of members (key, id, comp)."""
+    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 <> _c2")
+    apart = members.join(mixed.select("key", "size"), "key")
+    apart = materialize(apart, "apart")
+    sets = materialize(_texts(apart.select("id").distinct(), classes, docs).mapInArrow(_sets(words), "id long, set binary"), "sets")
+    packed = classes.select("id", "n", "regs").join(sets, "id")
+    blocks = apart.withColumn("_g", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_g")))
+    dealt = blocks.withColumn("_h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).select("key", F.least("block", "_h").alias("x"), F.greatest("block", "_h").alias("y"), "block", "id", "comp")
+    full = dealt.join(packed, "id").select("key", "x", "y", "block", "id", "comp", "n", "regs", "set")
+    n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return full.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,10 +267,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     stars = shared.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = _links(stars, classes, d, words, percent)
     found = components(links)
-    named = shared.filter("size > 2").join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    more = _links(_pairs_apart(named), classes, d, words, percent)
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
+    several = shared.filter("size > 2").select("key", "id")
+    for pairs_of in (lambda m: _more_stars(m, found), lambda m: _pairs_apart(m, classes, d, words, percent)):
+        named = several.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+        more = _links(pairs_of(named), classes, d, words, percent)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            found = components(links)
     of = classes.select(*same, "id", "doc").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = of.groupBy("comp").agg(F.min("doc").alias("first"))
     named = of.join(least, "comp").select(*same, "first")

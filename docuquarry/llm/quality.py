@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.llm import fm
+from docuquarry.llm.runtime import filter_texts
 
 #: Texts score as label 1 from here on.
 THRESHOLD = 0.3
@@ -32,3 +33,12 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     labels all score 0.5; repeated rows score alike.
     """
     return classify(docs, labels, "quality", n_terms=600, prior=0.5, mod=5, remainder=0, use_terms=0.01)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs, all columns kept, that classify_quality predicts as 1; all of them without labels."""
+    machine = fm.fit(docs, labels, "quality", f"NOT ({held_out(5, 0)})", 600, 0.01)
+    if machine is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(machine)
+    return filter_texts(docs, "text", lambda buf, off: shared.value.score(*fm.features(buf, off)) >= THRESHOLD)

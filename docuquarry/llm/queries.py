@@ -55,8 +55,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity, pipeline)}
 
 
 _LINES = r"""

@@ -5,10 +5,14 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docuquarry.llm import textkit as tk
+
 #: A side of a join is broadcast only when it was counted and has at most so many narrow rows.
 BROADCAST_ROWS = 400_000
 
@@ -42,6 +46,19 @@ def _drop(spark: SparkSession, path: str) -> None:
         pass
 
 
+def filter_texts(docs: DataFrame, text_col: str, keep: Callable) -> DataFrame:
+    """Rows of docs, with all columns, for which keep holds; keep maps (bytes, offsets) of some texts to flags."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = tk.buffers(batch.column(at))
+            for a, b in tk.slices(off):
+                yield batch.slice(a, b - a).filter(pa.array(keep(buf[off[a] : off[b]], off[a : b + 1] - off[a])))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint for a side counted to have few rows; beyond the bound Spark shuffles both sides."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
