@@ -6,8 +6,9 @@ ones filled from others by fixed choices) are hashed to band keys; documents tha
 candidates, those whose collision-corrected similarity estimate can't reach the threshold are let go,
 and links are confirmed on the full sets. Documents with equal sets are one class from the start.
 
-No bucket's pairs are all made: members are first compared with one pivot of the bucket (another in
-each bucket), and only members that are still in different components afterwards meet each other, in
+No bucket's pairs are all made: members are first compared with the bucket's least member, those still
+outside its component with a few others of it (which differ from bucket to bucket), and only members
+that are still in different components afterwards meet each other, in
 blocks of bounded size, where the members whose estimates allow a link are compared on their sets.
 """
 
@@ -29,7 +30,7 @@ REGISTERS, BAND_ROWS, BANDS = 256, 5, 48
 ESTIMATE = 256
 #: Sets of up to so many shingles also emit the keys of an exact prefix filter.
 SMALL_SET = 22
-#: Pivots of a bucket in the second round, for members whose component isn't all of it.
+#: Pivots of a bucket in the second round, for members outside its first component.
 PIVOTS = 4
 #: Members of a block; larger buckets are dealt out in pairs of blocks.
 BLOCK = 512
@@ -201,16 +202,15 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     return materialize(both.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
 
 
-def _more_stars(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of members (key, id, comp) with PIVOTS more pivots of their bucket that are in another component."""
+def _more_stars(members: DataFrame) -> DataFrame:
+    """Members (key, id, comp) outside their bucket's first component, each with PIVOTS members of it that differ from bucket to bucket."""
+    mixed = members.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 <> _c2")
+    both = materialize(members.join(mixed.select("key", "_c1"), "key"), "mixed")
     masks = [F.expr(f"min(id ^ xxhash64(key, {m}))").alias(f"_p{m}") for m in range(PIVOTS)]
-    mixed = members.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2"), *masks).filter("_c1 <> _c2")
-    centres = F.explode(F.array_distinct(F.array(*[F.expr(f"_p{m} ^ xxhash64(key, {m})") for m in range(PIVOTS)])))
-    # a bucket's pivots and their components first, so that members of the same one never pair
-    pivots = mixed.select("key", centres.alias("pivot")).join(labels.select(F.col("id").alias("pivot"), F.col("comp").alias("_of")), "pivot", "left")
-    per_key = pivots.groupBy("key").agg(F.collect_list(F.struct("pivot", F.coalesce("_of", "pivot").alias("of"))).alias("_all"))
-    wanted = members.join(per_key, "key").select("id", F.explode(F.expr("filter(_all, p -> p.of <> comp)")).alias("_p"))
-    return wanted.select(F.least("id", "_p.pivot").alias("a"), F.greatest("id", "_p.pivot").alias("b")).distinct()
+    centres = F.array_distinct(F.array(*[F.expr(f"_p{m} ^ xxhash64(key, {m})") for m in range(PIVOTS)]))
+    pivots = both.filter("comp = _c1").groupBy("key").agg(*masks).select("key", centres.alias("pivots"))
+    wanted = both.filter("comp <> _c1").join(pivots, "key").select("id", F.explode("pivots").alias("pivot"))
+    return wanted.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
 def _sets(words: int):
@@ -261,14 +261,14 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     grouped = rows.filter("n > 0").groupBy(*same).agg(F.min(F.struct("doc", "tie")).alias("_rep"), F.first("regs").alias("regs"), F.first("keys").alias("keys"))
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("id"), *same, "_rep.doc", "_rep.tie", "regs", "keys"), "classes")
     members = classes.select("id", F.explode("keys").alias("key"))
-    # the least id ^ key is a pivot that differs from bucket to bucket of the same members
-    pivots = members.groupBy("key").agg(F.count("*").alias("size"), F.expr("min(id ^ key)").alias("_p")).filter("size > 1")
-    shared = materialize(members.join(pivots, "key").select("key", "id", "size", F.expr("_p ^ key").alias("pivot")), "shared")
+    # the least id: buckets of the same members have the same pivot, and their pairs fall together
+    pivots = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
+    shared = materialize(members.join(pivots, "key").select("key", "id", "size", "pivot"), "shared")
     stars = shared.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = _links(stars, classes, d, words, percent)
     found = components(links)
     several = shared.filter("size > 2").select("key", "id")
-    for pairs_of in (lambda m: _more_stars(m, found), lambda m: _pairs_apart(m, classes, d, words, percent)):
+    for pairs_of in (_more_stars, lambda m: _pairs_apart(m, classes, d, words, percent)):
         named = several.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
         more = _links(pairs_of(named), classes, d, words, percent)
         if not more.isEmpty():
