@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.llm.ranking import buckets_for, with_rank
+from docuquarry.llm.runtime import materialize, small_side
 
 
 def interleave(docs: DataFrame, n_shards: int, seed: str = "shard", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -25,10 +26,11 @@ def interleave(docs: DataFrame, n_shards: int, seed: str = "shard", id_col: str
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("_source"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary")).alias("_h"),
     )
-    sources = rows.groupBy("_source").agg(F.count("*").alias("_of"))
-    total = docs.select(F.lit(1)).count()
+    sources = materialize(rows.groupBy("_source").agg(F.count("*").alias("_of")), "sources")
+    n_sources, total = sources.agg(F.count("*"), F.coalesce(F.sum("_of"), F.lit(0))).first()
     nb = buckets_for(total)
-    rows = rows.join(sources, "_source").withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0 * nb))
+    # a shuffle by source would put a hot source in one task, and the ranks would then stay there
+    rows = rows.join(small_side(sources, n_sources), "_source").withColumn("_b", F.floor(F.conv(F.substring("_h", 1, 8), 16, 10).cast("double") / 4294967296.0 * nb))
     ties = ["_h", "doc_id", "text_crc32", "size"]
     ranked = with_rank(rows, ["_source"], "_b", ties, "_r")
     placed = ranked.withColumn("_at", (F.col("_r") + 0.5) / F.col("_of")).withColumn("_b", F.floor(F.col("_at") * nb)).withColumn("_all", F.lit(0))
