@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import partial
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docuquarry.functions import vectors
+from docuquarry.operators.folds import fold
 
 #: Fixed values of the ranking: fusion constant, and factors of neighbours and of graph hits.
 RRF_K, NEIGHBOUR_FACTOR, GRAPH_FACTOR = 60, 0.5, 0.4
@@ -54,15 +54,14 @@ def fuse(legs: dict[str, DataFrame], key: str, limit: int) -> DataFrame:
 
 def suppress_near_duplicates(evidence: DataFrame, query: str, order: str, shingle_column: str, threshold: float = 0.8) -> DataFrame:
     """Greedy per query: a row goes when a kept one contains threshold of the smaller shingle set. Groups are a query's evidence, a bounded list."""
+    cols = evidence.select(query, order, shingle_column, *[c for c in evidence.columns if c not in (query, order, shingle_column)])
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept, flags = [], []
-        pdf = pdf.sort_values(order)
-        for s in map(frozenset, pdf[shingle_column]):
-            near = any(len(s & t) >= threshold * min(len(s), len(t)) for t in kept)
-            flags.append(not near)
-            if not near:
-                kept.append(s)
-        return pdf[flags]
-
-    return evidence.groupBy(query).applyInPandas(fold, evidence.schema)
+    def first_of_kind(rows: list[tuple]) -> list[tuple]:
+        kept: list[tuple[frozenset, tuple]] = []
+        for row in rows:
+            s = frozenset(row[2] or ())
+            if not any(len(s & t) >= threshold * min(len(s), len(t)) for t, _ in kept):
+                kept.append((s, row))
+        return [row for _, row in kept]
+
+    return fold(cols, [order], first_of_kind, ", ".join(f"`{c}` {k}" for c, k in cols.dtypes)).select(evidence.columns)
