@@ -247,6 +247,13 @@ def ancestor_walk(spark, d):
     return r.ancestors(rows, rows.where("id % 10 = 0").select("id"))
 
 
+@query("""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey // 3 AS ancestor, 1 AS depth FROM part WHERE p_partkey // 3 > 0
+UNION ALL SELECT id, ancestor // 3, depth + 1 FROM w WHERE ancestor // 3 > 0 AND depth < 12) SELECT id, ancestor, depth FROM w""")
+def ancestor_walk_all(spark, d):
+    rows = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("nullif(p_partkey div 3, 0)").alias("parent_id"))
+    return r.ancestors(rows, rows.select("id"))
+
+
 @query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 WHEN '4' THEN 1 ELSE 0 END DESC, o_totalprice DESC, o_orderkey LIMIT 25""")
 def severity_ordering(spark, d):
     severity = F.element_at(F.array(*[F.lit(x) for x in ["critical", "high", "medium", "low", "none"]]), F.substring("o_orderpriority", 1, 1).cast("int"))

@@ -106,6 +106,16 @@ def graph_expansion(spark, d):
     return evidence.expand_graph(hits, edges, "q").withColumn("score", F.round("score", 6))
 
 
+@query("""WITH h AS (SELECT o_custkey AS q, o_orderkey AS node, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders),
+e AS (SELECT o_orderkey AS source, o_orderkey + 1 AS target FROM orders), w AS (SELECT source AS n, target AS node FROM e UNION SELECT target, source FROM e)
+SELECT q, w.node, round(max(1.0 / rank) * 0.4, 6) AS score FROM h JOIN w ON w.n = h.node WHERE rank <= 10 AND NOT EXISTS (SELECT 1 FROM h x WHERE x.q = h.q AND x.node = w.node) GROUP BY 1, 2""")
+def graph_expansion_all(spark, d):
+    w = Window.partitionBy("q").orderBy(F.desc("o_totalprice"), "node")
+    hits = t(spark, d, "orders").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("node"), "o_totalprice").withColumn("rank", F.row_number().over(w)).withColumn("score", 1.0 / F.col("rank"))
+    edges = t(spark, d, "orders").select(F.col("o_orderkey").alias("source"), (F.col("o_orderkey") + 1).alias("target"))
+    return evidence.expand_graph(hits, edges, "q").withColumn("score", F.round("score", 6))
+
+
 @query("""SELECT l_suppkey AS source, l_partkey AS target, l_linestatus AS kind, bool_or(l_quantity > 25) AS resolved, CASE WHEN count(DISTINCT l_returnflag) > 1 THEN 'corroborated' ELSE min(l_returnflag) END AS origin FROM lineitem GROUP BY 1, 2, 3""")
 def merged_edges(spark, d):
     rows = t(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target"), F.col("l_linestatus").alias("kind"), (F.col("l_quantity") > 25).alias("resolved"), F.col("l_returnflag").alias("origin"))
