@@ -72,6 +72,22 @@ def quote_checks(spark, d):
     return evidence.check_quotes(t(spark, d, "conversations").withColumn("quote", quote), "quote", "text").select("conv_id", "turn", "verdict")
 
 
+@query("""WITH c AS (SELECT conv_id, turn, trim(substr(text, 1, 40)) AS head, len(list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '')) AS n FROM conversations),
+s AS (SELECT conv_id, turn, k.kind, least(n, k.most) / (least(n, k.most) + 1.0) AS share FROM c, (VALUES ('short', 9), ('long', 60), ('invented', 0)) k(kind, most))
+SELECT conv_id, turn, kind, CASE WHEN share >= 0.98 THEN 'ok' WHEN share >= 0.85 THEN 'partial' ELSE 'rejected' END AS verdict FROM s
+UNION ALL SELECT conv_id, turn, 'typographic', CASE WHEN coalesce(head, '') = '' THEN 'empty' ELSE 'ok' END FROM c""")
+def altered_quote_checks(spark, d):
+    """Every turn quoted in typographic marks, by its first 9 and 60 words with an invented one behind them, and by the invented one alone."""
+    opening = lambda n: F.concat_ws(" ", F.slice(F.split(tx.squeeze(F.col("text")), " "), 1, n), F.lit("qqzxq"))
+    set_out = F.translate(F.substring("text", 1, 40), "'\"- ", "\u2019\u201d\u2013\u00a0")
+    for ligature, letters in evidence.LIGATURES:
+        set_out = F.replace(set_out, F.lit(letters), F.lit(ligature))
+    quotes = {"typographic": set_out, "short": opening(9), "long": opening(60), "invented": F.lit("qqzxq")}
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), q.alias("quote")) for k, q in quotes.items()])
+    rows = t(spark, d, "conversations").select("conv_id", "turn", "text", F.inline(kinds))
+    return evidence.check_quotes(rows, "quote", "text").select("conv_id", "turn", "kind", "verdict")
+
+
 @query("""SELECT l_orderkey, CASE WHEN count(*) FILTER (l_quantity > 30) = 0 THEN 'missing' WHEN bool_or(l_quantity > 30 AND l_returnflag = 'A') THEN 'fabricated' ELSE 'ok' END AS verdict
 FROM (SELECT DISTINCT ON (l_orderkey, l_linenumber) * FROM lineitem ORDER BY l_orderkey, l_linenumber, l_quantity, l_returnflag) GROUP BY 1""")
 def citation_checks(spark, d):

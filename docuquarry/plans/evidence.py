@@ -14,6 +14,10 @@ from docuquarry.plans.retrieval import GRAPH_FACTOR
 
 #: Shares of a quote's words found from which it is clean, or doubtful; words compared.
 QUOTE_CLEAN, QUOTE_MATCH, QUOTE_WORDS, EVIDENCE_WORDS = 0.98, 0.85, 2_000, 20_000
+#: What text extraction mangles: marks and the plain ones they count as, ligatures, and white space as Unicode has it.
+QUOTE_MARKS = ("\u2018\u2019\u201c\u201d\u2013\u2014\u2212", "''\"\"---")
+LIGATURES = [("\ufb01", "fi"), ("\ufb02", "fl")]
+WHITE_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Fixed values of context assembly: token budget, largest share of one item, items exempt, overhead of an item.
 CONTEXT_BUDGET, SINGLE_SHARE, LEAST_ITEMS, ITEM_TOKENS = 24_000, 0.25, 3, 30
 
@@ -90,7 +94,11 @@ def _coverage(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Ser
 
 
 def folded(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " "))
+    """Lower case, with plain quotes, dashes, fi and fl for typographic ones and one space for any white space, that of Unicode included; null is empty."""
+    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *QUOTE_MARKS)
+    for ligature, letters in LIGATURES:
+        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
+    return F.trim(F.regexp_replace(plain, WHITE_SPACE, " "))
 
 
 def check_quotes(rows: DataFrame, quote: str, evidence: str) -> DataFrame:
