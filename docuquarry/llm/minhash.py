@@ -153,9 +153,11 @@ def _meet(percent: int):
         near = near[np.ix_(live, live)]
         if not len(live):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["a", "b"])
-        both = shared_counts([np.frombuffer(rows[i][8], np.uint32) for i in live])
+        sets = [np.frombuffer(rows[i][8], np.uint32) for i in live]
         sizes = n[live]
-        i, j = np.nonzero(near & (100 * (both + 3) >= percent * (sizes[:, None] + sizes[None, :] - both - 3)))  # 3: elements that fell together
+        fell = sizes - [len(np.unique(s)) for s in sets]  # elements that fell together: a shared part loses no more of them than either set
+        both = shared_counts(sets) + np.minimum(fell[:, None], fell[None, :])
+        i, j = np.nonzero(near & (100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)))
         i, j = ids[live[i]], ids[live[j]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], ["a", "b"])
 
