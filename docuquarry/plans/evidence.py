@@ -104,7 +104,9 @@ def folded(text: Column) -> Column:
 def check_quotes(rows: DataFrame, quote: str, evidence: str) -> DataFrame:
     """rows with verdict: empty, ok (in the evidence as it stands, or nearly all words in order), partial or rejected.
 
-    Python sees only the quotes that a substring test leaves open.
+    Python sees only the quotes that a substring test, over whole texts, leaves open. Of those it compares the first
+    QUOTE_WORDS words with the first EVIDENCE_WORDS of the evidence, the reference's own bounds: an altered quote
+    behind them is rejected, and words of a quote beyond them aren't looked at.
     """
     share = F.pandas_udf(_coverage, "double")
     q, e = folded(F.col(quote)), folded(F.col(evidence))
