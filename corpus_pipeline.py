@@ -14,7 +14,7 @@ from docuquarry.llm.runtime import materialize, small_side, table
 
 N_SHARDS = 40
 WEIGHTS = [5, 2, 1]
-#: The stages are an iterated fit and samples, so SQL expresses none of them; tests compare with brute force.
+#: The stages are an iterated fit and samples, so SQL expresses none of them; no test runs the pipeline yet.
 ORACLE_SQL = None
 
 
