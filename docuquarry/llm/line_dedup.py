@@ -1,10 +1,12 @@
 """Line dedup: keep each long line in the first document that holds it.
 
-Hashes of line keys are range-partitioned by (hash, document, position) and sorted inside each
-partition, so a line that a third of all documents hold is spread over many tasks. Each task
-streams its rows and knows the first document of every run but the one that may have begun in an
+Hashes of line keys are written once, range-partitioned by (hash, document, position) and sorted
+inside each partition, so a line that a third of all documents hold is spread over many tasks. Each
+task streams its rows and knows the first document of every run but the one that may have begun in an
 earlier partition; that one is settled by a table with at most two rows for each partition.
-What returns is a compressed bitmap for each document, never text.
+
+What the stream returns is each document's bitmap in pieces of 64 lines, those without a dropped line
+left out; the pieces of a document meet, and only the texts that may lose a line are shuffled to them.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docuquarry.llm.runtime import materialize
+from docuquarry.llm.runtime import forget, materialize, meet_texts
 
 #: Bytes taken off both ends of a line for its key.
 STRIP = b" \t\n\x0b\x0c\r"
@@ -59,14 +61,21 @@ def _hash_lines(min_chars: int):
 
 
 def _stream_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (h1, h2, doc, tie, pos): marks lines outside the first document of their run."""
+    """Rows sorted by (h1, h2, doc, tie, pos): bitmap pieces of the lines outside the first document of their run.
+
+    A piece is the place of 64 lines and the bits of those dropped. Lines of the run that opens the
+    partition keep their hash, as do the facts (first document of the opening and of the last run).
+    """
     key, first, opening = None, None, True
 
     def out(kind, h1, h2, doc, tie, pos):
         n = len(doc)
+        if kind == _DROP:
+            h1 = h2 = np.zeros(n, np.int64)
+        bits = np.left_shift(np.uint64(1), (pos & 63).astype(np.uint64)).view(np.int64)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, kind, np.int8)), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(tie), pa.array(pos)],
-            ["kind", "h1", "h2", "doc", "tie", "pos"],
+            [pa.array(np.full(n, kind, np.int8)), pa.array(h1), pa.array(h2), pa.array(doc), pa.array(tie), pa.array(pos >> 6), pa.array(bits)],
+            ["kind", "h1", "h2", "doc", "tie", "piece", "bits"],
         )
 
     def fact(k, d):
@@ -102,37 +111,40 @@ def _stream_first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield fact(key, first)
 
 
-def _pack(n_lines: int, dropped: list[int] | None) -> bytes:
-    keep = np.ones(n_lines, np.uint8)
-    if dropped is not None and len(dropped):
-        keep[np.asarray(dropped)] = 0
-    return zlib.compress(np.packbits(keep).tobytes(), 1)
+def keep_bitmap(n_lines: int, pieces: np.ndarray, bits: np.ndarray) -> bytes:
+    """One compressed bitmap of the lines kept, from the pieces of dropped ones (several may share a place)."""
+    dropped = np.zeros(-(-n_lines // 64), np.uint64)
+    np.bitwise_or.at(dropped, pieces, bits.view(np.uint64))
+    return zlib.compress((~dropped).astype("<u8").tobytes(), 1)
 
 
 def unpack(bitmap: bytes, n_lines: int) -> np.ndarray:
     """The keep flags of a document's lines."""
-    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8))[:n_lines].astype(bool)
+    return np.unpackbits(np.frombuffer(zlib.decompress(bitmap), np.uint8), bitorder="little")[:n_lines].astype(bool)
 
 
 def dropped_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """(doc, tie, lost): positions of the lines that each distinct row of docs loses, if any.
+    """(doc, tie, lost): bitmap pieces (piece, bits) of the lines that each distinct row of docs loses, if any.
 
     A line's key (white space stripped, A-Z lower-cased) of min_chars code points or more stays only
     in the smallest id that holds it, all its lines there included. Rows that share an id are one
-    document here; tie (a hash of the text) tells them apart. Null ids take no part; null and empty
-    texts have one empty line; an empty table gives an empty result. Ids must be integral.
+    document here; tie (a hash of the text) tells them apart, and equal rows share their bitmap. Null
+    ids take no part; null and empty texts have one empty line; an empty table gives an empty result.
+    Ids must be integral; other columns are ignored.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text")).filter("doc IS NOT NULL")
-    lines = d.mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc long, tie long, pos int")
+    # written before it is ranged: the sample that finds the ranges then reads hashes, not texts
+    lines = materialize(d.mapInArrow(_hash_lines(min_chars), "h1 long, h2 long, doc long, tie long, pos int"), "hashes")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = ["h1", "h2", "doc", "tie", "pos"]
     ranged = lines.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    seen = materialize(ranged.mapInArrow(_stream_first, "kind byte, h1 long, h2 long, doc long, tie long, pos int"), "lines")
+    seen = materialize(ranged.mapInArrow(_stream_first, "kind byte, h1 long, h2 long, doc long, tie long, piece int, bits long"), "lines")
+    forget(lines)
     # at most two rows for each partition of the range exchange, so the broadcast is bounded by n
     facts = seen.filter(F.col("kind") == _FACT).groupBy("h1", "h2").agg(F.min("doc").alias("first"))
     late = seen.filter(F.col("kind") == _OPEN).join(F.broadcast(facts), ["h1", "h2"]).filter(F.col("doc") > F.col("first"))
-    drops = seen.filter(F.col("kind") == _DROP).select("doc", "tie", "pos").unionByName(late.select("doc", "tie", "pos"))
-    return drops.groupBy("doc", "tie").agg(F.collect_set("pos").alias("lost"))
+    drops = seen.filter(F.col("kind") == _DROP).select("doc", "tie", "piece", "bits").unionByName(late.select("doc", "tie", "piece", "bits"))
+    return drops.groupBy("doc", "tie").agg(F.collect_set(F.struct("piece", "bits")).alias("lost"))
 
 
 def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +152,9 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n_lines, n_dropped, maps, kept = [], [], [], []
         for text, lost in zip(batch.column(1), batch.column(2), strict=True):
             lines = (text.as_py() or "").encode().split(b"\n")
-            gone = lost.values.to_numpy() if lost.is_valid else None
-            packed = _pack(len(lines), gone)
+            at = lost.values if lost.is_valid else None
+            pieces, bits = (at.field(i).to_numpy() for i in (0, 1)) if at is not None else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+            packed = keep_bitmap(len(lines), pieces, bits)
             keep = unpack(packed, len(lines))
             n_lines.append(len(lines))
             n_dropped.append(int((~keep).sum()))
@@ -154,11 +167,11 @@ def _apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10) -> DataFrame:
-    """For each row of docs: doc_id, n_lines, n_dropped, keep_bitmap (zlib over packed bits), kept_sha256.
+    """For each row of docs: doc_id, n_lines, n_dropped, keep_bitmap (zlib over 64-bit words, first line in the lowest bit), kept_sha256.
 
     Rows with a null id keep all their lines; see dropped_lines for the other cases.
     """
-    lost = dropped_lines(docs, id_col, text_col, min_chars)
+    lost = materialize(dropped_lines(docs, id_col, text_col, min_chars), "bitmaps")
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(F.col(text_col)).alias("tie"), F.col(text_col).alias("text"))
-    joined = d.join(lost.hint("shuffle_hash"), ["doc", "tie"], "left").select("doc", "text", "lost")
+    joined = meet_texts(d, lost, ["doc", "tie"]).select("doc", "text", "lost")
     return joined.mapInArrow(_apply, "doc_id long, n_lines long, n_dropped long, keep_bitmap binary, kept_sha256 string")
