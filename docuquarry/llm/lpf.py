@@ -5,11 +5,13 @@ suffix array of the whole corpus can't be built in one place, so starts are firs
 that no match can leave: the class of a start is the smallest hash of the GRAM-byte strings inside its
 min_len bytes, which equal strings share. A run of starts of one class is a segment.
 
-1. Segments are range-partitioned by (class, content, document, position) and sorted; later copies of a
-   whole segment are removed at once, segments whose class occurs nowhere else are dropped.
-2. First copies of differing segments of a class meet in one task, in blocks of bounded size; there
-   suffixes are ranked up to min_len bytes and the previous and next smaller positions in that order
-   give the longest previous factor.
+1. Segments are written once, range-partitioned by (class, content, document, position) and sorted:
+   later copies of a whole segment are removed at once, which pre-aggregates groups of copies of any
+   size, and segments whose class occurs nowhere else are dropped. Equal content: 64 bits of xxh3 over
+   its bytes beside the class's own 64 bits and the length.
+2. First copies of differing segments of a class meet in one task, in blocks of bounded size. There
+   the suffixes are ordered by their first min_len bytes, and the previous and next smaller positions
+   in that order give the longest previous factor of every start, cut at min_len.
 3. A class whose segments exceed a block's size is too frequent for one task: its min_len-byte windows
    are matched by a 128-bit hash instead, any number of them.
 """
@@ -21,11 +23,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.llm import textkit as tk
-from docuquarry.llm.runtime import materialize, small_side
+from docuquarry.llm.runtime import forget, materialize, meet_texts
 
 GRAM = 24
 #: Bytes of segments that one suffix array takes; a class with more goes to the window hashes.
@@ -74,7 +77,9 @@ def segments(buf: np.ndarray, off: np.ndarray, min_len: int) -> tuple[np.ndarray
     anchor = np.flatnonzero(~sliding_min(~around, w) == grams)
     twice = anchor[:-1][(grams[anchor[1:]] == grams[anchor[:-1]]) & (np.diff(anchor) <= w)]
     again = np.searchsorted(twice, last + w) > np.searchsorted(twice, first)
-    return doc, first, last, least[first], tk.span_hash(pre, first, last + min_len), again
+    raw = memoryview(np.ascontiguousarray(buf))
+    content = [xxhash.xxh3_64_intdigest(raw[i:j]) for i, j in zip(first.tolist(), (last + min_len).tolist(), strict=True)]
+    return doc, first, last, least[first], np.array(content, np.uint64), again
 
 
 def _emit_segments(min_len: int):
@@ -129,64 +134,101 @@ def _stream_copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield from settle(cut)
 
 
-def suffix_groups(text: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """(order, rank): suffixes in the order of their first limit bytes, equal ones by position; rank: place of the first equal one.
+class Suffixes:
+    """The suffixes of text in the order of their first limit bytes, equal ones by position.
 
     Ranks over 8 bytes are doubled, and only suffixes that still share a rank are sorted again. Bytes
     beyond the end count as zero; limit is at least 8.
     """
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | padded[j : j + n].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    head = np.ones(n, bool)
-    head[1:] = sorted_key[1:] != sorted_key[:-1]
-    place = np.maximum.accumulate(np.where(head, np.arange(n), 0))
-    rank = np.empty(n, np.int64)
-    rank[order] = place
-    length = 8
-    while length < limit:
-        step = min(length, limit - length)
-        tied = ~(head & np.append(head[1:], True))
-        slots = np.flatnonzero(tied)
-        if not len(slots):
-            break
-        where = order[slots]
-        after = where + step
-        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
-        by = np.lexsort((where, second, rank[where]))
-        where, second = where[by], second[by]
-        base = rank[where]
-        order[slots] = where
-        fresh = np.ones(len(slots), bool)
-        fresh[1:] = (base[1:] != base[:-1]) | (second[1:] != second[:-1])
-        head[slots] = fresh
-        rank = rank.copy()
-        rank[where] = np.maximum.accumulate(np.where(fresh, slots, 0))
-        length += step
-    return order, rank
-
-
-def has_previous_factor(text: np.ndarray, limit: int, starts: np.ndarray) -> np.ndarray:
-    """Whether the longest previous factor at each position of the mask starts, among these positions, reaches limit.
-
-    In suffix order cut at limit bytes, with equal suffixes by position, the previous smaller position of
-    a suffix that isn't the first of its equals is the one just before it, and shares limit bytes; no
-    other suffix has an earlier one that does, as every smaller position lies outside its equals.
+
+    def __init__(self, text: np.ndarray, limit: int):
+        n = len(text)
+        padded = np.concatenate([text, np.zeros(8, np.uint8)])
+        key = np.zeros(n, np.uint64)
+        for j in range(8):
+            key = key << np.uint64(8) | padded[j : j + n].astype(np.uint64)
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        head = np.ones(n, bool)
+        head[1:] = sorted_key[1:] != sorted_key[:-1]
+        rank = np.empty(n, np.int32)
+        rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        self.limit, self.key, self.order, self.ranks = limit, key, order, [(8, rank)]
+        length = 8
+        while length < limit:
+            step = min(length, limit - length)
+            slots = np.flatnonzero(~(head & np.append(head[1:], True)))
+            if not len(slots):
+                break
+            where = order[slots]
+            after = where + step
+            second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
+            by = np.lexsort((where, second, rank[where]))
+            where, second = where[by], second[by]
+            base = rank[where]
+            order[slots] = where
+            fresh = np.ones(len(slots), bool)
+            fresh[1:] = (base[1:] != base[:-1]) | (second[1:] != second[:-1])
+            head[slots] = fresh
+            rank = rank.copy()
+            rank[where] = np.maximum.accumulate(np.where(fresh, slots, 0))
+            length += step
+            self.ranks.append((length, rank))
+
+    def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Length of the common prefix of each pair of suffixes, cut at limit; both have limit bytes."""
+        got, last = np.zeros(len(a), np.int64), len(self.key) - 1
+        for length, rank in reversed(self.ranks):
+            x, y = np.minimum(a + got, last), np.minimum(b + got, last)
+            got += np.where((got + length <= self.limit) & (rank[x] == rank[y]), length, 0)
+        differ = self.key[np.minimum(a + got, last)] ^ self.key[np.minimum(b + got, last)]
+        for j in range(8):
+            got += differ < np.uint64(1 << (8 * j))
+        return np.minimum(got, self.limit)
+
+
+def previous_smaller(x: np.ndarray, rounds: int = 48) -> np.ndarray:
+    """For each place of distinct values, the nearest one before it with a smaller value, or -1.
+
+    All places follow their pointers at once; the few left after some rounds are walked from left to
+    right, where what a place has passed is never passed again.
+    """
+    at = np.arange(-1, len(x) - 1)
+    left = np.flatnonzero((at >= 0) & (x[at] > x))
+    for _ in range(rounds):
+        if not len(left):
+            return at
+        at[left] = at[at[left]]
+        left = left[(at[left] >= 0) & (x[at[left]] > x[left])]
+    for i in left.tolist():
+        j = at[i]
+        while j >= 0 and x[j] > x[i]:
+            j = at[j]
+        at[i] = j
+    return at
+
+
+def longest_previous_factors(text: np.ndarray, limit: int, starts: np.ndarray) -> np.ndarray:
+    """LPF array, cut at limit: how long a prefix of the suffix at each start also begins at an earlier start; 0 elsewhere.
+
+    starts: mask of places with limit bytes behind them. Of all earlier starts, the previous and the next
+    smaller position in suffix order share the longest prefix.
     """
-    order, rank = suffix_groups(text, limit)
-    order = order[starts[order]]
-    same = rank[order[1:]] == rank[order[:-1]]
-    out = np.zeros(len(text), bool)
-    out[order[1:][same]] = True
-    return out
+    lpf = np.zeros(len(text), np.int64)
+    if not starts.any():
+        return lpf
+    suffixes = Suffixes(text, limit)
+    places = suffixes.order[starts[suffixes.order]]
+    m = len(places)
+    for near in (previous_smaller(places), m - 1 - previous_smaller(places[::-1])[::-1]):
+        has = np.flatnonzero((near >= 0) & (near < m))
+        here = places[has]
+        lpf[here] = np.maximum(lpf[here], suffixes.common(here, places[near[has]]))
+    return lpf
 
 
 def _match_blocks(min_len: int):
-    """Rows (kind, doc, tie, s, body) sorted in this order: the intervals that earlier rows of the class cover."""
+    """Rows (kind, doc, tie, s, body) sorted in this order, repeated ones once: the intervals that earlier rows of the class cover."""
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         bodies = [np.frombuffer(r[4], np.uint8) for r in rows]
@@ -195,7 +237,7 @@ def _match_blocks(min_len: int):
         starts = np.ones(len(text), bool)
         for e in begin[1:].tolist():
             starts[e - min_len + 1 : e] = False
-        hit = has_previous_factor(text, min_len, starts)
+        hit = longest_previous_factors(text, min_len, starts) >= min_len
         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]]))).reshape(-1, 2)
         of = np.searchsorted(begin, edges[:, 0], "right") - 1
         col = lambda i, t: np.array([r[i] for r in rows], t)[of]
@@ -210,6 +252,8 @@ def _match_blocks(min_len: int):
                 if rows and size > BLOCK_BYTES and r[0] != rows[-1][0]:
                     yield settle(rows)
                     rows, size = [], 0
+                if rows and r[:4] == rows[-1][:4]:
+                    continue
                 rows.append(r)
                 size += len(r[4])
         if rows:
@@ -237,21 +281,53 @@ def _hash_windows(min_len: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc, tie, s, body in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                raw = memoryview(body)
                 for a in range(0, len(body) - min_len + 1, tk.SLICE_BYTES):
-                    part = np.frombuffer(body, np.uint8)[a : a + tk.SLICE_BYTES + min_len - 1]
-                    at = np.arange(len(part) - min_len + 1)
-                    h = [tk.span_hash(tk.prefix(x), at, at + min_len).view(np.int64) for x in (part, part ^ np.uint8(0x5A))]
+                    at = np.arange(a, min(a + tk.SLICE_BYTES, len(body) - min_len + 1))
+                    h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[i : i + min_len]) for i in at.tolist()]), ">i8").astype(np.int64).reshape(-1, 2)
                     n = len(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(n, doc)), pa.array(np.full(n, tie, np.int32)), pa.array((s + a + at).astype(np.int32))], ["h1", "h2", "doc", "tie", "a"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(np.full(n, doc)), pa.array(np.full(n, tie, np.int32)), pa.array((s + at).astype(np.int32))], ["h1", "h2", "doc", "tie", "a"])
 
     return run
 
 
+def _merge_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc, tie, a, b) sorted by (doc, tie, a): one row a document with its spans, those that touch joined."""
+    doc = tie = None
+    ends: list[list[int]] = []
+
+    def settle() -> pa.RecordBatch:
+        spans = pa.StructArray.from_arrays([pa.array([x[i] for x in ends], pa.int32()) for i in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([tie], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(ends)], pa.int32()), spans)], ["doc", "tie", "spans"])
+
+    for batch in batches:
+        cols = [c.to_numpy() for c in batch.columns]
+        if not len(cols[0]):
+            continue
+        same = (cols[0][1:] == cols[0][:-1]) & (cols[1][1:] == cols[1][:-1])
+        starts = np.concatenate([[0], np.flatnonzero(~same) + 1, [len(cols[0])]]).tolist()
+        for i, j in zip(starts[:-1], starts[1:], strict=True):
+            if (cols[0][i], cols[1][i]) != (doc, tie):
+                if ends:
+                    yield settle()
+                doc, tie, ends = cols[0][i], cols[1][i], []
+            a, b = cols[2][i:j], np.maximum.accumulate(cols[3][i:j])
+            first = np.concatenate([[0], np.flatnonzero(a[1:] > b[:-1]) + 1])
+            for x, y in zip(a[first].tolist(), np.append(b[first[1:] - 1], b[-1]).tolist(), strict=True):
+                if ends and x <= ends[-1][1]:
+                    ends[-1][1] = max(y, ends[-1][1])
+                else:
+                    ends.append([x, y])
+    if ends:
+        yield settle()
+
+
 def covered_spans(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, tie, spans): byte ranges of each distinct row of docs that an earlier string of min_len bytes covers; they may overlap.
+    """(doc, tie, spans): the byte ranges of each distinct row of docs that earlier strings of min_len bytes cover, apart and in order.
 
     Earlier: smaller id, or same id and smaller tie (a hash of the text), or same row and smaller start.
-    Null ids, null texts and texts of fewer bytes have no spans; equal rows are one row. Ids must be integral.
+    Null ids, null texts and texts of fewer bytes have no spans; equal rows are one row; an empty table
+    gives an empty result; other columns are ignored. Ids must be integral.
     """
     if min_len < 8:
         raise ValueError("min_len is at least 8")
@@ -259,26 +335,28 @@ def covered_spans(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id", t
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(2147483647)).cast("int").alias("tie"), F.col(text_col).alias("text")).filter("doc IS NOT NULL AND text IS NOT NULL")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = ["kind", "content", "doc", "tie", "s"]
-    found = d.mapInArrow(_emit_segments(min_len), "kind long, content long, doc long, tie int, s int, n int, again boolean")
+    # written before they are ranged: the sample that finds the ranges then reads segments, not texts
+    found = materialize(d.mapInArrow(_emit_segments(min_len), "kind long, content long, doc long, tie int, s int, n int, again boolean"), "found")
     ranged = found.repartitionByRange(n, *order).sortWithinPartitions(*order)
     seen = materialize(ranged.mapInArrow(_stream_copies, "what byte, kind long, doc long, tie int, s int, n int, again boolean"), "segments")
+    forget(found)
     copies = seen.filter(F.col("what") == _COPY).select("doc", "tie", F.col("s").alias("a"), (F.col("s") + F.col("n") + min_len).alias("b"))
     source = seen.filter(F.col("what") == _SOURCE)
     sizes = source.groupBy("kind").agg(F.count("*").alias("rows"), F.sum(F.col("n").cast("long") + min_len).alias("bytes"), F.max("again").alias("again")).filter("rows > 1 OR again").drop("again")
     marked = source.join(sizes, "kind").withColumn("hot", F.col("bytes") > BLOCK_BYTES)
-    parts = marked.groupBy("doc", "tie").agg(F.collect_set(F.struct("kind", "s", "n", "hot")).alias("parts"))
-    parts = materialize(parts, "parts")
-    ids = parts.select("doc", "tie")
-    few = d.join(small_side(ids, ids.count()), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie"])
-    bodies = few.join(parts, ["doc", "tie"]).select("doc", "tie", "text", "parts").mapInArrow(_cut_bodies(min_len), "kind long, doc long, tie int, s int, hot boolean, body binary")
-    bodies = materialize(bodies, "bodies")
+    parts = materialize(marked.groupBy("doc", "tie").agg(F.collect_set(F.struct("kind", "s", "n", "hot")).alias("parts")), "parts")
+    held = meet_texts(d, parts, ["doc", "tie"]).filter("parts IS NOT NULL")
+    bodies = materialize(held.select("doc", "tie", "text", "parts").mapInArrow(_cut_bodies(min_len), "kind long, doc long, tie int, s int, hot boolean, body binary"), "bodies")
+    forget(parts)
     by_class = bodies.filter("NOT hot").drop("hot").repartition(n, "kind").sortWithinPartitions("kind", "doc", "tie", "s")
     matched = by_class.mapInArrow(_match_blocks(min_len), "doc long, tie int, a int, b int")
     windows = bodies.filter("hot").select("doc", "tie", "s", "body").repartition(n).mapInArrow(_hash_windows(min_len), "h1 long, h2 long, doc long, tie int, a int")
     first = windows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "tie", "a")).alias("first"), F.count("*").alias("rows")).filter("rows > 1").drop("rows")
     again = windows.join(first, ["h1", "h2"]).filter(F.struct("doc", "tie", "a") > F.col("first")).select("doc", "tie", "a", (F.col("a") + min_len).alias("b"))
-    spans = copies.unionByName(matched).unionByName(again)
-    return spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    by_doc = copies.unionByName(matched).unionByName(again).repartition(n, "doc", "tie").sortWithinPartitions("doc", "tie", "a")
+    spans = materialize(by_doc.mapInArrow(_merge_spans, "doc long, tie int, spans array<struct<a:int,b:int>>"), "spans")
+    forget(seen, bodies)
+    return spans
 
 
 def _remove(with_text: bool):
@@ -314,5 +392,5 @@ def remove_repeats(docs: DataFrame, min_len: int = 100, id_col: str = "doc_id",
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with_text the bytes kept; see covered_spans."""
     spans = covered_spans(docs, min_len, id_col, text_col)
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.pmod(F.xxhash64(F.col(text_col)), F.lit(2147483647)).cast("int").alias("tie"), F.col(text_col).alias("text"))
-    joined = d.join(spans.hint("shuffle_hash"), ["doc", "tie"], "left").select("doc", "text", "spans")
+    joined = meet_texts(d, spans, ["doc", "tie"]).select("doc", "text", "spans")
     return joined.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text)
