@@ -7,9 +7,10 @@ candidates, those whose collision-corrected similarity estimate can't reach the
 and links are confirmed on the full sets. Documents with equal sets are one class from the start.
 
 No bucket's pairs are all made: members are first compared with the bucket's least member, those still
-outside its component with a few others of it (which differ from bucket to bucket), and only members
-that are still in different components afterwards meet each other, in
-blocks of bounded size, where the members whose estimates allow a link are compared on their sets.
+outside its component with a few others of it (which differ from bucket to bucket). Of a bucket whose
+members are still in different components afterwards, those outside its largest component meet that
+component and each other, in blocks of bounded size, where the members whose estimates allow a link
+are compared on their sets; members of one component never meet again.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from docuquarry.llm import textkit as tk
 from docuquarry.llm.graph import components
-from docuquarry.llm.runtime import materialize, small_side
+from docuquarry.llm.runtime import forget, join_by_key, materialize, small_side
 
 REGISTERS, BAND_ROWS, BANDS = 256, 5, 48
 #: Registers, of a byte each, that the similarity estimate compares.
@@ -32,8 +33,8 @@ ESTIMATE = 256
 SMALL_SET = 22
 #: Pivots of a bucket in the second round, for members outside its first component.
 PIVOTS = 4
-#: Members of a block; larger buckets are dealt out in pairs of blocks.
-BLOCK = 512
+#: Members of a block, and shingles of their sets together; larger buckets are dealt out in pairs of blocks.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
 #: Standard errors below the threshold at which an estimate rules a pair out.
 MARGIN = 5.0
 _NO_ID = (1 << 63) - 1
@@ -138,7 +139,10 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _meet(percent: int):
-    """Rows (key, x, y, block, id, comp, n, regs, set) sorted by (key, x, y): pairs of different components that 32-bit sets link."""
+    """Rows (key, x, y, block, id, comp, n, regs, set) sorted by (key, x, y): pairs of different components that 32-bit sets link.
+
+    A 32-bit set can miss as many shared elements as fell together in either set, and is given as many more.
+    """
 
     def settle(rows: list[tuple]) -> pa.RecordBatch:
         x, y = rows[0][1:3]
@@ -198,20 +202,30 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, pe
     with_regs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "ra", "rb")
     maybe = materialize(with_regs.mapInArrow(_possible(percent), "a long, b long"), "maybe")
     ids = maybe.select(F.col("a").alias("id")).union(maybe.select("b")).distinct()
-    texts = materialize(_texts(ids, classes, docs), "texts")
+    texts = _texts(ids, classes, docs)
     side = lambda c: texts.select(F.col("id").alias(c), F.col("text").alias(f"t{c}"))
     both = maybe.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
-    return materialize(both.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
+    links = materialize(both.mapInArrow(_confirm(words, percent), "a long, b long"), "links")
+    forget(maybe, texts)
+    return links
+
+
+def _mixed(members: DataFrame) -> DataFrame | None:
+    """(key, id, comp, main, size): the members (key, id, comp) of the buckets with several components; main: the one of most members. None if there is none."""
+    per = members.groupBy("key", "comp").agg(F.count("*").alias("_n"))
+    keys = per.groupBy("key").agg(F.sum("_n").alias("size"), F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.count("*").alias("_c")).filter("_c > 1").drop("_c")
+    keys = materialize(keys, "mixed-keys")
+    out = None if keys.isEmpty() else materialize(join_by_key(members, keys, "key", "size"), "mixed")
+    forget(keys)
+    return out
 
 
-def _more_stars(members: DataFrame) -> DataFrame:
-    """Members (key, id, comp) outside their bucket's first component, each with PIVOTS members of it that differ from bucket to bucket."""
-    mixed = members.groupBy("key").agg(F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 <> _c2")
-    both = materialize(members.join(mixed.select("key", "_c1"), "key"), "mixed")
+def _more_stars(mixed: DataFrame) -> DataFrame:
+    """Members outside their bucket's main component, each with PIVOTS members of it that differ from bucket to bucket."""
     masks = [F.expr(f"min(id ^ xxhash64(key, {m}))").alias(f"_p{m}") for m in range(PIVOTS)]
     centres = F.array_distinct(F.array(*[F.expr(f"_p{m} ^ xxhash64(key, {m})") for m in range(PIVOTS)]))
-    pivots = both.filter("comp = _c1").groupBy("key").agg(*masks).select("key", centres.alias("pivots"))
-    wanted = both.filter("comp <> _c1").join(pivots, "key").select("id", F.explode("pivots").alias("pivot"))
+    pivots = materialize(mixed.filter("comp = main").groupBy("key").agg(F.max("size").alias("size"), *masks).select("key", "size", centres.alias("pivots")), "pivots")
+    wanted = join_by_key(mixed.filter("comp <> main").select("key", "id"), pivots, "key", "size").select("id", F.explode("pivots").alias("pivot"))
     return wanted.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
 
 
@@ -229,21 +243,37 @@ def _sets(words: int):
 def _texts(ids: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(id, text) of these classes: the text of each one's first document."""
     ids = materialize(ids.join(classes.select("id", "doc", "tie"), "id"), "ids")
-    return docs.join(small_side(ids, ids.count()), ["doc", "tie"]).select("id", "text").dropDuplicates(["id"])
-
-
-def _pairs_apart(members: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of ids that share a key, are in different components and seem linked, of members (key, id, comp)."""
-    mixed = members.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("_c1"), F.max("comp").alias("_c2")).filter("_c1 <> _c2")
-    apart = members.join(mixed.select("key", "size"), "key")
-    apart = materialize(apart, "apart")
-    sets = materialize(_texts(apart.select("id").distinct(), classes, docs).mapInArrow(_sets(words), "id long, set binary"), "sets")
-    packed = classes.select("id", "n", "regs").join(sets, "id")
-    blocks = apart.withColumn("_g", F.ceil(F.col("size") / BLOCK)).withColumn("block", F.pmod(F.xxhash64("id"), F.col("_g")))
-    dealt = blocks.withColumn("_h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_g") - 1))).select("key", F.least("block", "_h").alias("x"), F.greatest("block", "_h").alias("y"), "block", "id", "comp")
-    full = dealt.join(packed, "id").select("key", "x", "y", "block", "id", "comp", "n", "regs", "set")
+    texts = materialize(docs.join(small_side(ids, ids.count()), ["doc", "tie"]).select("id", "text").dropDuplicates(["id"]), "texts")
+    forget(ids)
+    return texts
+
+
+def _pairs_apart(mixed: DataFrame, classes: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ids that share a key, are in different components and seem linked, of _mixed members.
+
+    Members of the main component are dealt into blocks -1, -2, ..., the others into blocks 0, 1, ...;
+    each block of others meets every block of main members and every block of others.
+    """
+    texts = _texts(mixed.select("id").distinct(), classes, docs)
+    sets = materialize(texts.mapInArrow(_sets(words), "id long, set binary"), "sets")
+    weighed = mixed.join(classes.select("id", "n"), "id").withColumn("other", F.col("comp") != F.col("main"))
+    blocks = F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_SHINGLES)))
+    sizes = weighed.groupBy("key", "other").agg(blocks.cast("int").alias("g"), F.count("*").alias("of"))
+    sizes = sizes.groupBy("key").agg(F.max(F.when(F.col("other"), F.col("g"))).alias("g2"), F.max(F.when(~F.col("other"), F.col("g"))).alias("g1"), F.sum("of").alias("of"))
+    sizes = materialize(sizes, "sizes")
+    members = join_by_key(weighed.select("key", "id", "comp", "other"), sizes, "key", "of")
+    at = F.when(F.col("other"), F.pmod(F.xxhash64("id"), F.col("g2"))).otherwise(-1 - F.pmod(F.xxhash64("id"), F.col("g1"))).cast("int")
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    unit = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    of_main = F.transform(up_to("g2"), lambda j: unit(j, F.col("block")))
+    of_other = F.concat(F.transform(up_to("g1"), lambda i: unit(F.col("block"), -1 - i)), F.transform(up_to("g2"), lambda j: unit(F.least(F.col("block"), j), F.greatest(F.col("block"), j))))
+    dealt = members.withColumn("block", at).select("key", "id", "comp", "block", F.explode(F.when(F.col("other"), of_other).otherwise(of_main)).alias("u")).select("key", "u.x", "u.y", "block", "id", "comp")
+    full = dealt.join(classes.select("id", "n", "regs").join(sets, "id"), "id").select("key", "x", "y", "block", "id", "comp", "n", "regs", "set")
     n = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return full.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet(percent), "a long, b long").distinct()
+    met = full.repartition(n, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(_meet(percent), "a long, b long").distinct()
+    pairs = materialize(met, "apart")
+    forget(texts, sets, sizes)
+    return pairs
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -264,18 +294,23 @@ def near_duplicates(docs: DataFrame, percent: int = 75, words: int = 5, id_col:
     classes = materialize(grouped.select(F.monotonically_increasing_id().alias("id"), *same, "_rep.doc", "_rep.tie", "regs", "keys"), "classes")
     members = classes.select("id", F.explode("keys").alias("key"))
     # the least id: buckets of the same members have the same pivot, and their pairs fall together
-    pivots = members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1")
-    shared = materialize(members.join(pivots, "key").select("key", "id", "size", "pivot"), "shared")
+    pivots = materialize(members.groupBy("key").agg(F.count("*").alias("size"), F.min("id").alias("pivot")).filter("size > 1"), "buckets")
+    shared = materialize(join_by_key(members, pivots, "key", "size").select("key", "id", "size", "pivot"), "shared")
+    forget(pivots)
     stars = shared.filter("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
     links = _links(stars, classes, d, words, percent)
     found = components(links)
     several = shared.filter("size > 2").select("key", "id")
     for pairs_of in (_more_stars, lambda m: _pairs_apart(m, classes, d, words, percent)):
-        named = several.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-        more = _links(pairs_of(named), classes, d, words, percent)
+        mixed = _mixed(several.join(found, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")))
+        if mixed is None:
+            break
+        more = _links(pairs_of(mixed), classes, d, words, percent)
+        forget(mixed)
         if not more.isEmpty():
             links = links.unionByName(more)
             found = components(links)
+    forget(shared)
     of = classes.select(*same, "id", "doc").join(found, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
     least = of.groupBy("comp").agg(F.min("doc").alias("first"))
     named = of.join(least, "comp").select(*same, "first")
