@@ -11,14 +11,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docuquarry.llm import textkit as tk
-from docuquarry.llm.runtime import BROADCAST_ROWS
+from docuquarry.llm.runtime import BROADCAST_ROWS, forget, materialize
 
-#: Labelled rows of each class that a fit reads at most.
-SAMPLE_ROWS = 3_000
+#: Labelled rows of each class that a fit reads at most, and bytes of their distinct terms together.
+SAMPLE_ROWS, SAMPLE_BYTES = 3_000, 128 << 20
 #: Hashed features: words in the lower half of the buckets, word beginnings in the upper.
 BITS = 19
 HALF = 1 << (BITS - 1)
@@ -150,8 +150,10 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: str, n_terms: int, use_terms: float = 0.0, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine | None:
     """A machine learnt from at most sample_rows labelled rows of each class for which the SQL condition learn holds.
 
-    Ids with null or several different labels aren't used. The sample is the first rows by a seeded
-    hash of the id; weights restore the classes' shares. None without any label of either class.
+    Ids with null or several different labels aren't used; of rows that share an id each is a row of the
+    sample. The sample is the first rows by a seeded hash of the id, as far as their distinct terms fit
+    SAMPLE_BYTES; weights restore the classes' shares. None without any label of either class. Null and
+    empty texts count as texts without words; columns but the three named aren't read.
     """
     if sample_rows > BROADCAST_ROWS // 2:
         raise ValueError("the sample is broadcast")
@@ -163,7 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: str, n_terms:
     chosen = [r for y in (0, 1) for r in marked.filter(F.col("y") == y).orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample_rows).collect()]
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], marked.schema)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
-    got = rows.mapInArrow(_sample_features, "y int, terms binary, stats binary").collect()
+    read = materialize(rows.mapInArrow(_sample_features, "y int, terms binary, stats binary"), "sample")
+    if (read.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) > SAMPLE_BYTES:
+        # a few thousand rows, of which those that fit are taken in the order of a hash
+        so_far = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64(F.lit(13), "terms", "stats")).rowsBetween(Window.unboundedPreceding, 0))
+        got = read.withColumn("_sum", so_far).filter(F.col("_sum") <= SAMPLE_BYTES).drop("_sum").collect()
+    else:
+        got = read.collect()
+    forget(read)
     y = np.array([r.y for r in got], np.float64)
     if not 0 < y.sum() < len(y):
         return None
