@@ -141,21 +141,43 @@ def test_repeated_rows_do_not_cover_themselves(spark):
     assert got == [(1, 0), (1, 0), (2, len(PASSAGE))]
 
 
-def test_suffix_ranks():
-    for seed in range(20):
+def test_longest_previous_factors():
+    """The arrays against every pair of starts, on texts of few letters and on runs."""
+    for seed in range(40):
         rng = np.random.default_rng(seed)
-        text, limit = rng.integers(97, 97 + 2 + seed % 3, rng.integers(1, 300)).astype(np.uint8), int(rng.integers(8, 30))
-        raw, seen, want = text.tobytes() + bytes(limit), set(), []
-        for i in range(len(text)):
-            want.append(raw[i : i + limit] in seen)
-            seen.add(raw[i : i + limit])
-        n = max(0, len(text) - limit + 1)
-        assert lpf.has_previous_factor(text, limit, np.arange(len(text)) < n)[:n].tolist() == want[:n]
+        limit, n = int(rng.integers(8, 40)), int(rng.integers(1, 260))
+        text = rng.integers(97, 98 + seed % 4, n).astype(np.uint8)
+        raw, starts = text.tobytes(), (np.arange(n) + limit <= n) & (rng.random(n) < 0.9)
+        share = lambda i, j: next((k for k in range(limit) if raw[i + k] != raw[j + k]), limit)
+        places = np.flatnonzero(starts).tolist()
+        want = [max((share(i, j) for j in places if j < i), default=0) if starts[i] else 0 for i in range(n)]
+        assert lpf.longest_previous_factors(text, limit, starts).tolist() == want
 
 
-def test_decontamination(spark):
+def test_previous_smaller_places():
+    rng = np.random.default_rng(0)
+    runs = [rng.permutation(500), np.arange(300), np.arange(300)[::-1], np.concatenate([np.arange(0, 400, 2), np.arange(1, 400, 2)])]
+    for x in runs:
+        want = [next((j for j in range(i - 1, -1, -1) if x[j] < x[i]), -1) for i in range(len(x))]
+        assert lpf.previous_smaller(x).tolist() == lpf.previous_smaller(x, rounds=2).tolist() == want
+
+
+def test_spans_that_touch_are_joined():
+    import pyarrow as pa
+
+    rows = [(1, 0, 0, 100), (1, 0, 50, 120), (1, 0, 120, 130), (1, 0, 140, 240), (1, 1, 0, 10), (2, 0, 5, 6)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), (pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)], ["doc", "tie", "a", "b"])
+    for cut in range(1, 6):
+        got = [(r["doc"], r["tie"], [(x["a"], x["b"]) for x in r["spans"]]) for b in lpf._merge_spans(iter([batch(rows[:cut]), batch(rows[cut:])])) for r in b.to_pylist()]
+        assert got == [(1, 0, [(0, 130), (140, 240)]), (1, 1, [(0, 10)]), (2, 0, [(5, 6)])]
+
+
+@pytest.mark.parametrize("pass_bytes", [16 << 20, 100])
+def test_decontamination(spark, pass_bytes, monkeypatch):
+    """In one pass and in several; with a repeated row, a repeated item id and an item without an id."""
+    monkeypatch.setattr(decontam, "PASS_BYTES", pass_bytes)
     rows = corpus()
-    items = [("b1", PASSAGE), ("b2", "one two"), ("b3", None), ("b4", ""), ("b5", PASSAGE.upper().replace(" ", ", ")), ("b6", "words that stand nowhere " * 4)]
+    items = [("b1", PASSAGE), ("b2", "one two"), ("b3", None), ("b4", ""), ("b5", PASSAGE.upper().replace(" ", ", ")), ("b6", "words that stand nowhere " * 4), ("b2", "ONE-two"), (None, "x" * 99)]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
     windows = defaultdict(set)
     for name, t in items:
@@ -170,11 +192,12 @@ def test_decontamination(spark):
                 k = tuple(w[a : a + n])
                 if len(k) == n and k in windows:
                     hit |= set(range(a, a + n))
-                    names |= windows[k]
+                    names |= windows[k] - {None}
         want[i] = (len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w))
     bench = spark.createDataFrame(items, "item_id string, text string")
-    got = decontam.decontaminate(frame(spark, rows), bench, clean_text=True).collect()
-    assert {r.doc_id: tuple(r)[1:6] for r in got} == want
+    got = decontam.decontaminate(frame(spark, rows + rows[10:12]), bench, clean_text=True).collect()
+    assert Counter((r.doc_id, tuple(r)[1:6]) for r in got) == Counter((i, want[i]) for i, _ in rows + rows[10:12])
+    assert want[16] == (1, 1, 0, hashlib.sha256(b"").hexdigest(), True)
     assert want[11][4] and PASSAGE not in next(r.clean_text for r in got if r.doc_id == 11)
     left = {r.doc_id for r in decontam.drop_contaminated(frame(spark, rows), bench).collect()}
     assert left == {i for i, x in want.items() if not x[4]}
@@ -202,15 +225,80 @@ def test_water_fill():
     assert mixing.water_fill([0, 0], [1, 1], 1.5, 2.0) == [0, 0]
 
 
-def test_fit_is_the_best_sum():
+def reachable(lengths, counts):
+    sums = {0}
+    for x, c in zip(lengths, counts, strict=True):
+        sums = {s + x * n for s in sums for n in range(c + 1)}
+    return sums
+
+
+@pytest.mark.parametrize("window", [60_000, 20])
+def test_fit_is_the_best_sum(window, monkeypatch):
+    """Against every sum that the lengths can give; with a small window too, as it grows until it hits or all is open."""
+    monkeypatch.setattr(mixing, "DP_WORDS", window)
     rng = np.random.default_rng(1)
-    for _ in range(200):
-        lengths = sorted(set(rng.integers(1, 30, 4).tolist()))
+    cases = [([1, 2, 4, 5, 38], [2, 1, 2, 2, 1], 35), ([0, 7], [3, 9], 30), ([6, 9], [4, 4], 31), ([0], [4], 0), ([3], [5], 99), ([], [], 5)]
+    for _ in range(600):
+        lengths = sorted(set(rng.integers(0, 40, rng.integers(1, 6)).tolist()))
         counts = rng.integers(1, 5, len(lengths)).tolist()
-        budget = int(rng.integers(0, sum(x * c for x, c in zip(lengths, counts, strict=True)) + 1))
+        cases.append((lengths, counts, int(rng.integers(0, sum(x * c for x, c in zip(lengths, counts, strict=True)) + 5))))
+    for lengths, counts, budget in cases:
         take = mixing.fit(lengths, counts, budget)
         assert all(0 <= t <= c for t, c in zip(take, counts, strict=True))
-        assert abs(sum(x * t for x, t in zip(lengths, take, strict=True)) - budget) <= max(lengths)
+        got = sum(x * t for x, t in zip(lengths, take, strict=True))
+        assert abs(got - budget) == min(abs(s - budget) for s in reachable(lengths, counts))
+
+
+def test_fit_of_large_budgets_hits_them():
+    rng = np.random.default_rng(3)
+    lengths = sorted(set(rng.integers(1, 3000, 400).tolist()))
+    counts = rng.integers(1, 5000, len(lengths)).tolist()
+    whole = sum(x * c for x, c in zip(lengths, counts, strict=True))
+    for budget in (1, whole // 3, whole // 2 + 17, whole - 1):
+        take = mixing.fit(lengths, counts, budget)
+        assert sum(x * t for x, t in zip(lengths, take, strict=True)) == budget or budget < min(lengths) or whole - budget < min(lengths)
+        assert all(abs(t - c * budget / whole) <= max(60_000 / x, 1) + 1 for x, t, c in zip(lengths, take, counts, strict=True))
+
+
+def brute_mixture(rows, weights, share=1.5, most=2.0, seed="mix"):
+    """(source, target, taken words) of each source, and how often each id is taken, straight from the contract; without ties."""
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    by = defaultdict(list)
+    for i, t, s in rows:
+        by[s].append((hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest(), i, words(t)))
+    order = sorted((s for s in by if s is not None), key=lambda s: s.encode()) + [None] * (None in by)
+    size = {s: sum(n for *_, n in by[s]) for s in order}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, free, left = dict.fromkeys(order, 0.0), [s for s in order if size[s]], share * sum(size.values())
+    while free:
+        over = [s for s in free if left * weight[s] / sum(weight[x] for x in free) > most * size[s]]
+        for s in over or free:
+            target[s] = most * size[s] if over else left * weight[s] / sum(weight[x] for x in free)
+        left, free = left - sum(target[s] for s in over), [s for s in free if s not in over] if over else []
+    copies = Counter()
+    for s in order:
+        passes = int(target[s] // size[s]) if size[s] else 0
+        lengths = Counter(n for *_, n in by[s])
+        extra = dict(zip(sorted(lengths), mixing.fit(sorted(lengths), [lengths[n] for n in sorted(lengths)], round(target[s] - passes * size[s])), strict=True))
+        for n in lengths:
+            for at, (_, i, _) in enumerate(sorted((x for x in by[s] if x[2] == n), key=lambda x: (x[0], x[1] or 0))):
+                copies[i] += passes + (at < extra[n])
+    return size, target, copies
+
+
+def test_mixture_against_brute_force(spark):
+    """Null ids, null and empty texts, ties of length, repeated rows, sources of one document and of none."""
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 30))), ["a", "b", "\U0001F600", "\uffee", None][int(rng.integers(0, 5))]) for i in range(300)]
+    rows += [(1000, None, "a"), (1001, "", "b"), (1002, "w " * 500, "one"), (1003, None, "none"), (None, "w w w", "a"), (7000, "w w", "a"), (7000, "w w", "a")]
+    size, target, copies = brute_mixture(rows, [5, 2, 1])
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row", F.lit(1)).repartition(4), [5, 2, 1]).collect()
+    assert len(got) == len(rows)
+    assert all(r.source_size == size[r.source] and abs(r.target - target[r.source]) < 1e-6 and r.taken == r.copies * r["size"] for r in got)
+    seen = Counter()
+    for r in got:
+        seen[r.doc_id] += r.copies
+    assert seen == copies
 
 
 def test_shards(spark):
@@ -232,23 +320,56 @@ def test_shards(spark):
     assert all(r.text_crc32 == zlib.crc32((text[r.doc_id] or "").encode()) and r.size == len((text[r.doc_id] or "").encode()) + 16 for r in got)
 
 
-def test_top_k(spark):
+def brute_top_k(rows, k=5, every=50):
+    v = [(i, [math.floor(256 * float(np.float32(y))) for y in x]) for i, x in rows if i is not None and x is not None and all(y is not None and math.isfinite(y) for y in x)]
+    out = Counter()
+    for q, a in v:
+        if q % every == 0:
+            best = sorted(((sum(x * y for x, y in zip(a, b, strict=True)), j) for j, b in v if j != q and len(a) == len(b)), key=lambda t: (-t[0], t[1]))[:k]
+            out.update((q, n + 1, j, s) for n, (s, j) in enumerate(best))
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [32_768, 40])
+def test_top_k(spark, cell_rows, monkeypatch):
+    monkeypatch.setattr(topk, "LEAST_ROWS", min(cell_rows, 1_024))
     rng = np.random.default_rng(5)
     rows = [(int(i), rng.normal(0, 0.2, 16).astype(np.float32).tolist()) for i in rng.permutation(400)]
-    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1050, None), (1100, [1.0, None] * 8), (1150, [math.inf] * 16), (1200, [math.nan] * 16), (1250, [0.0] * 16)]
-    v = {i: np.floor(256 * np.array(x, np.float64)).astype(int) for i, x in rows if x and None not in x and np.isfinite(x).all()}
-    want = set()
-    for q in v:
-        if q % 50 == 0:
-            best = sorted(((int(v[q] @ v[j]), j) for j in v if j != q), key=lambda t: (-t[0], t[1]))[:5]
-            want |= {(q, n + 1, j, s) for n, (s, j) in enumerate(best)}
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("w", F.lit(1))
-    assert {tuple(r) for r in topk.exact_top_k(df).collect()} == want
-
-
-def test_top_k_large_components():
-    q, x = np.array([[1 << 40, 1]]), np.array([[1, 1], [2, 5], [2, 5]])
-    assert topk.block_top_k(np.array([0]), q, np.array([3, 2, 1]), x, 2) == [(0, 1, (1 << 41) + 5), (0, 2, (1 << 41) + 5)]
+    rows += [(1000, rows[0][1]), (1001, rows[0][1]), (1050, None), (1100, [1.0, None] * 8), (1150, [math.inf] * 16), (1200, [math.nan] * 16), (1250, [0.0] * 16), (None, rows[0][1])]
+    rows += [(2000, []), (2001, []), (2050, []), (3000, [0.5, 1.0]), (3001, [-0.5, 1.0]), (4000, [1.0] * 3)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("x")).withColumn("w", F.lit(1)).withColumn("uid", F.lit(2))
+    assert Counter(tuple(r) for r in topk.exact_top_k(df).collect()) == brute_top_k(rows)
+
+
+def test_top_k_of_repeated_ids(spark):
+    """Each query row of a shared id has its own ranking; none finds a row with its id."""
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (50, [0.0, 1.0]), (7, [2.0, 3.0]), (7, [2.0, 3.0]), (8, [3.0, 1.0])]
+    got = Counter(tuple(r) for r in topk.exact_top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == brute_top_k(rows) and got[50, 1, 7, 3 * 256 * 256] == 2
+
+
+@pytest.mark.parametrize("size", [1 << 20, 1 << 30, 1 << 45])
+def test_a_cell_of_large_components(size):
+    """Near ties between sums of large products: the proof's slack grows with the lengths."""
+    rng = np.random.default_rng(size % 97)
+    x = rng.integers(-size, size, (300, 8))
+    x[100:200] = x[:100] + rng.integers(-1, 2, (100, 8))
+    q, ids = np.concatenate([x[:5] + 1, rng.integers(-size, size, (5, 8))]), rng.permutation(300)
+    cell = topk.Cell(topk.build_index(ids, x))
+    whole = x.astype(object) @ q.astype(object).T
+    for known in (np.full(10, -np.inf), np.sort(whole, axis=0)[-3].astype(np.float64)):
+        for i, names, scores in cell.search(np.full(10, -1), q, known, 3):
+            best = sorted(range(300), key=lambda j: (-whole[j, i], ids[j]))[:3]
+            assert names == [ids[j] for j in best]
+            assert scores == [max(-(1 << 63), min((1 << 63) - 1, whole[j, i])) for j in best]
+
+
+def test_segments_are_ordered_by_impact():
+    x = np.array([[3, 0, -5], [1, 300, 4]])
+    index = topk.build_index(np.array([9, 4]), x)
+    assert index["ids"].tolist() == [4, 9]
+    assert index["heads"].tolist() == [[9, 1, 0], [3, 2, 1], [2, 0, 3], [1, 0, 4]]
+    assert index["vals"].tolist() == [300, 4, -5, 3, 1] and index["rows"].tolist() == [0, 0, 1, 1, 0]
 
 
 def test_url_filter(spark):
