@@ -240,11 +240,11 @@ def carry_forward_trend(spark, d):
     return r.carry_forward(rows, ["user_id"], "_o", "metric").drop("_o")
 
 
-@query("""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey // 3 AS ancestor, 1 AS depth FROM part WHERE p_partkey // 3 > 0 AND p_partkey % 10 = 0
+@query("""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey // 3 AS ancestor, 1 AS depth FROM part WHERE p_partkey // 3 > 0
 UNION ALL SELECT id, ancestor // 3, depth + 1 FROM w WHERE ancestor // 3 > 0 AND depth < 12) SELECT id, ancestor, depth FROM w""")
 def ancestor_walk(spark, d):
     rows = t(spark, d, "part").select(F.col("p_partkey").alias("id"), F.expr("nullif(p_partkey div 3, 0)").alias("parent_id"))
-    return r.ancestors(rows, rows.where("id % 10 = 0").select("id"))
+    return r.ancestors(rows, rows.select("id"))
 
 
 @query("""WITH RECURSIVE w AS (SELECT p_partkey AS id, p_partkey // 3 AS ancestor, 1 AS depth FROM part WHERE p_partkey // 3 > 0
@@ -261,13 +261,25 @@ def severity_ordering(spark, d):
     return rows.orderBy(rules.severity_rank(severity).desc(), F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
-@query("""SELECT doc_id, sha256(trim(regexp_replace(text, '[ \t\n\r\x0b\x0c]+', ' ', 'g'))) AS content_hash,
-  CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(text) / CASE WHEN length(text) - length(regexp_replace(text, '[ \t\n\r\x0b\x0c]', '', 'g')) >= 0.25 * length(text) THEN 3.0 ELSE 3.6 END) AS INTEGER)) END AS tokens FROM documents""")
+WIDE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_HASHED = f"""sha256(trim(regexp_replace(text, '{WIDE}+', ' ', 'g'))) AS content_hash,
+  CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(text) / CASE WHEN length(text) - length(regexp_replace(text, '{WIDE}', '', 'g')) >= 0.25 * length(text) THEN 3.0 ELSE 3.6 END) AS INTEGER)) END AS tokens"""
+
+
+@query(f"SELECT doc_id, {_HASHED} FROM documents")
 def content_hashes(spark, d):
     return t(spark, d, "documents").select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), tx.token_estimate(F.col("text")).alias("tokens"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN s IS NULL THEN NULL WHEN s <= 33 THEN 'low' WHEN s <= 66 THEN 'medium' ELSE 'high' END AS band FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice / 5000 END AS s FROM orders)""")
+@query(f"SELECT doc_id, {_HASHED} FROM (SELECT doc_id, translate(text, ' ,', chr(160) || chr(8195)) AS text FROM documents)")
+def content_hashes_of_wide_space(spark, d):
+    """Every space a no-break space and every comma an em space."""
+    rows = t(spark, d, "documents").select("doc_id", F.translate("text", " ,", "\u00a0\u2003").alias("text"))
+    return rows.select("doc_id", tx.content_hash(F.col("text")).alias("content_hash"), tx.token_estimate(F.col("text")).alias("tokens"))
+
+
+
+@query("""SELECT o_orderkey, CASE WHEN s >= 67 THEN 'high' WHEN s >= 34 THEN 'medium' ELSE 'low' END AS band FROM (SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice / 5000 END AS s FROM orders)""")
 def risk_bands(spark, d):
     score = F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice") / 5000)
     return t(spark, d, "orders").select("o_orderkey", tx.risk_band(score).alias("band"))
@@ -359,7 +371,7 @@ def latency_percentiles(spark, d):
     return t(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
 
 
-@query("""SELECT metric, b AS base, c AS cand, CASE WHEN b - c > greatest(0.5, abs(b) * 0.2) THEN 'regressed' WHEN b - c < 0 THEN 'improved' ELSE 'ok' END AS verdict FROM
+@query("""SELECT metric, b AS base, c AS cand, CASE WHEN c IS NULL THEN 'missing' WHEN b IS NULL THEN 'new' WHEN abs(c - b) <= greatest(0.5, abs(b) * 0.2) THEN 'unchanged' WHEN c > b THEN 'improved' ELSE 'regressed' END AS verdict FROM
 (SELECT event_type AS metric, round(avg(value) FILTER (ts < TIMESTAMP '2024-01-15'), 6) AS b, round(avg(value) FILTER (ts >= TIMESTAMP '2024-01-15'), 6) AS c FROM events GROUP BY 1)""")
 def regression_gate(spark, d):
     early = F.col("ts") < F.lit("2024-01-15").cast("timestamp")

@@ -6,9 +6,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: White space as Unicode has it, for Java's expressions.
+SPACE = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: Words of company names that don't tell parties apart.
+COMPANY_WORDS = "private pvt limited ltd llc inc incorporated corp corporation plc gmbh llp company co sa bv nv ag pte"
+
+
 def squeeze(text: Column) -> Column:
     """White-space runs to one space, ends stripped."""
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+
+
+def words_only(text: Column) -> Column:
+    """Lower case with single spaces for everything but a-z and 0-9; null is empty."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def clause_heading(text: Column) -> Column:
+    """words_only behind a leading number, roman number or letter that ends with . ) or ] and a space."""
+    number = r"^\s*(?:\d+(?:\.\d+)*|[ivxlc]+|[a-z])[.)\]]\s+"
+    return words_only(F.regexp_replace(F.trim(F.lower(F.coalesce(text, F.lit("")))), number, ""))
+
+
+def party_name(text: Column) -> Column:
+    """words_only without COMPANY_WORDS, for comparing names of parties."""
+    bare = F.regexp_replace(words_only(text), rf"\b({'|'.join(COMPANY_WORDS.split())})\b", " ")
+    return F.trim(F.regexp_replace(bare, " +", " "))
 
 
 def content_hash(text: Column) -> Column:
@@ -18,7 +41,7 @@ def content_hash(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """At least one token: characters by 3.6, or by 3.0 when a quarter of them is white space; empty: 0."""
     n = F.length(text)
-    spaces = n - F.length(F.regexp_replace(text, r"\s", ""))
+    spaces = n - F.length(F.regexp_replace(text, SPACE, ""))
     per = F.when(spaces >= 0.25 * n, 3.0).otherwise(3.6)
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / per).cast("int")))
 
@@ -33,22 +56,46 @@ def clause_number(title: Column) -> Column:
 
 
 def risk_band(score: Column) -> Column:
-    """Bands up to 33, up to 66 and above; null stays null."""
-    return F.when(score <= 33, "low").when(score <= 66, "medium").when(score.isNotNull(), "high")
+    """high from 67, medium from 34, else low, as without a score."""
+    return F.when(score >= 67, "high").when(score >= 34, "medium").otherwise("low")
 
 
 def confidence_band(value: Column) -> Column:
-    return F.when(value >= 0.8, "high").when(value >= 0.55, "medium").when(value.isNotNull(), "low")
+    """high from 0.8, medium from 0.55, else low, as without a value."""
+    return F.when(value >= 0.8, "high").when(value >= 0.55, "medium").otherwise("low")
 
 
 def shingles(text: Column, n: int = 8) -> Column:
-    """Distinct n-word shingles; a shorter text is its own."""
-    w = F.split(squeeze(F.lower(text)), " ")
+    """Distinct n-word shingles; a shorter text is its own, one without words has none."""
+    line = squeeze(F.lower(text))
+    w = F.split(line, " ")
     runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array(F.array_join(w, " ")))
+    return F.when(F.coalesce(line, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array(line))
+
+
+#: Weights of severities, the largest share one finding takes, and the bands' upper ends.
+SEVERITY_WEIGHTS, MOST_WEIGHT, LOW_MAX, MEDIUM_MAX = {"critical": 40, "high": 25, "medium": 10, "low": 3}, 40, 33, 66
+
+
+def severity_weight(severity: Column) -> Column:
+    out = F.lit(0)
+    for name, weight in SEVERITY_WEIGHTS.items():
+        out = F.when(severity == name, min(weight, MOST_WEIGHT)).otherwise(out)
+    return out
 
 
 def saturating_score(weights: Column, cap: float = 40.0) -> Column:
-    """100 minus what is left after each weight (at most cap) takes its share of the rest."""
-    left = F.aggregate(weights, F.lit(100.0), lambda acc, w: acc * (1 - F.least(w.cast("double"), F.lit(cap)) / 100))
-    return F.round(100 - left)
+    """100 minus what is left after each weight (at most cap) takes its share of the rest, half to even."""
+    left = F.aggregate(weights, F.lit(100.0), lambda rest, w: rest - rest * (F.least(w.cast("double"), F.lit(cap)) / F.lit(100.0)))
+    return F.bround(100 - left)
+
+
+def risk_score(severities: Column, low_max: int = LOW_MAX, medium_max: int = MEDIUM_MAX) -> Column:
+    """0 to 100 from an array of severities: each takes its weight as a share of what is left of 100, half to even.
+
+    A critical finding lifts the score over the medium band, a high one over the low band.
+    """
+    # in falling order, as sums of doubles depend on it
+    score = saturating_score(F.sort_array(F.transform(severities, severity_weight), asc=False), MOST_WEIGHT)
+    floor = F.when(F.array_contains(severities, "critical"), medium_max + 1).when(F.array_contains(severities, "high"), low_max + 1).otherwise(0)
+    return F.greatest(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)).cast("int"), floor)

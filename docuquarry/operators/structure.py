@@ -11,9 +11,11 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docuquarry.functions.text import clause_heading
 from docuquarry.operators.folds import fold
 
-_NUMBER = re.compile(r"^(\d+(?:\.\d+)*)")
+#: A section's whole number, a full stop behind it apart.
+_NUMBER = re.compile(r"^(\d+(?:\.\d+)*)\.?$")
 
 
 def _outline(rows: list[tuple]) -> list[tuple]:
@@ -28,7 +30,8 @@ def _outline(rows: list[tuple]) -> list[tuple]:
         if number:
             head = number.rpartition(".")[0]
             level = number.count(".") + 1
-            parent = (holder.get(head) or parent) if head else None
+            above = holder.get(head)
+            parent = None if not head else above if above and above != me else parent
         if parent not in known:
             parent = None
         if parent is None and (level or 1) > 1:
@@ -50,8 +53,8 @@ def _outline(rows: list[tuple]) -> list[tuple]:
 def repair_sections(sections: DataFrame) -> DataFrame:
     """Rows (doc_id, section_id, ord, number, parent_id, level) with a sound hierarchy.
 
-    A number such as 11.2 sets the level by its depth and the parent by its prefix; a number of one part
-    has no parent. Parents that don't exist, that are the section itself or that lie on or lead into a
+    A number such as 11.2 (and nothing else) sets the level by its depth and the parent by its prefix; a
+    number of one part has no parent. Parents that don't exist, that are the section itself or that lie on or lead into a
     cycle are cleared; a deeper section without a parent takes the nearest shallower one before it.
     """
     cols = sections.select("doc_id", F.col("section_id").cast("string"), F.col("ord").cast("long"), F.col("number").cast("string"), F.col("parent_id").cast("string"), F.col("level").cast("int"))
@@ -108,8 +111,8 @@ def extents(paragraphs: DataFrame, is_heading: Column, is_boundary: Column) -> D
 
 
 def first_headings(paragraphs: DataFrame, names: DataFrame) -> DataFrame:
-    """(doc_id, clause, pos): the first heading of a document whose folded text is a clause's name or synonym, of names (clause, name)."""
-    fold = lambda c: F.trim(F.regexp_replace(F.lower(F.col(c)), r"[^a-z0-9]+", " "))
+    """(doc_id, clause, pos): the first heading of a document whose folded text is a clause's name or synonym, of names (clause, name); leading numbers don't count."""
+    fold = lambda c: clause_heading(F.col(c))
     wanted = names.select("clause", fold("name").alias("_f")).where("_f <> ''").distinct()
     return paragraphs.withColumn("_f", fold("text")).join(wanted, "_f").groupBy("doc_id", "clause").agg(F.min("pos").alias("pos"))
 

@@ -9,15 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docuquarry.functions.text import squeeze
 from docuquarry.operators.folds import fold
 from docuquarry.plans.retrieval import GRAPH_FACTOR
 
 #: Shares of a quote's words found from which it is clean, or doubtful; words compared.
 QUOTE_CLEAN, QUOTE_MATCH, QUOTE_WORDS, EVIDENCE_WORDS = 0.98, 0.85, 2_000, 20_000
-#: What text extraction mangles: marks and the plain ones they count as, ligatures, and white space as Unicode has it.
+#: What text extraction mangles: marks and the plain ones they count as, and ligatures.
 QUOTE_MARKS = ("\u2018\u2019\u201c\u201d\u2013\u2014\u2212", "''\"\"---")
 LIGATURES = [("\ufb01", "fi"), ("\ufb02", "fl")]
-WHITE_SPACE = r"[\s\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+"
 #: Fixed values of context assembly: token budget, largest share of one item, items exempt, overhead of an item.
 CONTEXT_BUDGET, SINGLE_SHARE, LEAST_ITEMS, ITEM_TOKENS = 24_000, 0.25, 3, 30
 
@@ -98,7 +98,7 @@ def folded(text: Column) -> Column:
     plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *QUOTE_MARKS)
     for ligature, letters in LIGATURES:
         plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    return F.trim(F.regexp_replace(plain, WHITE_SPACE, " "))
+    return squeeze(plain)
 
 
 def check_quotes(rows: DataFrame, quote: str, evidence: str) -> DataFrame:
@@ -122,12 +122,13 @@ def citation_verdict(cited: Column, offered: Column) -> Column:
     return F.when(F.coalesce(F.size(cited), F.lit(0)) <= 0, "missing").when(F.size(F.array_except(cited, F.coalesce(offered, F.array()))) > 0, "fabricated").otherwise("ok")
 
 
-def answer_confidence(cited: Column, offered: Column, strength: Column, fabricated: Column, dropped: Column, non_answer: Column) -> Column:
-    """Grounding of an answer: 0.55 of coverage (of at most five) and 0.45 of evidence strength (0.5 unmeasured), halved when a citation is fabricated, less a tenth when evidence was dropped."""
+def answer_confidence(cited: Column, offered: Column, strength: Column, fabricated: Column, dropped: Column, non_answer: Column, refused: Column | None = None) -> Column:
+    """Grounding of an answer: 0.55 of coverage (of at most five) and 0.45 of evidence strength (0.5 unmeasured), halved when a citation is fabricated, less a tenth when evidence was dropped; 0 for a refusal."""
     coverage = F.least(cited / F.least(F.greatest(offered, F.lit(1)), F.lit(5)), F.lit(1.0))
     measured = F.greatest(F.lit(0.0), F.least(F.coalesce(strength, F.lit(0.5)), F.lit(1.0)))
     score = (0.55 * coverage + 0.45 * measured) * F.when(fabricated, 0.5).otherwise(1.0) * F.when(dropped, 0.9).otherwise(1.0)
-    return F.when((cited == 0) & non_answer, F.when(offered > 0, 0.75).otherwise(0.6)).when(cited == 0, 0.15).otherwise(F.round(score, 4))
+    no = F.lit(False) if refused is None else F.coalesce(refused, F.lit(False))
+    return F.when(no, 0.0).when((cited == 0) & non_answer, F.when(offered > 0, 0.75).otherwise(0.6)).when(cited == 0, 0.15).otherwise(F.round(score, 4))
 
 
 def guardrail(evidence: DataFrame, query: str, floor: float = 0.45) -> DataFrame:

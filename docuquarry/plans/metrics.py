@@ -75,9 +75,18 @@ def isotonic(pdf: pd.DataFrame, score: str, label: str) -> pd.DataFrame:
     return rows[[score, "fitted"]]
 
 
-def gate(metrics: DataFrame, baseline: str, candidate: str, absolute: float, relative: float, higher_is_better: str = "higher") -> DataFrame:
-    """Rows (metric, baseline, candidate) with a verdict: regressed when worse by more than both tolerances."""
-    worse = F.when(F.col(higher_is_better), F.col(baseline) - F.col(candidate)).otherwise(F.col(candidate) - F.col(baseline))
-    allowed = F.greatest(F.lit(absolute), F.abs(F.col(baseline)) * relative)
-    verdict = F.when(F.col(baseline).isNull() | F.col(candidate).isNull(), "skipped").when(worse > allowed, "regressed").when(worse < 0, "improved").otherwise("ok")
+def gate(metrics: DataFrame, baseline: str, candidate: str, absolute: float | Column, relative: float | Column, higher_is_better: str = "higher", limit: str | None = None) -> DataFrame:
+    """Rows (metric, baseline, candidate) with a verdict.
+
+    missing: no candidate value; regressed: beyond the limit column, whatever the baseline; new: no
+    baseline; unchanged: moved by no more than the larger of both tolerances; else improved or regressed.
+    """
+    before, after, higher = F.col(baseline), F.col(candidate), F.col(higher_is_better)
+    moved = after - before
+    allowed = F.greatest(F.lit(absolute) if isinstance(absolute, float) else absolute, F.abs(before) * relative)
+    beyond = F.coalesce(F.when(higher, after < F.col(limit)).otherwise(after > F.col(limit)), F.lit(False)) if limit else F.lit(False)
+    verdict = (
+        F.when(after.isNull(), "missing").when(beyond, "regressed").when(before.isNull(), "new").when(F.abs(moved) <= allowed, "unchanged")
+        .when(F.when(higher, moved > 0).otherwise(moved < 0), "improved").otherwise("regressed")
+    )
     return metrics.withColumn("verdict", verdict)

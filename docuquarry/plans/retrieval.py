@@ -53,14 +53,14 @@ def fuse(legs: dict[str, DataFrame], key: str, limit: int) -> DataFrame:
 
 
 def suppress_near_duplicates(evidence: DataFrame, query: str, order: str, shingle_column: str, threshold: float = 0.8) -> DataFrame:
-    """Greedy per query: a row goes when a kept one contains threshold of the smaller shingle set. Groups are a query's evidence, a bounded list."""
+    """Greedy per query: a row goes when a kept one contains threshold of the smaller shingle set; rows without shingles stay and drop nothing. Groups are a query's evidence, a bounded list."""
     cols = evidence.select(query, order, shingle_column, *[c for c in evidence.columns if c not in (query, order, shingle_column)])
 
     def first_of_kind(rows: list[tuple]) -> list[tuple]:
         kept: list[tuple[frozenset, tuple]] = []
         for row in rows:
             s = frozenset(row[2] or ())
-            if not any(len(s & t) >= threshold * min(len(s), len(t)) for t, _ in kept):
+            if not s or not any(t and len(s & t) / min(len(s), len(t)) >= threshold for t, _ in kept):
                 kept.append((s, row))
         return [row for _, row in kept]
 

@@ -12,10 +12,24 @@ from pyspark.sql import functions as F
 
 #: What is read, by the first bytes that it must have, and names that are never documents.
 MAGIC = {"pdf": b"%PDF", "docx": b"PK\x03\x04"}
-JUNK_FOLDERS, JUNK_NAMES = {"__MACOSX"}, {"thumbs.db", "desktop.ini"}
+JUNK_FOLDERS, JUNK_NAMES = ("__MACOSX/",), {".DS_Store", "Thumbs.db"}
 _SCHEMA = "archive string, name string, content binary, reason string"
 
 
+def _free_name(base: str, folders: list[str], taken: set[str]) -> str:
+    """A name that isn't taken: behind its folder's name, or else numbered from 2."""
+    if base not in taken:
+        return base
+    apart = f"{folders[-1].strip()} - {base}" if folders and folders[-1].strip() else base
+    if apart not in taken:
+        return apart
+    stem, dot, kind = base.rpartition(".")
+    n = 2
+    while (name := f"{stem or base} ({n}){'.' + kind if dot and kind else ''}") in taken:
+        n += 1
+    return name
+
+
 def _members(path: str, content: bytes, most: int, most_bytes: int) -> Iterator[tuple]:
     try:
         archive = zipfile.ZipFile(io.BytesIO(content or b""))
@@ -28,33 +42,38 @@ def _members(path: str, content: bytes, most: int, most_bytes: int) -> Iterator[
         if len(entries) > most or sum(e.file_size for e in entries) > most_bytes:
             yield path, None, None, "too_many_members" if len(entries) > most else "too_large"
             return
+        if not any(e.flag_bits & 1 for e in entries) and archive.testzip() is not None:
+            yield path, None, None, "corrupt"
+            return
         taken: set[str] = set()
         for entry in entries:
-            *folders, base = entry.filename.replace("\\", "/").split("/")
-            if JUNK_FOLDERS & set(folders) or base.startswith(".") or base.lower() in JUNK_NAMES:
+            *folders, base = entry.filename.replace("\\", "/").strip("/").split("/")
+            if entry.filename.startswith(JUNK_FOLDERS) or base in JUNK_NAMES or base.startswith("._") or not base:
                 continue
-            stem, dot, kind = base.rpartition(".")
-            name, n = base, 2
-            while name.lower() in taken:
-                name, n = f"{stem or base} ({n}){dot}{kind if dot else ''}", n + 1
-            taken.add(name.lower())
-            if kind.lower() not in MAGIC:
-                yield path, name, None, "unsupported"
+            name = _free_name(base, folders, taken)
+            kind = name.rpartition(".")[2].lower() if "." in name else ""
+            if kind not in MAGIC:
+                yield path, name, None, "nested" if kind == "zip" else "unsupported"
                 continue
             try:
                 body = archive.read(entry)
             except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
-                yield path, name, None, "corrupt"
+                yield path, name, None, "unreadable"
+                continue
+            if not body:
+                yield path, name, None, "empty"
                 continue
+            taken.add(name)  # a skipped file doesn't rename a later one
             yield path, name, body, None
 
 
 def expand_archives(files: DataFrame, most: int = 500, most_bytes: int = 1 << 30) -> DataFrame:
     """(archive, name, content, reason) of the documents in ZIP files (path, content), as the binaryFile source reads them.
 
-    reason says why an archive (name null) or a member gives no content: unreadable, too_many_members,
-    too_large, unsupported (archives in archives too) or corrupt. Junk is left out; names that collide
-    are numbered. A task holds one archive's member at a time.
+    reason says why an archive (name null) gives nothing: unreadable, too_many_members, too_large or
+    corrupt (a checksum fails); or why a member doesn't: nested (an archive), unsupported, unreadable or
+    empty. Junk is left out; a name that a kept member has already gets its folder's before it, or a
+    number. A task holds one archive's member at a time.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

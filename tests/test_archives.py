@@ -13,12 +13,12 @@ def packed(members):
 
 
 def test_archives_give_documents_and_reasons(spark):
-    good = packed([("a/x.pdf", b"%PDF1"), ("b/X.pdf", b"%PDF2"), ("__MACOSX/x.pdf", b"j"), (".hidden.pdf", b"j"), ("inner.zip", b"z"), ("..\\..\\y.docx", b"PK\x03\x04")])
+    good = packed([("a/x.pdf", b"%PDF1"), ("b/X.pdf", b"%PDF2"), ("__MACOSX/x.pdf", b"j"), ("._x.pdf", b"j"), ("inner.zip", b"z"), ("..\\..\\y.docx", b"PK\x03\x04")])
     rows = [("good", good), ("bad", bytearray(b"nothing")), ("empty", None), ("many", packed([(f"{i}.pdf", b"%PDF") for i in range(7)])), ("big", packed([("b.pdf", b"0" * 5000)]))]
     df = archives.expand_archives(spark.createDataFrame(rows, "path string, content binary"), most=6, most_bytes=4000)
     got = {(r["archive"], r["name"], bytes(r["content"]) if r["content"] is not None else None, r["reason"]) for r in df.collect()}
     assert got == {
-        ("good", "x.pdf", b"%PDF1", None), ("good", "X (2).pdf", b"%PDF2", None), ("good", "inner.zip", None, "unsupported"), ("good", "y.docx", b"PK\x03\x04", None),
+        ("good", "x.pdf", b"%PDF1", None), ("good", "X.pdf", b"%PDF2", None), ("good", "inner.zip", None, "nested"), ("good", "y.docx", b"PK\x03\x04", None),
         ("bad", None, None, "unreadable"), ("empty", None, None, "unreadable"), ("many", None, None, "too_many_members"), ("big", None, None, "too_large"),
     }
 
@@ -29,3 +29,16 @@ def test_uploads_are_judged(spark):
     known = up.where("name = 'f.PDF'").selectExpr("project_id", "sha2(content, 256) AS content_hash")
     got = [r["status"] for r in archives.validate_uploads(up, known, 40).orderBy("name", "project_id").collect()]
     assert got == ["accepted", "duplicate", "accepted", "mismatch", "unsupported", "empty", "duplicate", "too_large"]
+
+
+def test_names_are_taken_by_kept_members_only(spark):
+    members = [("a/n.txt", b"t"), ("a/n.pdf", b""), ("b/n.pdf", b"%PDF1"), ("c/n.pdf", b"%PDF2"), ("c/n.pdf ", b"x"), ("d/e/c/n.pdf", b"%PDF3"), ("d/Thumbs.db", b"j"), (".hidden.pdf", b"%PDF4")]
+    broken = packed([("ok.pdf", b"%PDF1"), ("bad.pdf", b"%PDF" + b"1" * 99)])
+    at = bytes(broken).rindex(b"1" * 99)
+    broken[at : at + 3] = b"222"
+    df = archives.expand_archives(spark.createDataFrame([("kept", packed(members)), ("broken", broken)], "path string, content binary"))
+    got = {(r["archive"], r["name"], bytes(r["content"]) if r["content"] is not None else None, r["reason"]) for r in df.collect()}
+    assert got == {
+        ("kept", "n.txt", None, "unsupported"), ("kept", "n.pdf", None, "empty"), ("kept", "n.pdf", b"%PDF1", None), ("kept", "c - n.pdf", b"%PDF2", None), ("kept", "n.pdf ", None, "unsupported"),
+        ("kept", "n (2).pdf", b"%PDF3", None), ("kept", ".hidden.pdf", b"%PDF4", None), ("broken", None, None, "corrupt"),
+    }
