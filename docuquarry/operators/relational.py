@@ -13,6 +13,14 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     return counts.select("value", "n", F.round(100.0 * F.col("n") / F.greatest(total, F.lit(1)), 2).alias("pct"))
 
 
+def listed(df: DataFrame, column: str, most: int = 10_000) -> Column:
+    """The distinct values of a small dimension, in order, as an array literal; a dimension of more values is refused."""
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
+    if len(values) > most:
+        raise ValueError(f"{column} has more than {most} values")
+    return F.array(*map(F.lit, values)) if values else F.array().cast(f"array<{dict(df.dtypes)[column]}>")
+
+
 def latest_per_key(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in this order, which callers make total."""
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_rank = 1").drop("_rank")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docuquarry.operators.relational import listed
+
 #: Severities of risks and of alerts in rising order.
 SEVERITIES = ["low", "medium", "high", "critical"]
 ALERT_LADDER = ["info", "low", "medium", "high", "critical"]
@@ -86,10 +88,7 @@ def resolve_rules(rules: DataFrame, projects: DataFrame) -> DataFrame:
     """For each project and alert type its own rule, else the platform's (null project); disabled ones dropped."""
     own = rules.where("project_id IS NOT NULL").select("project_id", "alert_type", F.struct("severity", "enabled").alias("own"))
     default = rules.where("project_id IS NULL").select("alert_type", F.struct("severity", "enabled").alias("base"))
-    types = rules.select("alert_type").distinct()
-    # both sides are dimension tables; each project gets each alert type by exploding the list of types
-    listed = types.agg(F.sort_array(F.collect_list("alert_type")).alias("_t"))
-    each = projects.select("project_id").withColumn("_k", F.lit(1)).join(listed.withColumn("_k", F.lit(1)), "_k").select("project_id", F.explode("_t").alias("alert_type"))
+    each = projects.select("project_id", F.explode(listed(rules, "alert_type")).alias("alert_type"))
     joined = each.join(own, ["project_id", "alert_type"], "left").join(default, "alert_type", "left")
     rule = F.coalesce("own", "base")
     return joined.select("project_id", "alert_type", rule["severity"].alias("severity"), rule["enabled"].alias("enabled")).where("enabled").drop("enabled")
