@@ -26,10 +26,14 @@ def terms(text: Column) -> Column:
     return F.transform(words, stem)
 
 
+def _posted(text: Column, weight: float) -> Column:
+    return F.transform(terms(text), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+
+
 def index(rows: DataFrame, key: str, title: str | None, body: str) -> DataFrame:
     """(term, key, weight): the inverted index of rows, to be written once, partitioned or sorted by term."""
     parts = [(body, "B"), *([(title, "A")] if title else [])]
-    posted = F.flatten(F.array(*[F.transform(terms(F.col(c)), lambda x, w=w: F.struct(x.alias("term"), F.lit(WEIGHTS[w]).alias("w"))) for c, w in parts]))
+    posted = F.flatten(F.array(*[_posted(F.col(c), WEIGHTS[w]) for c, w in parts]))
     return rows.select(key, F.inline(posted)).groupBy("term", key).agg(F.sum(F.col("w").cast("decimal(18,2)")).cast("double").alias("weight"))
 
 
