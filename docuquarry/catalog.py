@@ -395,11 +395,13 @@ def near_duplicate_suppression(spark, d):
     return retrieval.suppress_near_duplicates(lines, "conv_id", "turn", "grams").select("conv_id", "turn")
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+') AS w FROM documents), c AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'the')) AS a, len(list_filter(w, lambda x: x = 'and')) AS b, len(w) AS n FROM w)
+SELECT doc_id, round(s, 6) AS score FROM (SELECT doc_id, (ln(1 + a) + ln(1 + b)) / ln(2 + n) AS s FROM c WHERE a > 0 AND b > 0) ORDER BY s DESC, doc_id LIMIT 25""")
 def keyword_search(spark, d):
     return retrieval.keyword_rank(t(spark, d, "documents").select("doc_id", "text"), ["the", "and"], "doc_id", 25).select("doc_id", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""WITH b AS (SELECT least(floor(c * 10), 9) AS bin, count(*) AS n, avg(c) AS m, avg(y) AS a, sum(pow(c - y, 2)) AS sq FROM (SELECT l_discount * 10 AS c, CASE WHEN l_returnflag = 'R' THEN 1.0 ELSE 0.0 END AS y FROM lineitem) GROUP BY 1)
+SELECT round(sum(n * abs(m - a)) / sum(n), 6) AS ece, round(max(abs(m - a)), 6) AS mce, round(sum(sq) / sum(n), 6) AS brier FROM b""")
 def calibration_summary(spark, d):
     return metrics.calibration_errors(t(spark, d, "lineitem"), F.col("l_discount") * 10, F.col("l_returnflag") == "R")

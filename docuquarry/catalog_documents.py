@@ -149,7 +149,11 @@ def reranked_evidence(spark, d):
     return evidence.rerank(rows, "user_id").drop("rerank_score")
 
 
-@query()
+@query("""WITH RECURSIVE c AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(floor(length(text) / CASE WHEN length(text) - length(regexp_replace(text, '[ \t\n\r\x0b\x0c]', '', 'g')) >= 0.25 * length(text) THEN 3.0 ELSE 3.6 END) AS BIGINT)) END AS tokens FROM conversations),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS pos, CAST(0 AS BIGINT) AS tokens, CAST(0 AS INTEGER) AS label, CAST(0 AS BIGINT) AS spent, CAST(1 AS INTEGER) AS next FROM (SELECT DISTINCT conv_id FROM conversations)
+UNION ALL SELECT conv_id, i, pos, tokens, CASE WHEN gone THEN 0 ELSE next END, CASE WHEN gone THEN spent ELSE spent + tokens + 30 END, CASE WHEN gone THEN next ELSE next + 1 END FROM
+  (SELECT w.conv_id, c.i, c.turn AS pos, c.tokens, w.spent, w.next, w.next > 8 OR ((c.tokens + 30 > 250 OR w.spent + c.tokens + 30 > 1000) AND w.next > 3) AS gone FROM w JOIN c ON c.conv_id = w.conv_id AND c.i = w.i + 1))
+SELECT conv_id, pos, tokens, label FROM w WHERE i > 0""")
 def context_assembly(spark, d):
     rows = t(spark, d, "conversations").select("conv_id", F.col("turn").alias("pos"), tx.token_estimate(F.col("text")).alias("tokens"))
     return evidence.assemble_context(rows, "conv_id", budget=1_000, most=8)

@@ -13,6 +13,7 @@ from docuquarry.functions import text as tx
 from docuquarry.operators import layout as lay
 from docuquarry.plans import evaluation as ev
 from docuquarry.plans import fulltext as ft
+from docuquarry.plans import retrieval
 from docuquarry.sources import sinks
 from docuquarry.streaming import jobs as jb
 
@@ -86,11 +87,11 @@ def guardrail_metrics(spark, d):
     return ev.guardrail_metrics(rows, ["user_id"])
 
 
-_WIDE = "w AS (SELECT o_custkey, avg(o_totalprice) / 500000 AS mrr, avg(o_totalprice) FILTER (o_orderstatus = 'F') / 500000 AS recall, count(*) / 40.0 AS grounding FROM orders GROUP BY 1)"
+_WIDE = "w AS (SELECT o_custkey, avg(o_totalprice) / 500009 AS mrr, avg(o_totalprice) FILTER (o_orderstatus = 'F') / 500009 AS recall, count(*) / 40.0 AS grounding FROM orders GROUP BY 1)"
 
 
 def _wide(spark, d):
-    return t(spark, d, "orders").groupBy("o_custkey").agg((F.avg("o_totalprice") / 500000).alias("mrr"), (F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 500000).alias("recall"), (F.count("*") / 40.0).alias("grounding"))
+    return t(spark, d, "orders").groupBy("o_custkey").agg((F.avg("o_totalprice") / 500009).alias("mrr"), (F.avg(F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice"))) / 500009).alias("recall"), (F.count("*") / 40.0).alias("grounding"))
 
 
 @query(f"WITH {_WIDE} SELECT o_custkey, round((coalesce(recall * 0.3, 0) + mrr * 0.2 + grounding * 0.05) / (CASE WHEN recall IS NULL THEN 0.25 ELSE 0.55 END), 6) AS composite FROM w")
@@ -108,10 +109,10 @@ def run_means(spark, d):
     return ev.means(_wide(spark, d), ["mrr", "recall"])
 
 
-@query("""SELECT o_custkey AS parameter, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best_value, round((max(o_totalprice) - max(o_totalprice) FILTER (o_orderstatus = 'F')) / 500000, 6) AS gain,
-  CASE WHEN max(o_totalprice) FILTER (o_orderstatus = 'F') IS NULL THEN 'unswept' WHEN round((max(o_totalprice) - max(o_totalprice) FILTER (o_orderstatus = 'F')) / 500000, 6) <= 0.005 THEN 'keep' ELSE 'consider' END AS advice FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS parameter, arg_max(o_orderkey, (o_totalprice, -o_orderkey)) AS best_value, round((max(o_totalprice) - max(o_totalprice) FILTER (o_orderstatus = 'F')) / 500009, 6) AS gain,
+  CASE WHEN max(o_totalprice) FILTER (o_orderstatus = 'F') IS NULL THEN 'unswept' WHEN round((max(o_totalprice) - max(o_totalprice) FILTER (o_orderstatus = 'F')) / 500009, 6) <= 0.005 THEN 'keep' ELSE 'consider' END AS advice FROM orders GROUP BY 1""")
 def sweep_advice(spark, d):
-    points = t(spark, d, "orders").select(F.col("o_custkey").alias("parameter"), F.col("o_orderkey").alias("value"), (F.col("o_totalprice") / 500000).alias("composite"), (F.col("o_orderstatus") == "F").alias("is_current"))
+    points = t(spark, d, "orders").select(F.col("o_custkey").alias("parameter"), F.col("o_orderkey").alias("value"), (F.col("o_totalprice") / 500009).alias("composite"), (F.col("o_orderstatus") == "F").alias("is_current"))
     return ev.sweep_advice(points)
 
 
@@ -398,3 +399,26 @@ def neighbour_hits(spark, d):
     every = c.where("role = 'assistant'").select(F.col("conv_id").alias("contract_id"), F.col("turn").alias("reading_order"), F.lit(0.0).alias("score"), F.lit(999).alias("rank"))
     out = ft.neighbours_of(ranked.unionByName(every), c.select(F.col("conv_id").alias("contract_id"), F.col("turn").alias("reading_order")), 1)
     return out.select(F.col("contract_id").alias("conv_id"), F.col("reading_order").alias("turn"), F.round("score", 6).alias("score"))
+
+
+_UNIT = "u AS (SELECT vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / n) AS e FROM (SELECT *, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n FROM embeddings))"
+
+
+@query(f"""WITH {_UNIT}, p AS (SELECT q.vec_id AS query_id, u.vec_id, list_inner_product(q.e, u.e) AS s FROM u AS q JOIN u ON u.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(s, 6) AS similarity, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS r FROM p) WHERE r <= 10""")
+def knn_of_many(spark, d):
+    """The stated query set (ids divisible by 100) against all rows, in blocks."""
+    rows = t(spark, d, "embeddings")
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return retrieval.knn_of(rows, asked, 10, "vec_id").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""WITH {_TERMS}, {_UNIT}, k AS (SELECT doc_id, row_number() OVER (ORDER BY round(ln(1 + weight), 6) DESC, doc_id) AS rank FROM post WHERE term = 'tion' QUALIFY rank <= 50),
+v AS (SELECT u.vec_id AS doc_id, row_number() OVER (ORDER BY round(list_inner_product(q.e, u.e), 9) DESC, u.vec_id) AS rank FROM u AS q JOIN u ON u.vec_id <> q.vec_id WHERE q.vec_id = 0 QUALIFY rank <= 50)
+SELECT doc_id, round(sum(1.0 / (60 + rank)), 6) AS score, CASE WHEN count(*) > 1 THEN 'fused' ELSE min(leg) END AS source FROM (SELECT doc_id, rank, 'keyword' AS leg FROM k UNION ALL SELECT doc_id, rank, 'vector' FROM v) GROUP BY 1 ORDER BY round(sum(1.0 / (60 + rank)), 12) DESC, doc_id LIMIT 30""")
+def hybrid_search(spark, d):
+    """One question by both legs, fused: the inverted index, and the vectors of the same ids."""
+    vectors = t(spark, d, "embeddings")
+    near = retrieval.knn_of(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50, "vec_id").select(F.col("vec_id").alias("doc_id"), "rank")
+    words = ft.search(ft.index(t(spark, d, "documents"), "doc_id", None, "text"), spark.createDataFrame([(1, "tion")], "query_id int, query string"), "doc_id", limit=50).select("doc_id", "rank")
+    return retrieval.fuse({"keyword": words, "vector": near}, "doc_id", 30).withColumn("score", F.round("score", 6))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import partial
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +14,8 @@ from docuquarry.operators.folds import fold
 
 #: Fixed values of the ranking: fusion constant, and factors of neighbours and of graph hits.
 RRF_K, NEIGHBOUR_FACTOR, GRAPH_FACTOR = 60, 0.5, 0.4
+#: Rows of a block in which many queries meet many rows.
+BLOCK_ROWS = 4_096
 
 
 def knn(rows: DataFrame, query: list[float], k: int, key: str, vector: str = "embedding", floor: float | None = None) -> DataFrame:
@@ -27,6 +31,40 @@ def _equals(term: str, word: Column) -> Column:
     return word == term
 
 
+def knn_of(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
+    """(query_id, key, similarity, rank): the k rows nearest by cosine to each of queries (query_id, vector), never the row of its own id, ties by key.
+
+    Queries are packed into blocks and rows dealt into parts, both of about BLOCK_ROWS; every block meets
+    every part by an equality join on the part's number, and a part returns k rows a query.
+    """
+    n, m = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (rows, queries))
+    asked = queries.select("query_id", F.col(vector).alias("_q")).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(m)))
+    packed = asked.groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
+    meets = packed.select("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_p"), "_qs")
+    dealt = rows.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("_b"))
+
+    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(left) and len(right):  # one block and one part, each bounded
+            ids = right[key].to_numpy()
+            x = np.stack(right[vector].to_numpy()).astype(np.float64)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            for qs in left["_qs"]:
+                names = np.array([r["query_id"] for r in qs])
+                q = np.stack([np.asarray(r["_q"], np.float64) for r in qs])
+                score = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ x.T
+                for i, name in enumerate(names):
+                    order = np.lexsort((ids, -np.round(score[i], 9)))
+                    order = order[ids[order] != name][:k]
+                    out.append(pd.DataFrame({"query_id": name, key: ids[order], "similarity": score[i, order]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "similarity": []})
+
+    kinds = dict(rows.dtypes)
+    found = meets.groupBy("_p", "_b").cogroup(dealt.groupBy("_p", "_b")).applyInPandas(near, f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {kinds[key]}, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def keyword_rank(rows: DataFrame, terms: list[str], key: str, limit: int, text: str = "text") -> DataFrame:
     """Rows that hold every term as a whole word, by the logarithm of its uses over that of the text's words."""
     words = F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+")
@@ -49,7 +87,7 @@ def fuse(legs: dict[str, DataFrame], key: str, limit: int) -> DataFrame:
         one = leg.select(key, F.lit(name).alias("leg"), (1.0 / (RRF_K + F.col("rank"))).alias("part"))
         rows = one if rows is None else rows.unionByName(one)
     source = F.when(F.count("*") > 1, "fused").otherwise(F.min("leg"))
-    return rows.groupBy(key).agg(F.sum("part").alias("score"), source.alias("source")).orderBy(F.desc("score"), key).limit(limit)
+    return rows.groupBy(key).agg(F.sum("part").alias("score"), source.alias("source")).orderBy(F.round("score", 12).desc(), key).limit(limit)
 
 
 def suppress_near_duplicates(evidence: DataFrame, query: str, order: str, shingle_column: str, threshold: float = 0.8) -> DataFrame:
