@@ -41,7 +41,7 @@ def knn_of(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str =
     asked = queries.select("query_id", F.col(vector).alias("_q")).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(m)))
     packed = asked.groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
     meets = packed.select("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_p"), "_qs")
-    dealt = rows.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).cast("long").alias("_b"))
+    dealt = rows.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("_b"))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
