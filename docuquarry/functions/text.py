@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 #: White space as Unicode has it, for Java's expressions.
@@ -99,3 +101,26 @@ def risk_score(severities: Column, low_max: int = LOW_MAX, medium_max: int = MED
     score = saturating_score(F.sort_array(F.transform(severities, severity_weight), asc=False), MOST_WEIGHT)
     floor = F.when(F.array_contains(severities, "critical"), medium_max + 1).when(F.array_contains(severities, "high"), low_max + 1).otherwise(0)
     return F.greatest(F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)).cast("int"), floor)
+
+
+#: What sanitise takes out of evidence, and the mark that it leaves.
+INVISIBLE, CONTROL = r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069\ufeff]", r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\u009f]"
+DELIMITER, REMOVED = r"(?i)</?\s*(?:untrusted_evidence|system|instructions?|prompt)\s*>", "[removed: markup]"
+
+
+@F.pandas_udf(StringType())
+def nfkc(text: pd.Series) -> pd.Series:
+    """Compatibility composition, which no built-in function offers."""
+    return text.str.normalize("NFKC")
+
+
+def sanitise(text: Column) -> Column:
+    """Evidence that is safe inside a delimited prompt: composed, without invisible and control characters, delimiters marked; null is empty."""
+    seen = F.regexp_replace(nfkc(F.coalesce(text, F.lit(""))), INVISIBLE, "")
+    marked = F.regexp_replace(F.regexp_replace(seen, CONTROL, " "), DELIMITER, REMOVED)
+    return F.regexp_replace(marked, f"^{SPACE}+|{SPACE}+$", "")
+
+
+def suspicious(text: Column) -> Column:
+    """Whether text carries a delimiter, once composed, or an invisible character."""
+    return F.coalesce(nfkc(text).rlike(DELIMITER) | text.rlike(INVISIBLE), F.lit(False))

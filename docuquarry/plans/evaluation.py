@@ -164,3 +164,22 @@ def diff_totals(rows: DataFrame, matched: str = "matched", total: str = "total",
 def source_coverage(audits: DataFrame) -> DataFrame:
     """audits with coverage: citations of the evidence offered, to four places; null where none was."""
     return audits.withColumn("coverage", F.when(F.col("offered") > 0, F.round(F.col("cited") / F.col("offered"), 4)))
+
+
+def case_results(retrieved: DataFrame, context: DataFrame, cited: DataFrame, case: str) -> DataFrame:
+    """Retrieved passages (case, rank, ref_id, ...) with in_context, whether the prompt held them, and cited, whether the answer names them."""
+    flag = lambda df, name: df.select(case, "ref_id").distinct().withColumn(name, F.lit(True))
+    rows = retrieved.join(flag(context, "_in"), [case, "ref_id"], "left").join(flag(cited, "_cited"), [case, "ref_id"], "left")
+    return rows.select(*retrieved.columns, F.col("_in").isNotNull().alias("in_context"), F.col("_cited").isNotNull().alias("cited"))
+
+
+def citation_records(labels: DataFrame, offered: DataFrame, case: str) -> DataFrame:
+    """(case, label, ref_id, resolved) of the labels in answers: fabricated ones stay, unresolved, so that they can be counted."""
+    known = offered.select(case, "label", "ref_id").dropDuplicates([case, "label"])
+    return labels.select(case, "label").distinct().join(known, [case, "label"], "left").withColumn("resolved", F.col("ref_id").isNotNull())
+
+
+def metric_report(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, metric, value): one row for each number of wide scores, nulls left out, for JSON and CSV reports by sinks.write."""
+    numbers = [c for c, kind in scores.dtypes if c not in keys and kind in ("double", "float", "bigint", "int")]
+    return scores.unpivot(keys, [F.col(c).cast("double").alias(c) for c in numbers], "metric", "value").where("value IS NOT NULL")

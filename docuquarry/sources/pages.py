@@ -53,3 +53,8 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 def read_history(spark: SparkSession, path: str, schema: str, limit: int = 30) -> DataFrame:
     """The last runs by recorded_at; files that don't parse are skipped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).orderBy(F.desc("recorded_at")).limit(limit)
+
+
+def write_golden(cases: DataFrame, path: str) -> None:
+    """Evaluation cases as JSON lines that read_golden reads again; null fields are left out."""
+    cases.write.mode("overwrite").json(path)

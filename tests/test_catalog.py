@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from docuquarry import catalog, catalog_documents, catalog_evaluation, catalog_plans, catalog_registers  # noqa: F401  (register their queries)
+from docuquarry import catalog, catalog_documents, catalog_evaluation, catalog_extraction, catalog_plans, catalog_registers  # noqa: F401  (register their queries)
 
 DATA = "/root/testdata/sf0.001"
 
