@@ -11,6 +11,8 @@ from docuquarry import catalog
 from docuquarry.catalog import query
 from docuquarry.functions import costs
 from docuquarry.functions import text as tx
+from docuquarry.operators import relational as r
+from docuquarry.operators import structure
 from docuquarry.plans import evaluation as ev
 from docuquarry.plans import extraction as ex
 from docuquarry.plans import graph
@@ -253,3 +255,28 @@ def metadata_upsert(spark, d):
     old = t(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("law"))
     fresh = t(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "new").alias("law"))
     return sinks.upsert(old, fresh, ["o_orderkey"])
+
+
+@over_lines("""WITH l AS (SELECT l_orderkey AS doc_id, l_linenumber AS pos, (l_linenumber + 1) // 2 AS page, l_returnflag = 'A' AS edge, l_quantity > 15 AS kept, l_linestatus AS clause FROM lineitem),
+k AS (SELECT doc_id, clause, max(pos) AS pos FROM l WHERE kept AND pos <= 3 GROUP BY 1, 2)
+SELECT k.doc_id, k.clause, l.pos FROM k JOIN l p USING (doc_id, pos) JOIN l ON l.doc_id = k.doc_id AND l.pos > k.pos AND l.page <= p.page + 1
+WHERE k.pos = 3 AND NOT EXISTS (SELECT 1 FROM l b WHERE b.doc_id = k.doc_id AND b.edge AND b.pos > k.pos AND b.pos <= l.pos)""")
+def repaired_boundaries(spark, d):
+    line = t(spark, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("pos"), F.floor((F.col("l_linenumber") + 1) / 2).alias("page"), F.col("l_linestatus").alias("clause"), (F.col("l_returnflag") == "A").alias("edge"), F.col("l_quantity").alias("q"))
+    kept = line.where("q > 15 AND pos <= 3").select("doc_id", "clause", "pos", F.lit(3).alias("window_end"))
+    return structure.repair_boundary(kept, line, F.col("edge"))
+
+
+@query("""SELECT o_orderkey, o_totalprice, (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS total FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 25 OFFSET 25""")
+def paged_with_total(spark, d):
+    rows = t(spark, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", "o_totalprice")
+    return r.paged(rows, 2, 25, "price", {"price": "o_totalprice"}, True, "o_orderkey")
+
+
+@query("""WITH c AS (SELECT *, row_number() OVER (PARTITION BY c_nationkey = 3 ORDER BY c_acctbal DESC NULLS LAST, c_name, c_custkey) AS n, count(*) OVER (PARTITION BY c_nationkey = 3) AS total FROM customer WHERE c_nationkey = 3 OR c_acctbal > -900)
+SELECT c_nationkey = 3 AS narrow, CASE WHEN max(total) <= 200 THEN string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY n) ELSE '' END AS keys, max(total) > 200 AS truncated FROM c GROUP BY 1""")
+def candidate_contracts(spark, d):
+    c = t(spark, d, "customer")
+    order = [F.desc_nulls_last("c_acctbal"), F.asc_nulls_last("c_name")]
+    listed = lambda rows, narrow: r.candidate_keys(rows, "c_custkey", order).select(F.lit(narrow).alias("narrow"), F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"), "truncated")
+    return listed(c.where("c_nationkey = 3"), True).unionByName(listed(c.where("c_nationkey <> 3 AND c_acctbal > -900"), False))

@@ -33,6 +33,19 @@ def page(df: DataFrame, sort_by: str | None, allowed: dict[str, str], descending
     return df.orderBy(order, F.col(tie)).offset(offset).limit(limit)
 
 
+def paged(df: DataFrame, number: int, size: int, sort_by: str | None, allowed: dict[str, str], descending: bool, tie: str) -> DataFrame:
+    """A page, counted from 1, with the total of all rows beside each of its own."""
+    return page(df, sort_by, allowed, descending, tie, (max(1, number) - 1) * size, size).withColumn("total", F.lit(df.count()))
+
+
+def candidate_keys(df: DataFrame, key: str, order: list[Column], most: int = 200) -> DataFrame:
+    """One row (keys, truncated): the keys in order, or none of them, and truncated, where there are more than most."""
+    place = F.row_number().over(Window.orderBy(*order, key))
+    first = df.orderBy(*order, key).limit(most + 1).select(F.struct(place.alias("_n"), key).alias("_k"))
+    listed = first.agg(F.transform(F.array_sort(F.collect_list("_k")), lambda x: x[key]).alias("keys"))
+    return listed.select(F.when(F.size("keys") <= most, F.col("keys")).otherwise(F.slice("keys", 1, 0)).alias("keys"), (F.size("keys") > most).alias("truncated"))
+
+
 def missing_from(expected: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
     return expected.join(seen.select(*keys).distinct(), keys, "left_anti")
 

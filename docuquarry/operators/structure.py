@@ -141,3 +141,23 @@ def section_chunks(paragraphs: DataFrame, is_heading: Column, limit: int = 700)
     opened = paragraphs.withColumn("heading_pos", F.coalesce(F.last(F.when(is_heading, F.col("pos")), ignorenulls=True).over(w), F.lit(-1)))
     cols = opened.select(*[F.col(c).cast("long") for c in ("doc_id", "heading_pos", "pos", "tokens")])
     return fold(cols, ["pos"], _packed(limit), "doc_id long, heading_pos long, first_pos long, last_pos long, paragraphs long, tokens long")
+
+
+#: Fixed value: the most paragraphs that a clause cut off by its window gets beyond it.
+REPAIR = 12
+
+
+def repair_boundary(kept: DataFrame, paragraphs: DataFrame, is_boundary: Column) -> DataFrame:
+    """(doc_id, clause, pos) that clauses gain whose last paragraph is the last of their window.
+
+    kept (doc_id, clause, pos, window_end) are a clause's paragraphs and the last pos of its window; paragraphs
+    (doc_id, pos, page) are the document's. It goes on to the next boundary, by REPAIR paragraphs at most and up to
+    the page behind the last one. Pages don't fall along pos.
+    """
+    cut = kept.groupBy("doc_id", "clause").agg(F.max("pos").alias("_last"), F.max_by("window_end", "pos").alias("_end")).where("_last = _end")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    placed = paragraphs.withColumns({"_n": F.row_number().over(order), "_edges": F.sum(F.when(is_boundary, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    placed = placed.select("doc_id", "pos", "page", "_n", "_edges")
+    ends = cut.join(placed.withColumnsRenamed({"pos": "_last", "page": "_page", "_edges": "_before"}), ["doc_id", "_last"])
+    ahead = ends.withColumn("_n", F.explode(F.sequence(F.col("_n") + 1, F.col("_n") + REPAIR)))
+    return ahead.join(placed, ["doc_id", "_n"]).where("_edges = _before AND page <= _page + 1").select("doc_id", "clause", "pos")

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: What is read, by the first bytes that it must have, and names that are never documents.
 MAGIC = {"pdf": b"%PDF", "docx": b"PK\x03\x04"}
@@ -104,3 +105,39 @@ def validate_uploads(uploads: DataFrame, known: DataFrame, most_bytes: int = 100
     again = F.col("_held").isNotNull() | (F.row_number().over(w) > 1)
     status = F.coalesce(F.col("_bad"), F.when(again, "duplicate").otherwise("accepted"))
     return rows.join(held, ["project_id", "content_hash"], "left").withColumn("status", status).select(*uploads.columns, "content_hash", "status")
+
+
+def _opened(kind: str, content: bytes) -> str | None:
+    if kind == "pdf":
+        return "encrypted" if b"/Encrypt" in content else None if b"%%EOF" in content[-1024:] else "unreadable"
+    try:
+        with zipfile.ZipFile(io.BytesIO(content)) as z:
+            if any(m.flag_bits & 1 for m in z.infolist()):
+                return "encrypted"
+            return None if "word/document.xml" in z.namelist() and z.testzip() is None else "unreadable"
+    except (zipfile.BadZipFile, OSError, RuntimeError, NotImplementedError):
+        return "unreadable"
+
+
+def check_stored(files: DataFrame, most_bytes: int = 100 << 20) -> DataFrame:
+    """files (document, file_type, content, expected_hash) as (document, sha256, halt): why a stored document isn't processed, null if it is.
+
+    hash_mismatch, empty, too_large, wrong_signature, encrypted or unreadable, the first that holds. Only files that pass
+    the first four are opened: a Word file is a whole ZIP with its document part, a PDF has an end mark and no encryption
+    entry. Pages of a PDF aren't counted, and viruses aren't looked for: both need tools from outside.
+    """
+    sha, size, kind = F.sha2("content", 256), F.coalesce(F.octet_length("content"), F.lit(0)), F.lower("file_type")
+    begins = F.lit(False)
+    for ext, magic in MAGIC.items():
+        begins = begins | ((kind == ext) & F.expr(f"startswith(content, X'{magic.hex()}')"))
+    halt = F.when(~F.coalesce(sha == F.lower("expected_hash"), F.lit(False)), "hash_mismatch").when(size == 0, "empty").when(size > most_bytes, "too_large").when(~F.coalesce(begins, F.lit(False)), "wrong_signature")
+    rows = files.select("document", kind.alias("kind"), "content", sha.alias("sha256"), halt.alias("halt"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_opened(k, c) for k, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(found, pa.string())], ["document", "sha256", "halt"])
+
+    kept = [f for f in rows.schema.fields if f.name in ("document", "sha256")]
+    opened = rows.where("halt IS NULL").mapInArrow(run, StructType([*kept, StructField("halt", StringType())]))
+    return rows.where("halt IS NOT NULL").select("document", "sha256", "halt").unionByName(opened)

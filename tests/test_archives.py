@@ -42,3 +42,17 @@ def test_names_are_taken_by_kept_members_only(spark):
         ("kept", "n.txt", None, "unsupported"), ("kept", "n.pdf", None, "empty"), ("kept", "n.pdf", b"%PDF1", None), ("kept", "c - n.pdf", b"%PDF2", None), ("kept", "n.pdf ", None, "unsupported"),
         ("kept", "n (2).pdf", b"%PDF3", None), ("kept", ".hidden.pdf", b"%PDF4", None), ("broken", None, None, "corrupt"),
     }
+
+
+def test_stored_files_are_checked(spark):
+    word = packed([("word/document.xml", b"<w/>")])
+    broken = bytearray(word)
+    broken[40] ^= 255
+    files = {"ok.pdf": b"%PDF-1 x %%EOF", "cut.pdf": b"%PDF-1 x", "locked.pdf": b"%PDF-1 /Encrypt %%EOF", "ok.docx": word, "bare.docx": packed([("x.txt", b"x")]), "broken.docx": broken, "text.pdf": b"text", "empty.pdf": b"", "big.pdf": b"%PDF" + b"0" * 900, "odd.txt": b"x"}
+    df = spark.createDataFrame([(n, n.rsplit(".", 1)[1], bytearray(c)) for n, c in files.items()] + [("none.pdf", None, None)], "document string, file_type string, content binary").selectExpr("*", "if(document = 'ok.docx', upper(sha2(content, 256)), sha2(content, 256)) AS expected_hash")
+    more = df.where("document = 'ok.pdf'").selectExpr("'swapped.pdf' AS document", "file_type", "content", "'00' AS expected_hash")
+    got = {r.document: r.halt for r in archives.check_stored(df.unionByName(more), 800).collect()}
+    assert got == {
+        "ok.pdf": None, "cut.pdf": "unreadable", "locked.pdf": "encrypted", "ok.docx": None, "bare.docx": "unreadable", "broken.docx": "unreadable", "text.pdf": "wrong_signature", "empty.pdf": "empty",
+        "big.pdf": "too_large", "odd.txt": "wrong_signature", "none.pdf": "hash_mismatch", "swapped.pdf": "hash_mismatch",
+    }
