@@ -35,7 +35,7 @@ def page(df: DataFrame, sort_by: str | None, allowed: dict[str, str], descending
 
 def paged(df: DataFrame, number: int, size: int, sort_by: str | None, allowed: dict[str, str], descending: bool, tie: str) -> DataFrame:
     """A page, counted from 1, with the total of all rows beside each of its own."""
-    return page(df, sort_by, allowed, descending, tie, (max(1, number) - 1) * size, size).withColumn("total", F.lit(df.count()))
+    return page(df, sort_by, allowed, descending, tie, (max(1, number) - 1) * size, size).withColumn("total", F.lit(df.count()).cast("long"))
 
 
 def candidate_keys(df: DataFrame, key: str, order: list[Column], most: int = 200) -> DataFrame:
