@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docuquarry.llm import decontam, divergence, line_dedup, lpf, minhash, mixing, quality, sharding, topk, toxicity, url_filter
+from docuquarry.llm import decontam, divergence, line_dedup, lpf, minhash, mixing, prefix_trie, quality, sharding, topk, toxicity, url_filter
 from docuquarry.llm.runtime import table
 
 #: (verdict, host, path) of the url rules.
@@ -59,6 +59,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -66,7 +70,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity, op11_source_divergence, pipeline)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_quality_classifier, op3_exact_top_k, op4_minhash_near_dedup, op5_benchmark_decontamination, op6_mix_sources, op7_suffix_array_dedup, op8_sharding, op9_url_filters, op10_toxicity, op11_source_divergence, op13_conversation_prefix_trie, pipeline)}
 
 
 _LINES = r"""
@@ -117,6 +121,24 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f
 o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM r)
 SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50"""
 
+_TRIE = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ord(x) AS BIGINT))),
+    lambda crc, x: list_reduce(list_prepend(xor(crc, x), range(8)), lambda r, i: xor(r >> 1, (r & 1) * 3988292384))), 4294967295) % 4 AS h FROM t GROUP BY c),
+p AS (SELECT n.c, n.h, n.c - n.c % 20 AS base, least(n.h, coalesce(b.n, 0)) AS k FROM n LEFT JOIN n AS b ON b.c = n.c - n.c % 20),
+r AS (SELECT c, pos - h + k AS pos, role, text FROM t JOIN p USING (c) WHERE pos >= h
+  UNION ALL SELECT p.c, pos, role, text FROM t JOIN p ON t.c = base WHERE pos < k),
+x AS (SELECT c, pos + 1 AS depth, sha256(string_agg(sha256(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY pos)) AS d, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r
+  UNION ALL SELECT c, 0, '', 0 FROM n),
+e AS (SELECT *, depth = max(depth) OVER (PARTITION BY c) AS ends, lag(d) OVER (PARTITION BY c ORDER BY depth) AS up FROM x),
+g AS (SELECT depth, d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n_convs, any_value(words) AS words, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256,
+  count(*) FILTER (ends) AS n_ends FROM e GROUP BY depth, d),
+k AS (SELECT up AS d, depth - 1 AS depth, count(*) AS n FROM g WHERE depth > 0 GROUP BY ALL),
+s AS (SELECT e.depth, e.d, count(*) FILTER (g.n_ends = g.n_convs) AS n_leaves, sum((g.n_convs - 1) * g.words) AS saved FROM g JOIN e ON e.c = g.conv_id AND e.depth <= g.depth GROUP BY ALL)
+SELECT g.conv_id, g.depth, u.conv_id AS parent_conv_id, g.n_convs, coalesce(k.n, 0) AS n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN s USING (depth, d) LEFT JOIN k USING (depth, d) LEFT JOIN g AS u ON u.depth = g.depth - 1 AND u.d = g.up"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _LINES, "op3_exact_top_k": _TOP_K, "op9_url_filters": _URLS, "op11_source_divergence": _DIVERGENCE}
+    return {"op1_line_dedup": _LINES, "op3_exact_top_k": _TOP_K, "op9_url_filters": _URLS, "op11_source_divergence": _DIVERGENCE, "op13_conversation_prefix_trie": _TRIE}
