@@ -389,7 +389,17 @@ def event_windows(spark, d):
     return t(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-@query()
+#: Shingles of every turn, and for each turn the earlier ones that share 80 % of the smaller set; then a fold over the turns by recursion.
+KEPT_TURNS = """WITH RECURSIVE x AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i, CASE WHEN line = '' THEN [] WHEN len(w) < 8 THEN [line]
+    ELSE list_distinct(list_transform(range(1, len(w) - 6), lambda j: array_to_string(w[j:j + 7], ' '))) END AS g
+  FROM (SELECT *, string_split(line, ' ') AS w FROM (SELECT conv_id, turn, trim(regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g')) AS line FROM conversations))),
+y AS (SELECT a.conv_id, a.turn, a.i, len(a.g) > 0 AS said, coalesce(list(b.i) FILTER (len(a.g) > 0 AND len(b.g) > 0 AND len(list_intersect(a.g, b.g)) / least(len(a.g), len(b.g)) >= 0.8), []) AS like_it
+  FROM x AS a LEFT JOIN x AS b ON a.conv_id = b.conv_id AND b.i < a.i GROUP BY ALL),
+k AS (SELECT conv_id, i, true AS stays, CASE WHEN said THEN [i] ELSE [] END AS kept FROM y WHERE i = 1
+  UNION ALL SELECT y.conv_id, y.i, NOT list_has_any(k.kept, like_it), CASE WHEN said AND NOT list_has_any(k.kept, like_it) THEN list_append(k.kept, y.i) ELSE k.kept END FROM k JOIN y ON y.conv_id = k.conv_id AND y.i = k.i + 1)"""
+
+
+@query(KEPT_TURNS + " SELECT y.conv_id, turn FROM k JOIN y USING (conv_id, i) WHERE stays")
 def near_duplicate_suppression(spark, d):
     lines = t(spark, d, "conversations").select("conv_id", "turn", tx.shingles(F.col("text")).alias("grams"))
     return retrieval.suppress_near_duplicates(lines, "conv_id", "turn", "grams").select("conv_id", "turn")

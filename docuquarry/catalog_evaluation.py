@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docuquarry.catalog import query, t
+from docuquarry.catalog import KEPT_TURNS, query, t
 from docuquarry.functions import text as tx
 from docuquarry.operators import layout as lay
 from docuquarry.plans import evaluation as ev
@@ -121,7 +121,7 @@ def ablation_verdicts(spark, d):
     return t(spark, d, "events").select("event_id", ev.ablation_verdict(F.lit(0.02), F.col("value") / 1000).alias("verdict"))
 
 
-@query()
+@query(KEPT_TURNS + """ SELECT conv_id, count(*) AS items, count(*) FILTER (NOT stays) AS duplicates, CASE WHEN count(*) > 1 THEN round(count(*) FILTER (NOT stays) / count(*), 6) ELSE 0.0 END AS rate FROM k GROUP BY conv_id""")
 def duplicate_rates(spark, d):
     rows = t(spark, d, "conversations").select("conv_id", "turn", tx.shingles(F.col("text")).alias("grams"))
     return ev.duplicate_rates(rows, "conv_id", "turn", "grams").withColumn("rate", F.round("rate", 6))

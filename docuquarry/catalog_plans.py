@@ -13,30 +13,40 @@ from docuquarry.plans import embeddings as em
 from docuquarry.plans import planner, risks
 from docuquarry.plans import validation as v
 
-#: Questions and what the rules plan for them, worked out by hand.
-_QUESTIONS = [
-    ("Compare the indemnity of both vendors", "comparison", "clause_retrieval", "indemnification", None, "clause:40,chunk:20", 2),
-    ("Which contracts expire in the next 3 months?", "timeline", "metadata_only", "", 90, "", 0),
-    ("What does section 11.2 say?", "clause_lookup", "clause_retrieval", "", None, "clause:40,chunk:20", 1),
-    ("Any high-risk deals with uncapped liability", "risk_assessment", "metadata_plus_document", "limitation_of_liability", None, "document_summary:25,clause:40,chunk:20", 1),
-    ("Who is responsible within 60 days", "obligation_lookup", "clause_retrieval", "", 60, "clause:40,chunk:20", 1),
-    ("How much is the invoice", "financial", "hybrid", "payment_terms", None, "document_summary:25,clause:40,chunk:20", 1),
-    ("GDPR please", "compliance", "metadata_plus_document", "data_protection", None, "document_summary:25,clause:40,chunk:20", 1),
-    ("what is linked to this", "relationship", "graph_traversal", "", None, "document_summary:25,clause:40,chunk:20", 1),
-    ("Summarise: overview", "summarization", "metadata_plus_document", "", None, "document_summary:25,clause:40,chunk:20", 2),
-    ("How many are there", "metadata_lookup", "metadata_only", "", None, "", 0),
-    ("hello", "general_qa", "hybrid", "", None, "document_summary:25,clause:40,chunk:20", 1),
-    ("", "general_qa", "hybrid", "", None, "document_summary:25,clause:40,chunk:20", 1),
-    ("upcoming: compare next quarter", "comparison", "clause_retrieval", "", 90, "clause:40,chunk:20", 2),
+#: Beginnings of questions; the rest is what the user said.
+_OPENINGS = [
+    "Compare the indemnity of both vendors", "Which contracts expire in the next 3 months?", "What does section 11.2 say?", "Any high-risk deals with uncapped liability", "Who is responsible within 60 days",
+    "How much is the invoice", "GDPR please", "what is linked to this", "Summarise: overview", "How many are there", "hello", "upcoming: compare next quarter", "low risk and risk band medium",
 ]
-_PLANNED = ", ".join("('{}', '{}', '{}', '{}', {}, '{}', {})".format(q, i, s, c, "NULL" if d is None else d, lv, w) for q, i, s, c, d, lv, w in _QUESTIONS)
 
 
-@query(f"SELECT * FROM (VALUES {_PLANNED}) AS q(query, intent, strategy, clause_types, window_days, levels, neighbour_window)")
+def _plan_sql() -> str:
+    """The rules over every question as SQL, from the same fixed tables; letters beyond ASCII count as letters of words."""
+    text = lambda x: "'" + x.replace("'", "''") + "'"
+    any_of = lambda patterns: " OR ".join(f"regexp_matches(s, {text(x)})" for x in patterns)
+    intent = "CASE " + " ".join(f"WHEN {any_of(p)} THEN '{n}'" for n, p in planner.INTENTS.items()) + " ELSE 'general_qa' END"
+    usual = "CASE intent " + " ".join(f"WHEN '{n}' THEN '{x}'" for n, x in planner.STRATEGIES.items()) + " ELSE 'hybrid' END"
+    hints = ", ".join(f"CASE WHEN {' OR '.join(f'contains(l, {text(w)})' for w in words)} THEN '{n}' END" for n, words in planner.CLAUSE_HINTS.items())
+    days = "CASE " + " ".join(f"WHEN {any_of([p])} THEN {f'CAST(regexp_extract(s, {text(p)}, 1) AS INTEGER) * {n}' if '(' in p else n}" for p, n in planner.PERIODS) + " END"
+    bands = ", ".join(f"CASE WHEN {any_of([rf'\b{x}[- ]risk\b', rf'\brisk (?:is |band )?{x}\b'])} THEN '{x}' END" for x in ("high", "medium", "low"))
+    levels = ", ".join(f"CASE WHEN strategy IN ({', '.join(map(text, of))}){' AND NOT one' if n == 'document_summary' else ''} THEN '{n}:{hits}' END" for n, hits, _, of in planner.LEVELS)
+    openings = "[" + ", ".join(map(text, _OPENINGS)) + "]"
+    listed = lambda x: f"array_to_string(list_filter([{x}], lambda v: v IS NOT NULL), ',')"
+    return rf"""WITH q AS (SELECT conv_id, turn, {openings}[1 + (conv_id + turn) % {len(_OPENINGS)}] || ' ' || text AS q, conv_id % 5 = 0 AS one FROM conversations WHERE role = 'user'),
+l AS (SELECT *, lower(q) AS l, regexp_replace(lower(q), '[^\x00-\x7F]', 'q', 'g') AS s FROM q), i AS (SELECT *, {intent} AS intent FROM l),
+t AS (SELECT *, CASE WHEN regexp_matches(s, '\b(clause|section|article)\s+\d+') THEN 'clause_retrieval' WHEN {usual} = 'metadata_only' AND one THEN 'hybrid' ELSE {usual} END AS strategy FROM i)
+SELECT conv_id, turn, intent, strategy, {listed(hints)} AS clause_types, {listed(bands)} AS risk_bands, {days} AS window_days, {listed(levels)} AS levels,
+  CASE WHEN intent IN ('summarization', 'comparison') THEN 2 WHEN intent IN ('metadata_lookup', 'timeline') THEN 0 ELSE 1 END AS neighbour_window FROM t"""
+
+
+@query(_plan_sql())
 def query_plans(spark, d):
-    asked = spark.createDataFrame([(q[0],) for q in _QUESTIONS], "query string")
+    """A plan for each thing that a user said; every fifth conversation wants an answer about one contract."""
+    opening = F.element_at(F.array(*map(F.lit, _OPENINGS)), (1 + (F.col("conv_id") + F.col("turn")) % len(_OPENINGS)).cast("int"))
+    asked = t(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.concat(opening, F.lit(" "), "text").alias("query"), (F.col("conv_id") % 5 == 0).alias("one"))
+    planned = planner.plan(asked, one_contract="one", answering=F.col("one"))
     levels = F.array_join(F.transform("levels", lambda x: F.concat(x["level"], F.lit(":"), x["hits"].cast("string"))), ",")
-    return planner.plan(asked).select("query", "intent", "strategy", F.array_join("clause_types", ",").alias("clause_types"), "window_days", levels.alias("levels"), "neighbour_window")
+    return planned.select("conv_id", "turn", "intent", "strategy", *[F.array_join(c, ",").alias(c) for c in ("clause_types", "risk_bands")], "window_days", levels.alias("levels"), "neighbour_window")
 
 
 @query("""SELECT event_id, CASE WHEN value > 150 THEN 'msa' WHEN event_type IN ('view', 'click', 'purchase') AND value / 100 >= 0.75 THEN event_type ELSE '' END AS filter FROM events""")
@@ -203,12 +213,18 @@ def lenient_casts(spark, d):
 
 
 @query("""SELECT conv_id, turn, 'Conversation ' || conv_id || chr(10) || 'Agreement type: ' || replace(role, '_', ' ') || chr(10) || CASE WHEN turn > 1 THEN 'Parties: a, b' || chr(10) ELSE '' END || trim(text) AS summary_text,
-  'Clause type: ' || role || ' | Clause ' || turn || CASE WHEN turn > 2 THEN ' | cap basis: fixed amount; is mutual: no' ELSE '' END || chr(10) || trim(text) AS clause_text, CASE WHEN turn > 0 THEN 'Clause ' || turn || chr(10) ELSE '' END || trim(text) AS chunk_text
+  'Clause type: ' || role || ' | Clause ' || turn || CASE turn % 4 WHEN 1 THEN '' WHEN 2 THEN ' | cap multiple: 1.5; carve outs: ip infringement, breach of law; terminating side: our side'
+    WHEN 3 THEN ' | cap basis: fixed amount; is mutual: no; governing law: Law ' || conv_id || '; duration months: ' || turn || '; is exclusive: yes; work product owner side: counterparty'
+    ELSE ' | has carve outs: yes; carve outs: other, 12, True, None' END || chr(10) || trim(text) AS clause_text, CASE WHEN turn > 0 THEN 'Clause ' || turn || chr(10) ELSE '' END || trim(text) AS chunk_text
 FROM conversations WHERE trim(text) <> ''""")
 def embedding_texts(spark, d):
     c = t(spark, d, "conversations")
     parties = F.when(F.col("turn") > 1, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
-    said = F.when(F.col("turn") > 2, F.create_map(F.lit("is_mutual"), F.lit("false"), F.lit("cap_basis"), F.lit("fixed_amount"), F.lit("unknown"), F.lit("x")))
+    law = F.concat(F.lit('{"is_exclusive": true, "work_product_owner_side": "counterparty", "is_mutual": false, "governing_law": "Law_'), "conv_id", F.lit('", "duration_months": '), "turn", F.lit(', "cap_basis": "fixed_amount"}'))
+    said = (
+        F.when(F.col("turn") % 4 == 1, '{"carve_outs": [], "cap_basis": "", "posture": null, "unknown": "x"}').when(F.col("turn") % 4 == 3, law)
+        .when(F.col("turn") % 4 == 2, '{"terminating_side": "our_side", "carve_outs": ["ip_infringement", "breach_of_law"], "cap_multiple": 1.5}').otherwise('{"carve_outs": ["other", 12, true, null], "has_carve_outs": true}')
+    )
     n = F.col("turn").cast("string")
     return c.where(F.trim("text") != "").select(
         "conv_id", "turn", em.summary_text(F.concat(F.lit("Conversation "), "conv_id"), F.col("role"), parties, F.col("text"), F.array().cast("array<string>")).alias("summary_text"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from pyspark.sql.types import StringType
 #: White space as Unicode has it, for Java's expressions.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 #: Words of company names that don't tell parties apart.
-COMPANY_WORDS = "private pvt limited ltd llc inc incorporated corp corporation plc gmbh llp company co sa bv nv ag pte"
+COMPANY_WORDS = ("private", "pvt", "limited", "ltd", "llc", "inc", "incorporated", "corp", "corporation", "plc", "gmbh", "llp", "company", "co", "sa", "bv", "nv", "ag", "pte")
 
 
 def squeeze(text: Column) -> Column:
@@ -32,7 +34,7 @@ def clause_heading(text: Column) -> Column:
 
 def party_name(text: Column) -> Column:
     """words_only without COMPANY_WORDS, for comparing names of parties."""
-    bare = F.regexp_replace(words_only(text), rf"\b({'|'.join(COMPANY_WORDS.split())})\b", " ")
+    bare = F.regexp_replace(words_only(text), rf"\b({'|'.join(COMPANY_WORDS)})\b", " ")
     return F.trim(F.regexp_replace(bare, " +", " "))
 
 
@@ -67,12 +69,20 @@ def confidence_band(value: Column) -> Column:
     return F.when(value >= 0.8, "high").when(value >= 0.55, "medium").otherwise("low")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body uses it, also inside its lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def shingles(text: Column, n: int = 8) -> Column:
     """Distinct n-word shingles; a shorter text is its own, one without words has none."""
-    line = squeeze(F.lower(text))
-    w = F.split(line, " ")
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
-    return F.when(F.coalesce(line, F.lit("")) == "", F.array().cast("array<string>")).when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array(line))
+
+    def of(w: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.size(w) - n + 1), lambda i: F.array_join(F.slice(w, i, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(runs)).otherwise(F.array(F.array_join(w, " ")))
+
+    line = squeeze(F.lower(F.coalesce(text, F.lit(""))))
+    return let(line, lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(let(F.split(x, " "), of)))
 
 
 #: Weights of severities, the largest share one finding takes, and the bands' upper ends.

@@ -12,7 +12,10 @@ from docuquarry.functions import vectors as vx
 
 #: What identifies a vector space, the longest text that is embedded, and attributes that tell clauses apart.
 SPACE, MOST_CHARS = ["model", "provider", "dim", "embedding_version", "strategy_version"], 24_000
-SALIENT = ["cap_basis", "cap_multiple", "cap_amount", "has_carve_outs", "carve_outs", "posture", "is_mutual", "is_capped", "auto_renews", "renewal_notice_days", "payment_days", "notice_days", "cure_period_days"]
+SALIENT = [
+    "cap_basis", "cap_multiple", "cap_amount", "has_carve_outs", "carve_outs", "posture", "is_mutual", "is_capped", "auto_renews", "renewal_notice_days", "payment_days", "notice_days", "cure_period_days",
+    "governing_law", "duration_months", "is_exclusive", "work_product_owner_side", "terminating_side",
+]
 
 
 def _line(prefix: str, value: Column) -> Column:
@@ -33,10 +36,22 @@ def summary_text(title: Column, agreement_type: Column, parties: Column, summary
 
 
 def salient_attributes(attributes: Column) -> Column:
-    """key: value parts of a map of text for the fixed keys it holds, joined by semicolons."""
-    said = lambda k: F.try_element_at(attributes, F.lit(k))
-    shown = lambda k: F.when(said(k) == "true", "yes").when(said(k) == "false", "no").otherwise(F.replace(said(k), F.lit("_"), F.lit(" ")))
-    return F.concat_ws("; ", *[F.when(said(k).isNotNull() & ~said(k).isin("", "[]"), F.concat(F.lit(k.replace("_", " ") + ": "), shown(k))) for k in SALIENT])
+    """key: value parts of a JSON object for the fixed keys that it holds, joined by semicolons.
+
+    Lists are joined by commas, true and false are yes and no, underscores are spaces; null, an empty text
+    and an empty list say nothing. In a list, true, false and null are named in words that begin with a capital.
+    """
+
+    def shown(value: Column) -> Column:
+        kind, said = F.schema_of_variant(value), F.variant_get(value, "$", "string")
+        spaced = lambda x: F.replace(x, F.lit("_"), F.lit(" "))
+        entry = lambda e: F.when(F.is_variant_null(e), "None").when(F.schema_of_variant(e) == "BOOLEAN", F.initcap(F.variant_get(e, "$", "string"))).otherwise(spaced(F.variant_get(e, "$", "string")))
+        listed = F.array_join(F.transform(F.variant_get(value, "$", "array<variant>"), entry), ", ")
+        one = F.when(kind == "BOOLEAN", F.when(said == "true", "yes").otherwise("no")).when(said != "", spaced(said))
+        return F.when(F.startswith(kind, F.lit("ARRAY")), F.when(F.size(F.try_variant_get(value, "$", "array<variant>")) > 0, listed)).otherwise(one)
+
+    value = lambda k: F.try_variant_get(F.try_parse_json(attributes), f"$.{k}", "variant")
+    return F.concat_ws("; ", *[F.concat(F.lit(k.replace("_", " ") + ": "), tx.let(value(k), shown)) for k in SALIENT])
 
 
 def clause_text(clause_type: Column, number: Column, title: Column, text: Column, attributes: Column | None = None) -> Column:

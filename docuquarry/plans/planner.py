@@ -55,7 +55,8 @@ CLAUSE_NUMBER, CITATION, TYPE_CONFIDENCE = r"(?i)\b(?:clause|section|article)\s+
 
 
 def _any(text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [text.rlike(x) for x in patterns])
+    """Whether any pattern is found, with letters and word ends as Unicode has them."""
+    return reduce(lambda a, b: a | b, [text.rlike("(?U)" + x) for x in patterns])
 
 
 def intent(query: Column, model_label: Column | None = None) -> Column:
@@ -86,8 +87,8 @@ def period_days(query: Column) -> Column:
     text = F.lower(F.coalesce(query, F.lit("")))
     parts = []
     for pattern, days in PERIODS:
-        number = F.regexp_extract(text, pattern, 1).try_cast("int") * days if "(" in pattern else F.lit(days)
-        parts.append(F.when(text.rlike(pattern), number))
+        number = F.regexp_extract(text, "(?U)" + pattern, 1).try_cast("int") * days if "(" in pattern else F.lit(days)
+        parts.append(F.when(_any(text, [pattern]), number))
     return F.coalesce(*parts)
 
 
@@ -118,13 +119,14 @@ def document_types(explicit: Column, detected: Column, confidence: Column, known
     return F.when(F.size(named) > 0, named).when(F.coalesce(sure, F.lit(False)), F.array(detected)).otherwise(none)
 
 
-def plan(questions: DataFrame, query: str = "query", one_contract: str | None = None, answering: bool = False) -> DataFrame:
+def plan(questions: DataFrame, query: str = "query", one_contract: str | None = None, answering: Column | bool = False) -> DataFrame:
     """questions with intent, strategy, clause_types, risk_bands, window_days, levels and neighbour_window."""
     one = F.col(one_contract) if one_contract else F.lit(False)
-    rows = questions.withColumn("intent", intent(F.col(query))).withColumn("strategy", strategy(F.col("intent"), F.col(query), one, F.lit(answering)))
+    answering = answering if isinstance(answering, Column) else F.lit(answering)
+    rows = questions.withColumn("intent", intent(F.col(query))).withColumn("strategy", strategy(F.col("intent"), F.col(query), one, answering))
     return rows.withColumns({
         "clause_types": clause_hints(F.col(query)), "risk_bands": risk_bands(F.col(query)), "window_days": period_days(F.col(query)),
-        "levels": level_budgets(F.col("strategy"), F.lit(False), one & F.lit(answering)), "neighbour_window": neighbour_window(F.col("intent")),
+        "levels": level_budgets(F.col("strategy"), F.lit(False), one & answering), "neighbour_window": neighbour_window(F.col("intent")),
     })
 
 
