@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.llm import textkit as tk
@@ -131,7 +131,7 @@ def _find(shared: Broadcast):
                     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[d] : first[d + 1]].view(np.int8), [0]]))).reshape(-1, 2)
                     yield pa.RecordBatch.from_pylist(
                         [{"x": batch.column(0)[a + d].as_py(), "hits": [{"a": i, "b": j} for i, j in edges.tolist()], "items": [table.names[k] for k in sorted(items[d])]}],
-                        schema=pa.schema([("x", pa.int64()), ("hits", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))]),
+                        schema=pa.schema([("x", pa.binary()), ("hits", pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), ("items", pa.list_(pa.string()))]),
                     )
 
     return run
@@ -153,14 +153,19 @@ def _judged(ids: pa.Array, part: np.ndarray, o: np.ndarray, words: tuple, items:
     return pa.RecordBatch.from_arrays(cols, names)
 
 
+def _identity(text: str) -> Column:
+    """What a text is known by where several passes have to agree on it: its SHA-256, null for a null text."""
+    return F.unhex(F.sha2(F.col(text).cast("binary"), 256))
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: float = 0.05) -> DataFrame:
     """The rows of docs, all columns kept, that decontaminate doesn't call contaminated; cases as there (null and empty texts stay)."""
     passes, tables = _tables(docs, benchmark, n, "item_id", "text")
     if passes > 1:
-        by_text = docs.select(F.xxhash64("text").alias("_x"), "text")
+        by_text = docs.select(_identity("text").alias("_x"), "text")
         judged = _in_passes(by_text, tables, share, "_x", "text", False)
         bad = materialize(judged.filter("contaminated").select(F.col("doc_id").alias("_x")).distinct(), "contaminated")
-        return docs.withColumn("_x", F.xxhash64("text")).join(small_side(bad, bad.count()), "_x", "left_anti").select(docs.columns)
+        return docs.withColumn("_x", _identity("text")).join(small_side(bad, bad.count()), "_x", "left_anti").select(docs.columns)
     shared = next(tables)
 
     def clean(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -177,8 +182,8 @@ def _schema(docs: DataFrame, id_col: str, clean_text: bool) -> str:
 
 def _in_passes(docs: DataFrame, tables: Iterator[Broadcast], share: float, id_col: str, text_col: str, clean_text: bool) -> DataFrame:
     """decontaminate() with several tables: a scan of all texts for each, and one to judge what they found."""
-    texts = docs.select(F.xxhash64(text_col).alias("x"), F.col(text_col).alias("text"))
-    schema = "x long, hits array<struct<a:long,b:long>>, items array<string>"
+    texts = docs.select(_identity(text_col).alias("x"), F.col(text_col).alias("text"))
+    schema = "x binary, hits array<struct<a:long,b:long>>, items array<string>"
     found = None
     for shared in tables:
         one = materialize(texts.mapInArrow(_find(shared), schema), "hits")
@@ -186,7 +191,7 @@ def _in_passes(docs: DataFrame, tables: Iterator[Broadcast], share: float, id_co
         found = one if found is None else found.unionByName(one)
     once = found.distinct().groupBy("x").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
     once = materialize(once, "found")
-    joined = docs.select(F.xxhash64(text_col).alias("x"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small_side(once, once.count()), "x", "left")
+    joined = docs.select(_identity(text_col).alias("x"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(small_side(once, once.count()), "x", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

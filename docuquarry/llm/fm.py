@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.llm import textkit as tk
@@ -147,12 +147,24 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             )
 
 
+def _bounded(read: DataFrame, most_rows: int) -> list:
+    """The rows of read (y, terms, stats), or of each class the first by a hash as far as most_rows and, together, SAMPLE_BYTES go; rows of one hash are alike."""
+    n, size = read.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("terms")), F.lit(0))).first()
+    if n <= most_rows and size <= SAMPLE_BYTES:
+        return read.collect()
+    order = F.xxhash64(F.lit(13), "terms", "stats", "y")
+    of = {y: read.filter(F.col("y") == y) for y in (0, 1)}
+    sizes = sorted((r[0], y, r[1]) for y in of for r in of[y].select(order.alias("_h"), F.octet_length("terms")).orderBy("_h").limit(most_rows // 2).collect())
+    fits = np.cumsum([n for *_, n in sizes]) <= SAMPLE_BYTES
+    return [r for y in of for r in of[y].orderBy(order).limit(sum(1 for (_, c, _), ok in zip(sizes, fits, strict=True) if ok and c == y)).collect()]
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: str, n_terms: int, use_terms: float = 0.0, sample_rows: int = SAMPLE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Machine | None:
     """A machine learnt from at most sample_rows labelled rows of each class for which the SQL condition learn holds.
 
     Ids with null or several different labels aren't used; of rows that share an id each is a row of the
-    sample. The sample is the first rows by a seeded hash of the id, as far as their distinct terms fit
-    SAMPLE_BYTES; weights restore the classes' shares. None without any label of either class. Null and
+    sample, which has at most 2 * sample_rows rows. The sample is the first rows by a seeded hash of the id,
+    as far as their distinct terms fit SAMPLE_BYTES; weights restore the classes' shares. None without any label of either class. Null and
     empty texts count as texts without words; columns but the three named aren't read.
     """
     if sample_rows > BROADCAST_ROWS // 2:
@@ -166,12 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str, learn: str, n_terms:
     sample = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], marked.schema)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "text")
     read = materialize(rows.mapInArrow(_sample_features, "y int, terms binary, stats binary"), "sample")
-    if (read.agg(F.sum(F.octet_length("terms"))).first()[0] or 0) > SAMPLE_BYTES:
-        # a few thousand rows, of which those that fit are taken in the order of a hash
-        so_far = F.sum(F.octet_length("terms")).over(Window.orderBy(F.xxhash64(F.lit(13), "terms", "stats")).rowsBetween(Window.unboundedPreceding, 0))
-        got = read.withColumn("_sum", so_far).filter(F.col("_sum") <= SAMPLE_BYTES).drop("_sum").collect()
-    else:
-        got = read.collect()
+    got = _bounded(read, 2 * sample_rows)
     forget(read)
     y = np.array([r.y for r in got], np.float64)
     if not 0 < y.sum() < len(y):

@@ -103,3 +103,14 @@ def test_tables_without_rows(spark, classify, prior):
     assert [r.score for r in classify(docs, marks.limit(0)).collect()] == [prior]
     assert [r.score for r in classify(docs, marks).collect()] == [prior]
     assert quality.keep_good(docs, marks.limit(0)).count() == 1 and quality.keep_good(docs.limit(0), marks).count() == 0
+
+
+def test_rows_that_share_an_id_are_bounded(spark, monkeypatch):
+    seen = []
+    train = fm.train
+    monkeypatch.setattr(fm, "train", lambda docs, *a, **k: seen.append(len(docs)) or train(docs, *a, **k))
+    rows = [(1, "")] * 3_000 + [(i, f"word{i % 7} good text") for i in range(2, 60)] + [(i, "bad bad bad") for i in range(60, 120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(1, 120)], "doc_id long, quality int")
+    machine = fm.fit(docs, labels, "quality", "true", 50, sample_rows=70)
+    assert seen == [70 + 60] and machine is not None
