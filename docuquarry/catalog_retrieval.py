@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docuquarry.catalog import query, t
+from docuquarry.plans import descent
 from docuquarry.plans import fulltext as ft
 from docuquarry.plans import positional
+from docuquarry.plans import vector_index as vi
 
 _STOP = ", ".join(f"'{x}'" for x in ft.STOP_WORDS)
 #: Words of every document by place, and their stems.
@@ -20,6 +22,18 @@ st AS (SELECT *, regexp_replace(s, '([a-z]{{3}})(ing|edly|ed|ly)$', '\\1') AS p
 term AS (SELECT doc_id, pos, w, w IN ({_STOP}) AS stop, CASE WHEN length(w) > 3 AND regexp_matches(p, '[a-z]{{2}}[b-df-hj-np-tv-z]{{2}}$') AND substr(p, length(p) - 1, 1) = right(p, 1) THEN left(p, -1) WHEN length(w) > 3 THEN p ELSE w END AS term FROM st)"""
 
 
+#: What each question finds among all documents.
+_FOUND = f"""{_PLACED},
+q AS (SELECT doc_id AS q, pos, term, stop FROM term SEMI JOIN (SELECT doc_id FROM words WHERE doc_id % 100 = 0 AND len(ws) > 12) USING (doc_id)),
+tree AS (SELECT q, a, c, neg, term, pos FROM q, (VALUES (0, 0, false, 2, 3), (0, 1, false, 6, 6), (1, 0, false, 8, 10), (1, 1, true, 0, 0), (2, 0, false, 11, 12)) AS v(a, c, neg, lo, hi) WHERE pos BETWEEN lo AND hi AND NOT stop),
+part AS (SELECT q, a, c, neg, count(*) AS need, min(pos) AS first FROM tree GROUP BY ALL),
+hit AS (SELECT q, a, c, neg, need, term.doc_id, term.pos - tree.pos + first AS spot FROM tree JOIN part USING (q, a, c, neg) JOIN term ON term.term = tree.term AND NOT term.stop),
+stood AS (SELECT q, a, c, neg, doc_id, spot FROM hit GROUP BY q, a, c, neg, need, doc_id, spot HAVING count(*) = need),
+clause AS (SELECT q, a, c, neg, doc_id, ln(1 + 0.4 * count(*)) AS s FROM stood GROUP BY ALL),
+alt AS (SELECT q, a, doc_id, round(sum(s), 6) AS s FROM clause JOIN (SELECT q, a, count(*) FILTER (NOT neg) AS wanted FROM part GROUP BY ALL) USING (q, a) GROUP BY q, a, doc_id, wanted HAVING count(*) FILTER (neg) = 0 AND count(*) = wanted),
+f AS (SELECT q, doc_id, max(s) AS score FROM alt GROUP BY ALL)"""
+
+
 def _questions(spark, d):
     """A question from every hundredth document: its first words as phrases, a word, an alternative and an exclusion."""
     words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
@@ -28,15 +42,7 @@ def _questions(spark, d):
     return asked.select("query_id", F.concat(F.lit('"'), w(2), F.lit(" "), w(3), F.lit('" '), w(6), F.lit(' OR "'), w(8), F.lit(" "), w(9), F.lit(" "), w(10), F.lit('" -'), w(0), F.lit(" or "), w(11), F.lit("-"), w(12)).alias("query"))
 
 
-@query(f"""WITH {_PLACED},
-q AS (SELECT doc_id AS q, pos, term, stop FROM term SEMI JOIN (SELECT doc_id FROM words WHERE doc_id % 100 = 0 AND len(ws) > 12) USING (doc_id)),
-tree AS (SELECT q, a, c, neg, term, pos FROM q, (VALUES (0, 0, false, 2, 3), (0, 1, false, 6, 6), (1, 0, false, 8, 10), (1, 1, true, 0, 0), (2, 0, false, 11, 12)) AS v(a, c, neg, lo, hi) WHERE pos BETWEEN lo AND hi AND NOT stop),
-part AS (SELECT q, a, c, neg, count(*) AS need, min(pos) AS first FROM tree GROUP BY ALL),
-hit AS (SELECT q, a, c, neg, need, term.doc_id, term.pos - tree.pos + first AS spot FROM tree JOIN part USING (q, a, c, neg) JOIN term ON term.term = tree.term AND NOT term.stop),
-stood AS (SELECT q, a, c, neg, doc_id, spot FROM hit GROUP BY q, a, c, neg, need, doc_id, spot HAVING count(*) = need),
-clause AS (SELECT q, a, c, neg, doc_id, ln(1 + 0.4 * count(*)) AS s FROM stood GROUP BY ALL),
-alt AS (SELECT q, a, doc_id, round(sum(s), 6) AS s FROM clause JOIN (SELECT q, a, count(*) FILTER (NOT neg) AS wanted FROM part GROUP BY ALL) USING (q, a) GROUP BY q, a, doc_id, wanted HAVING count(*) FILTER (neg) = 0 AND count(*) = wanted),
-f AS (SELECT q, doc_id, max(s) AS score FROM alt GROUP BY ALL)
+@query(f"""WITH {_FOUND}
 SELECT q AS query_id, doc_id, score, CAST(row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM f QUALIFY rank <= 25""")
 def web_search(spark, d):
     """Phrases, alternatives and exclusions from every hundredth document, over all documents."""
@@ -49,3 +55,74 @@ def positional_index(spark, d):
     """The whole index, by term: in how many documents, how often, and the last place of any."""
     postings = positional.index(t(spark, d, "documents"), "doc_id", {"text": 0.4})
     return postings.groupBy("term").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("uses"), F.max(F.array_max("positions")).cast("long").alias("last"))
+
+
+_UNIT = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM embeddings)"
+
+
+def _vector_rows(spark, d):
+    """Embeddings with what searches filter on: level and model by label, project by id, a risk band as metadata."""
+    level = F.when(F.col("label") == 0, "document_summary").when(F.col("label").isin(1, 2), "clause").otherwise("chunk")
+    band = F.when(F.col("vec_id") % 3 == 0, "high").otherwise("low")
+    return t(spark, d, "embeddings").select("vec_id", "embedding", level.alias("level"), F.when(F.col("vec_id") % 11 == 0, "m1").otherwise("m2").alias("model"), (F.col("vec_id") % 4).alias("project_id"), F.create_map(F.lit("risk_band"), band).alias("filter_metadata"), (F.col("vec_id") % 20).alias("contract_id"))
+
+
+@query(f"""WITH {_UNIT}, p AS (SELECT q.vec_id AS query_id, u.vec_id, list_inner_product(q.e, u.e) AS s FROM u AS q JOIN u ON u.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, vec_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank FROM p QUALIFY rank <= 10""")
+def indexed_knn(spark, d):
+    """Every hundredth vector against all rows by way of the partitioned index."""
+    rows = t(spark, d, "embeddings").select("vec_id", "embedding")
+    centres = vi.fit_centres(rows, "vec_id", n_centres=32)
+    asked = rows.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
+    return vi.nearest(vi.assign(rows, centres), centres, asked, 10, "vec_id").select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""WITH {_UNIT}, p AS (SELECT q.vec_id AS query_id, u.vec_id, list_inner_product(q.e, u.e) AS s FROM u AS q JOIN u ON u.vec_id <> q.vec_id
+  WHERE q.vec_id % 100 = 0 AND u.label IN (1, 2) AND u.vec_id % 11 <> 0 AND u.vec_id % 3 = 0 AND (q.vec_id % 300 = 0 OR u.vec_id % 4 IN (q.vec_id // 100 % 4, 2)))
+SELECT query_id, vec_id, round(s, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS INTEGER) AS rank FROM p WHERE s >= 0.02 QUALIFY rank <= 7""")
+def scoped_knn(spark, d):
+    """The index with filters of model, level and metadata, and a scope of projects for each question (every third sees all)."""
+    rows = _vector_rows(spark, d)
+    centres = vi.fit_centres(rows, "vec_id", n_centres=16)
+    scope = F.when(F.col("vec_id") % 300 != 0, F.array((F.floor(F.col("vec_id") / 100) % 4).cast("long"), F.lit(2).cast("long")))
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding", scope.alias("projects"))
+    where = (F.col("model") == "m2") & (F.col("level") == "clause") & (F.col("filter_metadata")["risk_band"] == "high")
+    found = vi.nearest(vi.assign(rows, centres), centres, asked, 7, "vec_id", where=where, match={"project_id": "projects"}, floor=0.02)
+    return found.select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query(f"""WITH {_FOUND}, {_UNIT},
+r AS (SELECT vec_id AS ref, vec_id % 20 AS con, vec_id // 20 AS num, CASE label WHEN 0 THEN 'document_summary' WHEN 1 THEN 'clause' WHEN 2 THEN 'clause' ELSE 'chunk' END AS level, e FROM u),
+p AS (SELECT a.ref AS q, b.level, b.ref, b.con, list_inner_product(a.e, b.e) AS s FROM r AS a JOIN r AS b ON a.ref <> b.ref WHERE a.ref % 100 = 0),
+v0 AS (SELECT q, level, ref, con, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, ref) AS rank FROM p WHERE level = 'document_summary' AND s >= 0.05 QUALIFY rank <= 4),
+sc AS (SELECT DISTINCT q, con FROM v0),
+pn AS (SELECT * FROM p WHERE q NOT IN (SELECT q FROM sc) OR (q, con) IN (SELECT (q, con) FROM sc)),
+kn AS (SELECT q, r.ref, r.con, score FROM f JOIN r ON r.ref = f.doc_id AND r.level = 'chunk' WHERE q IN (SELECT ref FROM r) AND (q NOT IN (SELECT q FROM sc) OR (q, r.con) IN (SELECT (q, con) FROM sc))),
+v1 AS (SELECT q, level, ref, con, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, ref) AS rank FROM pn WHERE level = 'clause' AND s >= 0.0 QUALIFY rank <= 10),
+v2 AS (SELECT q, level, ref, con, row_number() OVER (PARTITION BY q ORDER BY round(s, 9) DESC, ref) AS rank FROM pn WHERE level = 'chunk' AND s >= -1 QUALIFY rank <= 8),
+kk AS (SELECT q, ref, con, row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, ref) AS rank FROM kn),
+legs AS (SELECT 0 AS step, 'vector' AS leg, * FROM v0 UNION ALL SELECT 1, 'vector', * FROM v1 UNION ALL SELECT 2, 'vector', * FROM v2
+  UNION ALL SELECT 1, 'keyword', q, 'chunk', ref, con, rank FROM kk WHERE rank <= 10 UNION ALL SELECT 2, 'keyword', q, 'chunk', ref, con, rank FROM kk WHERE rank <= 8),
+fu AS (SELECT step, q, level, ref, con, sum(1.0 / (60 + rank)) AS score, CASE WHEN count(*) > 1 THEN 'fused' ELSE min(leg) END AS source FROM legs GROUP BY ALL),
+ev AS (SELECT *, row_number() OVER (PARTITION BY step, q ORDER BY round(score, 9) DESC, ref) AS rank FROM fu QUALIFY rank <= [4, 10, 8][step + 1]),
+se AS (SELECT *, row_number() OVER (PARTITION BY q, level ORDER BY step, rank) AS o FROM ev),
+ne AS (SELECT q, b.ref, b.con, arg_min(score, o) * 0.5 AS score FROM se JOIN r AS a ON a.ref = se.ref JOIN r AS b ON b.level = 'chunk' AND b.con = a.con AND abs(b.num - a.num) BETWEEN 1 AND 1 WHERE se.level = 'chunk' AND o <= 20 GROUP BY ALL),
+ed AS (SELECT DISTINCT x, y FROM (SELECT n AS x, 2 * n + 1 AS y FROM (SELECT DISTINCT num AS n FROM r) UNION ALL SELECT 2 * n + 1, n FROM (SELECT DISTINCT num AS n FROM r)) QUALIFY row_number() OVER (PARTITION BY x ORDER BY y) <= 5),
+gr AS (SELECT q, y, arg_min(se.con, o) AS con, arg_min(score, o) * 0.4 AS score FROM se JOIN r AS a ON a.ref = se.ref JOIN ed ON ed.x = a.num WHERE se.level = 'clause' AND o <= 10 GROUP BY ALL),
+al AS (SELECT q, level, ref, con, score, source FROM ev UNION ALL SELECT q, 'chunk', ref, con, score, 'neighbour' FROM ne WHERE (q, ref) NOT IN (SELECT (q, ref) FROM ev WHERE level = 'chunk')
+  UNION ALL SELECT q, 'clause', r.ref, r.con, score, 'graph' FROM gr JOIN r ON r.level = 'clause' AND r.con = gr.con AND r.num = gr.y),
+de AS (SELECT q, level, ref, con, score, coalesce(max(source) FILTER (source NOT IN ('neighbour', 'graph')) OVER (PARTITION BY q, level, ref), source) AS source FROM al),
+un AS (SELECT * FROM de QUALIFY row_number() OVER (PARTITION BY q, level, ref ORDER BY score DESC, source) = 1)
+SELECT q AS query_id, level, ref AS ref_id, con AS contract_id, round(score, 6) AS score, source, CAST(row_number() OVER (PARTITION BY q ORDER BY round(score, 9) DESC, level, ref) AS INTEGER) AS rank FROM un""")
+def descent_of_many(spark, d):
+    """All questions through summaries, clauses and chunks at once, with both legs, neighbours and edges."""
+    rows = _vector_rows(spark, d).select("level", F.col("vec_id").alias("ref_id"), "contract_id", "embedding", F.floor(F.col("vec_id") / 20).alias("place"))
+    asked = rows.where("ref_id % 100 = 0").select(F.col("ref_id").alias("query_id"), "embedding")
+    words = positional.search_texts(t(spark, d, "documents"), _questions(spark, d), "doc_id", {"text": 0.4}, limit=None)
+    chunks = rows.where("level = 'chunk'").select("ref_id", "contract_id", F.col("place").alias("reading_order"))
+    hits = words.join(asked.select("query_id"), "query_id", "left_semi").select("query_id", F.col("doc_id").alias("ref_id"), "score").join(chunks.select("ref_id", "contract_id"), "ref_id")
+    clauses = rows.where("level = 'clause'").select("ref_id", "contract_id", F.col("place").alias("number"))
+    edges = rows.select(F.col("place").alias("source_ref"), (2 * F.col("place") + 1).alias("target_ref")).distinct()
+    levels = [descent.Level("document_summary", 4, 0.05), descent.Level("clause", 10, 0.0), descent.Level("chunk", 8, -1.0)]
+    found = descent.descend(rows.drop("place"), asked, levels, hits, chunks, 1, clauses, edges, 1)
+    return found.withColumn("score", F.round("score", 6))

@@ -66,9 +66,9 @@ def descend(rows: DataFrame, vector: list[float], levels: list[tuple[str, int, f
 
 
 def deduplicated(hits: DataFrame, query: list[str] | None = None) -> DataFrame:
-    """Hits (level, ref_id, score, source) once each, at their best score; a real hit's source wins over a neighbour's."""
+    """Hits (level, ref_id, score, source) once each, at their best score; a real hit's source wins over that of an expansion."""
     keys = [*(query or []), "level", "ref_id"]
-    real = F.max(F.when(F.col("source") != "neighbour", F.col("source"))).over(Window.partitionBy(*keys))
+    real = F.max(F.when(~F.col("source").isin("neighbour", "graph"), F.col("source"))).over(Window.partitionBy(*keys))
     return latest_per_key(hits.withColumn("source", F.coalesce(real, "source")), keys, F.desc("score"), F.asc("source"))
 
 
