@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from docuquarry.catalog import KEPT_TURNS, query, t
 from docuquarry.functions import text as tx
 from docuquarry.operators import layout as lay
+from docuquarry.plans import calibrate
 from docuquarry.plans import evaluation as ev
 from docuquarry.plans import fulltext as ft
 from docuquarry.plans import retrieval
@@ -422,3 +423,26 @@ def hybrid_search(spark, d):
     near = retrieval.knn_of(vectors, vectors.where("vec_id = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 50, "vec_id").select(F.col("vec_id").alias("doc_id"), "rank")
     words = ft.search(ft.index(t(spark, d, "documents"), "doc_id", None, "text"), spark.createDataFrame([(1, "tion")], "query_id int, query string"), "doc_id", limit=50).select("doc_id", "rank")
     return retrieval.fuse({"keyword": words, "vector": near}, "doc_id", 30).withColumn("score", F.round("score", 6))
+
+
+#: Confidence and outcome of every line: 99 different values, some outside of 0 to 1.
+_SAMPLES = """h AS (SELECT greatest(0.0, least(1.0, x)) AS x, count(*) AS n, sum(y) AS hits FROM (SELECT l_discount * 8 + l_tax * 4 - 0.05 AS x, CASE WHEN l_quantity > 42 - 300 * l_discount THEN 1 ELSE 0 END AS y FROM lineitem WHERE l_returnflag <> 'N') GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {_SAMPLES}, t AS (SELECT sum(n) AS total FROM h),
+g AS (SELECT 0 AS i, CAST(1 AS DOUBLE) AS a, CAST(0 AS DOUBLE) AS b UNION ALL
+  SELECT i + 1, a - 0.5 * sum((n / (1 + exp(-(a * x + b))) - hits) * x) / any_value(total), b - 0.5 * sum(n / (1 + exp(-(a * x + b))) - hits) / any_value(total) FROM g, h, t WHERE i < 800 GROUP BY i, a, b),
+c AS (SELECT h.x, sum(k.hits) OVER (PARTITION BY h.x ORDER BY k.x) / sum(k.n) OVER (PARTITION BY h.x ORDER BY k.x) AS m, k.x AS upto FROM h JOIN h AS k ON k.x >= h.x),
+iso AS (SELECT x, max(low) AS isotonic FROM (SELECT p.x, c.x AS j, min(c.m) AS low FROM h AS p JOIN c ON c.x <= p.x AND c.upto >= p.x GROUP BY ALL) GROUP BY x),
+v AS (SELECT h.x, n, hits, 'raw' AS calibrator, h.x AS v FROM h UNION ALL SELECT h.x, n, hits, 'platt', 1 / (1 + exp(-(a * h.x + b))) FROM h, g WHERE i = 800 UNION ALL SELECT h.x, n, hits, 'isotonic', isotonic FROM h JOIN iso USING (x)),
+b AS (SELECT calibrator, least(floor(v * 10), 9) AS bin, sum(n) AS n, sum(v * n) / sum(n) AS mv, sum(hits) / sum(n) AS mh, sum(n * v * v - 2 * v * hits + hits) AS sq, sum(hits) AS hits FROM v GROUP BY ALL),
+m AS (SELECT calibrator, CAST(sum(n) AS BIGINT) AS samples, sum(n * abs(mv - mh)) / sum(n) AS ece, max(abs(mv - mh)) AS mce, sum(sq) / sum(n) AS brier, sum(hits) / sum(n) AS base_rate, sum(n * (mv - mh)) / sum(n) AS bias FROM b GROUP BY 1),
+r AS (SELECT CASE WHEN min(ece) <= max(ece) FILTER (calibrator = 'raw') - 0.02 THEN arg_min(calibrator, ece) ELSE 'raw' END AS best FROM m)
+SELECT calibrator, samples, round(ece, 5) AS ece, round(mce, 5) AS mce, round(brier, 5) AS brier, round(base_rate, 5) AS base_rate, round(bias, 5) + 0.0 AS mean_bias, CASE WHEN calibrator = 'platt' THEN round((SELECT a FROM g WHERE i = 800), 4) END AS a,
+  CASE WHEN calibrator = 'platt' THEN round((SELECT b FROM g WHERE i = 800), 4) END AS b, CASE WHEN calibrator = 'isotonic' THEN CAST((SELECT count(DISTINCT round(isotonic, 12)) FROM iso) AS INTEGER) END AS steps, calibrator = best AS recommended FROM m, r""")
+def calibration_report(spark, d):
+    """Raw, logistic and monotone calibration of every judged line, and which is worth it."""
+    rows = t(spark, d, "lineitem").where("l_returnflag <> 'N'")
+    said, right = F.col("l_discount") * 8 + F.col("l_tax") * 4 - 0.05, F.col("l_quantity") > 42 - 300 * F.col("l_discount")
+    got = calibrate.report(rows, said, right)
+    return got.select("calibrator", "samples", *[(F.round(c, 5) + 0.0).alias(c) for c in ("ece", "mce", "brier", "base_rate", "mean_bias")], *[F.round(c, 4).alias(c) for c in ("a", "b")], "steps", "recommended")

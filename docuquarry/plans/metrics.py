@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,29 +50,6 @@ def calibration_errors(df: DataFrame, confidence: Column, correct: Column, bins:
     return per.agg(F.round(F.sum(F.col("n") * gap) / F.sum("n"), 6).alias("ece"), F.round(F.max(gap), 6).alias("mce"), F.round(F.sum("sq") / F.sum("n"), 6).alias("brier"))
 
 
-def platt(scores: np.ndarray, labels: np.ndarray, steps: int = 800, rate: float = 0.5) -> tuple[float, float]:
-    """Slope and offset of a logistic fit by gradient descent from (1, 0)."""
-    a, b = 1.0, 0.0
-    for _ in range(steps):
-        g = 1 / (1 + np.exp(-(a * scores + b))) - labels
-        a, b = a - rate * float((g * scores).mean()), b - rate * float(g.mean())
-    return a, b
-
-
-def isotonic(pdf: pd.DataFrame, score: str, label: str) -> pd.DataFrame:
-    """Pooled adjacent violators: a non-decreasing fit of label over score."""
-    rows = pdf.groupby(score)[label].agg(["mean", "size"]).reset_index().sort_values(score)
-    blocks: list[list[float]] = []
-    for mean, size in zip(rows["mean"], rows["size"], strict=True):
-        blocks.append([mean, size, 1])
-        while len(blocks) > 1 and blocks[-2][0] > blocks[-1][0]:
-            m, n, c = blocks.pop()
-            p = blocks[-1]
-            blocks[-1] = [(p[0] * p[1] + m * n) / (p[1] + n), p[1] + n, p[2] + c]
-    rows["fitted"] = np.repeat([b[0] for b in blocks], [b[2] for b in blocks])
-    return rows[[score, "fitted"]]
-
-
 def gate(metrics: DataFrame, baseline: str, candidate: str, absolute: float | Column, relative: float | Column, higher_is_better: str = "higher", limit: str | None = None) -> DataFrame:
     """Rows (metric, baseline, candidate) with a verdict.
 

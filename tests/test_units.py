@@ -1,7 +1,5 @@
 """Null handling and folds on small fixtures."""
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from docuquarry.functions import text as tx
@@ -53,16 +51,6 @@ def test_unscoreable_case_is_null(spark):
     assert got[1].recall is None and got[1].ndcg is None and got[2].mrr == 1.0 and got[2].ndcg == 1.0
 
 
-def test_isotonic_pools_violators():
-    got = metrics.isotonic(pd.DataFrame({"s": [1, 2, 3, 4], "y": [0.0, 1.0, 0.0, 1.0]}), "s", "y")
-    assert got.fitted.tolist() == [0.0, 0.5, 0.5, 1.0]
-
-
-def test_platt_separates():
-    a, b = metrics.platt(np.array([-2.0, -1, 1, 2]), np.array([0.0, 0, 1, 1]))
-    assert a > 1 and abs(b) < 1e-6
-
-
 def test_rule_resolution(spark):
     rows = [(None, "expiry", "high", True), (1, "expiry", "low", True), (2, "expiry", "low", False), (None, "risk", "high", False)]
     table = spark.createDataFrame(rows, "project_id int, alert_type string, severity string, enabled boolean")
