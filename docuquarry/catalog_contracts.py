@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docuquarry.catalog import query, t
 from docuquarry.operators import predicates as p
 from docuquarry.plans import contract_filters as cf
+from docuquarry.sources import exports
 
 #: Each kind of filter, and its condition in SQL.
 _SPECS = [
@@ -68,3 +69,36 @@ def filtered_contracts(spark, d):
     """One specification of many entries."""
     spec = {"status": ["F", "O"], "file_type": "pdf", "uploaded_after": datetime(1997, 1, 1), "risk_score": {"min": 10, "max": 70}, "expiration_date": {"from_date": date(1999, 1, 1), "to_date": None}, "currency": "usd", "party": "m", "missing_mandatory": True, "owner": None}
     return cf.filtered(*repository_tables(spark, d), [1, 3], spec, date(2001, 6, 1)).select("id", "title", "contract_value")
+
+
+def _export(spark, d):
+    """The six sheets of an export of two projects: lines are clauses, obligations and risks, orders have a key date and a party."""
+    contracts, metadata = repository_tables(spark, d)
+    chosen = exports.selected(contracts, metadata, [1, 3], {"status": ["F", "O"], "risk_score": {"min": 20}}, date(2001, 6, 1))
+    of = contracts.select(F.col("id").alias("contract_id"), "project_id")
+    li = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "contract_id").join(of, "contract_id").withColumn("id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")))
+    kind = F.when(F.col("l_returnflag") == "R", "confidentiality").when(F.col("l_returnflag") == "A", "term").otherwise("notice")
+    clauses = li.select("id", "contract_id", "project_id", kind.alias("clause_type"), F.col("l_linenumber").cast("string").alias("clause_number"), F.lit("").alias("title"), F.concat(F.lit("S "), "l_suppkey").alias("section_title"), F.concat(F.lit("part "), "l_partkey").alias("text"), F.lit("s").alias("summary"))
+    obligations = li.where("l_linestatus = 'O'").select("id", "contract_id", "project_id", F.concat(F.lit("ship "), "l_partkey").alias("action"), F.to_date("l_shipdate").alias("due_date"))
+    risks = li.where("l_discount > 0.05").select("id", "contract_id", "project_id", F.when(F.col("l_tax") > 0.04, "high").otherwise("low").alias("severity"), F.lit("r").alias("risk_type"))
+    dates = contracts.select("id", F.col("id").alias("contract_id"), "project_id", F.to_date("created_at").alias("date_value"))
+    parties = contracts.join(metadata.select(F.col("contract_id").alias("id"), "vendor"), "id").select("id", F.col("id").alias("contract_id"), "project_id", F.col("vendor").alias("name"))
+    children = {"clauses": clauses, "obligations": obligations, "risks": risks, "key_dates": dates, "parties": parties}
+    projects = spark.createDataFrame([(1, "One"), (2, "Two")], "project_id long, name string")
+    names = ["parties", "contracts", "clauses", "nothing", "risks", "obligations", "key_dates", "clauses"]
+    return exports.export_set(chosen, children, [1, 3], projects, names, {"clauses": ["text", "title", "clause_type"], "risks": ["nothing"]}), clauses, chosen
+
+
+@query(f"""WITH {_REPOSITORY}, c AS (SELECT * FROM j WHERE NOT gone AND project_id IN (1, 3) AND status IN ('F', 'O') AND risk_score >= 20), li AS (SELECT c.*, lineitem.*, l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || CAST(l_extendedprice AS DECIMAL(18, 2)) AS line FROM lineitem JOIN c ON c.id = l_orderkey)
+SELECT 'contracts' AS entity, id AS contract, 1 AS place, title || '/' || CASE project_id WHEN 1 THEN 'One' ELSE '' END || '/' || array_to_string(coalesce(missing, []), ', ') AS said FROM c
+UNION ALL SELECT 'clauses', id, row_number() OVER (PARTITION BY id ORDER BY CASE l_returnflag WHEN 'R' THEN 'confidentiality' WHEN 'A' THEN 'term' ELSE 'notice' END, CAST(l_linenumber AS VARCHAR), line), 'S ' || l_suppkey || '/' || CASE WHEN l_returnflag = 'R' THEN '[Withheld - requires clause review permission]' ELSE 'part ' || l_partkey END FROM li
+UNION ALL SELECT 'obligations', id, row_number() OVER (PARTITION BY id ORDER BY l_shipdate, line), title || '/ship ' || l_partkey FROM li WHERE l_linestatus = 'O'
+UNION ALL SELECT 'risks', id, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END, line), title || '/' || CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END FROM li WHERE l_discount > 0.05
+UNION ALL SELECT 'key_dates', id, 1, CAST(CAST(created_at AS DATE) AS VARCHAR) FROM c UNION ALL SELECT 'parties', id, 1, vendor FROM c WHERE vendor IS NOT NULL""")
+def export_sheets(spark, d):
+    """Every row of the six sheets, restricted to the chosen contracts."""
+    rows = exports.as_rows(_export(spark, d)[0])
+    cell = lambda n: F.get_json_object("cells", f"$.{n}")
+    said = {"contracts": ["title", "project", "missing_mandatory_clauses"], "clauses": ["title", "text"], "obligations": ["contract_title", "action"], "risks": ["contract_title", "severity"], "key_dates": ["date_value"], "parties": ["name"]}
+    shown = F.coalesce(*[F.when(F.col("entity") == e, F.concat_ws("/", *map(cell, cs))) for e, cs in said.items()])
+    return rows.select("entity", "contract", F.col("place").cast("long").alias("place"), shown.alias("said"))

@@ -58,10 +58,10 @@ def export_catalogue(categories: DataFrame, mappings: DataFrame) -> DataFrame:
     return mappings.join(categories.drop("priority"), "clause_key").select(*columns).orderBy("agreement_type", "display_order", "clause_key")
 
 
-def sheet(rows: DataFrame, entity: str, wanted: list[str] | None = None) -> DataFrame:
+def sheet(rows: DataFrame, entity: str, wanted: list[str] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """The columns of an entity's sheet, or those wanted of them, in the sheet's order; all where none of the wanted is known.
 
-    Columns that rows lack are null. Texts over CELL_CHARS, which a cell can't hold, end there with a mark.
+    Columns of keep stand before them. Columns that rows lack are null. Texts over CELL_CHARS, which a cell can't hold, end there with a mark.
     """
     if entity not in SHEETS:
         raise ValueError(f"unknown sheet {entity}; there are {', '.join(SHEETS)}")
@@ -73,4 +73,4 @@ def sheet(rows: DataFrame, entity: str, wanted: list[str] | None = None) -> Data
         cut = F.when(F.length(c) > CELL_CHARS, F.concat(F.substring(c, 1, CELL_CHARS), F.lit(CELL_CUT))).otherwise(F.col(c))
         return (cut if c in LONG_TEXTS else F.col(c)).alias(c)
 
-    return rows.select(*map(cell, columns))
+    return rows.select(*keep, *map(cell, columns))
