@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docuquarry.catalog import query, t
-from docuquarry.plans import descent
+from docuquarry.plans import context, descent
 from docuquarry.plans import fulltext as ft
 from docuquarry.plans import positional
 from docuquarry.plans import vector_index as vi
@@ -126,3 +126,31 @@ def descent_of_many(spark, d):
     levels = [descent.Level("document_summary", 4, 0.05), descent.Level("clause", 10, 0.0), descent.Level("chunk", 8, -1.0)]
     found = descent.descend(rows.drop("place"), asked, levels, hits, chunks, 1, clauses, edges, 1)
     return found.withColumn("score", F.round("score", 6))
+
+
+@query("""WITH RECURSIVE t AS (SELECT conv_id, turn, role, trim(text) AS text, CASE WHEN length(trim(text)) - length(replace(replace(trim(text), ' ', ''), chr(10), '')) >= 0.25 * length(trim(text)) THEN floor(length(trim(text)) / 3.0) ELSE floor(length(trim(text)) / 3.6) END AS tk FROM conversations),
+k AS (SELECT *, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, CAST(tk AS INTEGER)) END AS tokens FROM t),
+h AS (SELECT *, sum(tokens + 8) OVER (PARTITION BY conv_id ORDER BY turn DESC) AS so, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM k WHERE role = 'user'),
+s AS (SELECT conv_id, CAST(sum(tokens + 8) AS BIGINT) AS spent FROM h WHERE n <= 6 AND (n = 1 OR so <= 120) GROUP BY 1),
+f AS (SELECT conv_id, length('=== CONTRACT FACTS ===' || chr(10) || '- Talk ' || conv_id || '; agreement type: chat; contract value: ' || count(*) || '; missing clauses: a, b') AS l, '=== CONTRACT FACTS ===' || chr(10) || '- Talk ' || conv_id || '; agreement type: chat; contract value: ' || count(*) || '; missing clauses: a, b' AS fact FROM conversations GROUP BY 1),
+c AS (SELECT conv_id, CAST(floor(l / CASE WHEN l - length(replace(replace(fact, ' ', ''), chr(10), '')) >= 0.25 * l THEN 3.0 ELSE 3.6 END) AS BIGINT) AS fact FROM f),
+e AS (SELECT conv_id, turn, text, tokens, CASE WHEN turn % 3 = 0 THEN 'clause' ELSE 'chunk' END AS level, CASE WHEN turn % 5 = 4 THEN 'neighbour' ELSE 'vector' END AS source, turn % 2 AS con, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN turn % 5 = 4 THEN 1 WHEN conv_id % 2 = 0 AND turn % 3 = 0 THEN -1 ELSE 0 END, turn) AS pos FROM k),
+w AS (SELECT conv_id, CAST(0 AS BIGINT) AS pos, coalesce(spent, 0) + fact AS spent, 1 AS label, CAST(NULL AS INTEGER) AS said FROM c LEFT JOIN s USING (conv_id)
+  UNION ALL SELECT w.conv_id, e.pos, CASE WHEN o THEN w.spent ELSE w.spent + e.tokens + 30 END, CASE WHEN o THEN w.label ELSE w.label + 1 END, CASE WHEN o THEN 0 ELSE w.label END
+  FROM w JOIN (SELECT * FROM e) AS e ON e.conv_id = w.conv_id AND e.pos = w.pos + 1, LATERAL (SELECT w.label > 5 OR ((e.tokens + 30 > 200 OR w.spent + e.tokens + 30 > 800) AND w.label > 3) AS o)),
+l AS (SELECT e.*, w.said FROM e JOIN w USING (conv_id, pos) WHERE said > 0),
+b AS (SELECT conv_id, con, min(said) AS first, '=== ' || CASE WHEN con = 1 THEN 'Odd' ELSE 'Contract 0' END || ' ===' || chr(10) || chr(10) || string_agg('[' || said || '] Clause ' || (12 - turn) || '.1' || CASE WHEN level = 'clause' THEN ' (payment terms)' ELSE ' - Part' END
+  || CASE WHEN turn % 4 = 3 THEN '' WHEN turn % 4 = 2 THEN ' [pp.3-4]' ELSE ' [p.3]' END || chr(10) || text, chr(10) || chr(10) ORDER BY CASE WHEN turn % 4 = 3 THEN 1000000 ELSE 3 END, 12 - turn, said) AS block FROM l GROUP BY 1, 2)
+SELECT conv_id AS query_id, string_agg(block, chr(10) || chr(10) ORDER BY first) AS evidence FROM b GROUP BY 1""")
+def context_packages(spark, d):
+    """Each conversation's turns as evidence under a budget that its history and facts share, rendered by contract."""
+    c = t(spark, d, "conversations").withColumnRenamed("conv_id", "query_id")
+    turn = F.col("turn")
+    history = context.trimmed_history(c.where("role = 'user'").withColumn("content", F.regexp_replace("text", r"^\s+|\s+$", "")), budget=800)
+    facts = context.fact_lines(c.groupBy("query_id").agg(F.count("*").alias("contract_value")).select("query_id", F.lit(1).alias("position"), F.col("query_id").alias("contract_id"), F.concat(F.lit("Talk "), "query_id").alias("title"), F.lit("chat").alias("agreement_type"), F.lit(None).cast("string").alias("risk_band"), "contract_value", F.array(F.lit("a"), F.lit("b")).alias("missing_mandatory_clauses")))
+    found = c.select(
+        "query_id", turn.alias("position"), "text", F.when(turn % 3 == 0, "clause").otherwise("chunk").alias("level"), F.when(turn % 5 == 4, "neighbour").otherwise("vector").alias("source"), F.when(F.col("query_id") % 2 == 0, "comparison").otherwise("financial").alias("intent"), (turn % 2).alias("contract_id"),
+        F.when(turn % 2 == 1, "Odd").alias("contract_title"), F.when(turn % 3 == 0, "payment_terms").alias("clause_type"), F.concat((12 - turn).cast("string"), F.lit(".1")).alias("clause_number"), F.lit("Part").alias("section_title"), F.when(turn % 4 != 3, 3).alias("page_start"), F.when(turn % 4 == 2, 4).when(turn % 4 == 0, 3).alias("page_end"),
+    )
+    cited = context.packages(context.prioritised(found), history, facts, budget=800, most=5)
+    return context.rendered(cited, c.select("query_id").distinct())

@@ -56,31 +56,28 @@ def plan_batches(clauses: DataFrame, budget: int, size: int = 5, overlap: float
     return fold(rows, ["priority", "clause"], _batches(budget, size, overlap), f"doc_id {kinds['doc_id']}, clause {kinds['clause']}, batch int")
 
 
-def _pack(budget: int, most: int):
-    def run(items: list[tuple]) -> list[tuple]:
-        spent, label, out = 0, 1, []
-        for query, pos, tokens in items:
-            cost = tokens + ITEM_TOKENS
-            too_big = cost > int(budget * SINGLE_SHARE) or spent + cost > budget
-            if label > most or (too_big and label > LEAST_ITEMS):
-                out.append((query, pos, tokens, 0))
-                continue
-            out.append((query, pos, tokens, label))
-            label, spent = label + 1, spent + cost
-        return out
-
-    return run
-
-
-def assemble_context(evidence: DataFrame, query: str, budget: int = CONTEXT_BUDGET, most: int = 20) -> DataFrame:
-    """Rows (query, pos, tokens) with label: the citation number in pos order, 0 where dropped.
+def assemble_context(evidence: DataFrame, query: str, budget: int = CONTEXT_BUDGET, most: int = 20, spent: str | None = None) -> DataFrame:
+    """Rows (query, pos, tokens) with label: the citation number in pos order, 0 where dropped, null where tokens are null (nothing to cite).
 
     An item over a quarter of the budget or over what is left is dropped, and later ones may still fit; the first items
-    always stay. A query's evidence is a bounded list.
+    always stay. spent names a column of what a query has spent before. A query's evidence is a bounded list,
+    which is folded in the JVM.
     """
-    cols = evidence.select(query, F.col("pos").cast("long"), F.col("tokens").cast("long"))
-    kind = dict(cols.dtypes)[query]
-    return fold(cols, ["pos"], _pack(budget, most), f"{query} {kind}, pos long, tokens long, label int")
+    before = F.col(spent).cast("long") if spent else F.lit(0).cast("long")
+    listed = evidence.groupBy(query).agg(F.sort_array(F.collect_list(F.struct(F.col("pos").cast("long").alias("pos"), F.col("tokens").cast("long").alias("tokens")))).alias("_items"), F.max(before).alias("_spent"))
+    start = F.struct(F.col("_spent").alias("spent"), F.lit(1).alias("label"), F.array().cast("array<int>").alias("labels"))
+
+    def admit(state: Column, item: Column) -> Column:
+        cost = item["tokens"] + ITEM_TOKENS
+        too_big = (cost > int(budget * SINGLE_SHARE)) | (state["spent"] + cost > budget)
+        out = (state["label"] > most) | (too_big & (state["label"] > LEAST_ITEMS))
+        stays = item["tokens"].isNotNull() & ~out
+        said = F.when(item["tokens"].isNotNull() | (state["label"] > most), F.when(out, 0).otherwise(state["label"]))
+        return F.struct(F.when(stays, state["spent"] + cost).otherwise(state["spent"]).alias("spent"), F.when(stays, state["label"] + 1).otherwise(state["label"]).alias("label"), F.concat(state["labels"], F.array(said)).alias("labels"))
+
+    folded = listed.select(query, "_items", F.aggregate("_items", start, admit)["labels"].alias("_labels"))
+    placed = F.zip_with("_items", "_labels", lambda i, n: F.struct(i["pos"].alias("pos"), i["tokens"].alias("tokens"), n.alias("label")))
+    return folded.select(query, F.inline(placed))
 
 
 def _coverage(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
