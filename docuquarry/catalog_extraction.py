@@ -280,3 +280,45 @@ def candidate_contracts(spark, d):
     order = [F.desc_nulls_last("c_acctbal"), F.asc_nulls_last("c_name")]
     listed = lambda rows, narrow: r.candidate_keys(rows, "c_custkey", order).select(F.lit(narrow).alias("narrow"), F.array_join(F.transform("keys", lambda k: k.cast("string")), ",").alias("keys"), "truncated")
     return listed(c.where("c_nationkey = 3"), True).unionByName(listed(c.where("c_nationkey <> 3 AND c_acctbal > -900"), False))
+
+
+#: Documents by line: those are pages, the first word of one its heading, and words the clauses that are looked for; ten windows make a wave.
+_DETECTED = """p AS (SELECT doc_id AS doc, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS page, unnest(string_split(text, chr(10))) AS text FROM documents WHERE text IS NOT NULL),
+t AS (SELECT DISTINCT doc, unnest(CASE WHEN doc % 2 = 0 THEN ['the', 'In', 'that', 'zzz'] ELSE ['of', 'tion'] END) AS clause FROM p),
+h AS (SELECT t.doc, clause, min(page) AS page FROM t JOIN p ON p.doc = t.doc AND lower(regexp_extract(text, '^[A-Za-z]+')) = lower(clause) GROUP BY ALL),
+n AS (SELECT doc, max(page) AS last FROM p GROUP BY 1),
+w AS (SELECT p.doc, unnest(range(CAST(greatest(0, ceil((page - 3) / 2)) AS BIGINT), CAST(least(floor((page - 1) / 2), greatest(0, ceil((last - 3) / 2))) AS BIGINT) + 1)) AS win, page, text FROM p JOIN n USING (doc)),
+z AS (SELECT doc, win, sum(length(text)) AS c FROM w GROUP BY ALL),
+a AS (SELECT t.doc, clause, min({'w': w.win, 'p': w.page}) AS f FROM t JOIN w ON w.doc = t.doc AND list_contains(string_split(w.text, ' '), lower(clause)) JOIN z ON z.doc = w.doc AND z.win = w.win AND c >= 50 WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.doc = t.doc AND h.clause = t.clause) GROUP BY ALL),
+o AS (SELECT t.doc, count(*) - count(h.clause) AS open, count(*) FILTER (h.clause IS NULL AND a.clause IS NULL) AS missing, max(a.f.w // 10) AS last FROM t LEFT JOIN h ON h.doc = t.doc AND h.clause = t.clause LEFT JOIN a ON a.doc = t.doc AND a.clause = t.clause GROUP BY 1)"""
+
+
+def _detected(spark, d):
+    from docuquarry.plans import detection
+
+    docs = t(spark, d, "documents").where("text IS NOT NULL")
+    pages = docs.select(F.col("doc_id").alias("doc"), F.posexplode(F.split("text", "\n")).alias("page", "text")).withColumn("page", (F.col("page") + 1).cast("long"))
+    headings = pages.select("doc", "page", F.regexp_extract("text", "^[A-Za-z]+", 0).alias("heading"))
+    names = F.when(F.col("doc_id") % 2 == 0, F.array(*map(F.lit, ["the", "In", "that", "zzz"]))).otherwise(F.array(F.lit("of"), F.lit("tion")))
+    wanted = docs.select(F.col("doc_id").alias("doc"), F.explode(names).alias("clause"))
+
+    def search(windows):
+        asked = windows.withColumn("clause", F.explode("pending"))
+        return asked.where(F.array_contains(F.split("text", " "), F.lower("clause"))).select("doc", "window", "page", "clause")
+
+    return detection.detect(pages, headings, wanted, search, lambda c: F.lower(c), size=3, overlap=1, wave=10, least_chars=50)
+
+
+@query(f"WITH {_DETECTED} SELECT doc, clause, 'heading' AS source, page, CAST(NULL AS BIGINT) AS window_no FROM h UNION ALL SELECT doc, clause, 'window', f.p, f.w FROM a")
+def detected_clauses(spark, d):
+    """Every claim of the detection driver over all documents."""
+    return _detected(spark, d).claims.withColumnRenamed("window", "window_no")
+
+
+@query(f"""WITH {_DETECTED} SELECT o.doc, CAST(missing AS BIGINT) AS missing, CAST((SELECT count(DISTINCT page) FROM w WHERE w.doc = o.doc AND o.open > 0 AND (o.missing > 0 OR w.win // 10 <= o.last)) AS BIGINT) AS pages_read, n.last AS pages FROM o JOIN n USING (doc)""")
+def detection_coverage(spark, d):
+    """For each document the clauses found nowhere and the pages read: where one is missing, every page."""
+    got = _detected(spark, d)
+    pages = got.read.unionByName(got.unread).groupBy("doc").agg(F.count("*").alias("pages"))
+    read, missing = got.read.groupBy("doc").agg(F.count("*").alias("pages_read")), got.missing.groupBy("doc").agg(F.count("*").alias("missing"))
+    return pages.join(read, "doc", "left").join(missing, "doc", "left").na.fill(0, ["pages_read", "missing"]).select("doc", "missing", "pages_read", "pages")
