@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docuquarry.functions import text as tx
 from docuquarry.functions import vectors as vx
+from docuquarry.operators import aggregates as agg
 from docuquarry.operators import predicates as p
 from docuquarry.operators import relational as r
 from docuquarry.plans import metrics, retrieval, rules
@@ -54,11 +55,8 @@ EXPIRY = "CAST(date_diff('day', DATE '2001-06-01', CAST(o_orderdate AS DATE)) AS
   string_agg(DISTINCT c_mktsegment, ',' ORDER BY c_mktsegment) AS roles, max(CAST(o_orderdate AS DATE)) AS last_expiry, min(c_custkey) AS sample
 FROM customer JOIN orders ON o_custkey = c_custkey WHERE trim(c_name) <> '' GROUP BY 1 ORDER BY contracts DESC, party_key LIMIT 200""")
 def party_directory(spark, d):
-    rows = contracts(spark, d).where(F.trim("c_name") != "").groupBy(F.lower(F.trim("c_name")).alias("party_key"))
-    return rows.agg(
-        F.max("c_name").alias("name"), F.countDistinct("o_orderkey").alias("contracts"), F.bool_or(F.col("c_acctbal") > 9000).alias("is_primary"),
-        F.array_join(F.array_sort(F.collect_set("c_mktsegment")), ",").alias("roles"), F.max(F.to_date("o_orderdate")).alias("last_expiry"), F.min("c_custkey").alias("sample"),
-    ).orderBy(F.desc("contracts"), "party_key").limit(200)
+    rows = agg.party_directory(contracts(spark, d), F.col("c_name"), "o_orderkey", F.col("c_acctbal") > 9000, F.col("c_mktsegment"), F.to_date("o_orderdate"), "c_custkey")
+    return rows.orderBy(F.desc("contracts"), "party_key").limit(200)
 
 
 @query("""SELECT o_orderkey, c_name, o_orderstatus, o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey
@@ -145,54 +143,43 @@ def distribution(spark, d):
 @query(f"""SELECT count(*) AS total, count(*) FILTER ({EXPIRY} BETWEEN 0 AND 90) AS expiring, count(*) FILTER (o_totalprice >= 200000) AS high_risk,
   count(*) FILTER (o_orderstatus = 'P') AS needs_review, count(*) FILTER (o_orderpriority IS NULL) AS missing FROM orders""")
 def dashboard_counts(spark, d):
-    left = days_left("o_orderdate")
-    return t(spark, d, "orders").agg(
-        F.count("*").alias("total"), F.count_if(left.between(0, 90)).alias("expiring"), F.count_if(F.col("o_totalprice") >= 200000).alias("high_risk"),
-        F.count_if(F.col("o_orderstatus") == "P").alias("needs_review"), F.count_if(F.col("o_orderpriority").isNull()).alias("missing"),
-    )
+    return agg.kpi_counts(t(spark, d, "orders"), expiring=days_left("o_orderdate").between(0, 90), high_risk=F.col("o_totalprice") >= 200000, needs_review=F.col("o_orderstatus") == "P", missing=F.col("o_orderpriority").isNull())
 
 
 @query("""SELECT c_custkey, currency, CAST(sum(v) AS DOUBLE) AS value FROM (SELECT c_custkey, coalesce(CASE WHEN c_nationkey % 4 = 0 THEN NULL ELSE c_mktsegment END, 'unknown') AS currency, o_orderkey, max(CAST(o_totalprice AS DECIMAL(18, 2))) AS v
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3) GROUP BY 1, 2""")
 def value_by_party_currency(spark, d):
-    currency = F.coalesce(F.when(F.col("c_nationkey") % 4 != 0, F.col("c_mktsegment")), F.lit("unknown"))
-    per = contracts(spark, d).groupBy("c_custkey", currency.alias("currency"), "o_orderkey").agg(F.max(F.col("o_totalprice").cast("decimal(18,2)")).alias("v"))
-    return per.groupBy("c_custkey", "currency").agg(F.sum("v").cast("double").alias("value"))
+    return agg.value_by_currency(contracts(spark, d), "c_custkey", "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)"), F.when(F.col("c_nationkey") % 4 != 0, F.col("c_mktsegment")))
 
 
 @query("""SELECT l_returnflag || l_linestatus AS clause_type, count(*) AS n_rows, count(DISTINCT l_orderkey) AS documents FROM lineitem GROUP BY 1 ORDER BY n_rows DESC, 1""")
 def clause_frequency(spark, d):
-    rows = t(spark, d, "lineitem").groupBy(F.concat("l_returnflag", "l_linestatus").alias("clause_type")).agg(F.count("*").alias("n_rows"), F.countDistinct("l_orderkey").alias("documents"))
-    return rows.orderBy(F.desc("n_rows"), "clause_type")
+    return agg.frequency(t(spark, d, "lineitem"), F.concat("l_returnflag", "l_linestatus"), "l_orderkey")
 
 
 @query("""SELECT user_id, event_type, count(*) AS n, count(*) FILTER (value > 50) AS delayed, count(*) - count(*) FILTER (value > 50) AS waiting FROM events GROUP BY 1, 2""")
 def queue_stats(spark, d):
-    rows = t(spark, d, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("delayed"))
-    return rows.withColumn("waiting", F.col("n") - F.col("delayed"))
+    return agg.queue_counts(t(spark, d, "events"), ["user_id", "event_type"], F.col("value") > 50)
 
 
 @query("""SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE value IS NOT NULL AND event_type <> 'error' GROUP BY 1""")
 def stage_durations(spark, d):
-    return t(spark, d, "events").where("value IS NOT NULL AND event_type <> 'error'").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+    return agg.mean_durations(t(spark, d, "events"), "event_type", "value", F.col("event_type") != "error")
 
 
 @query("""SELECT CASE WHEN sum(CASE WHEN event_type IN ('purchase', 'error') THEN 1 ELSE 0 END) = 0 THEN 0.0 ELSE round(count(*) FILTER (event_type = 'purchase') * 1.0 / count(*) FILTER (event_type IN ('purchase', 'error')), 4) END AS success_rate FROM events""")
 def success_rate(spark, d):
-    done, failed = F.count_if(F.col("event_type") == "purchase"), F.count_if(F.col("event_type") == "error")
-    return t(spark, d, "events").agg(F.when(done + failed == 0, 0.0).otherwise(F.round(done / (done + failed), 4)).alias("success_rate"))
+    return agg.success_rate(t(spark, d, "events"), F.col("event_type") == "purchase", F.col("event_type") == "error")
 
 
 @query("""SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE CAST(ts AS DATE) > DATE '2024-01-10' GROUP BY 1""")
 def uploads_per_day(spark, d):
-    return t(spark, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n")).where("day > DATE '2024-01-10'")
+    return agg.per_day(t(spark, d, "events"), "ts", after="2024-01-10")
 
 
 @query("""SELECT o_orderkey, count(DISTINCT l_returnflag || l_linestatus) AS found, round(count(DISTINCT l_returnflag || l_linestatus) / 6.0, 3) AS coverage FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def coverage_per_document(spark, d):
-    seen = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct(F.concat("l_returnflag", "l_linestatus")).alias("_f"))
-    rows = t(spark, d, "orders").select("o_orderkey").join(seen, F.col("o_orderkey") == F.col("l_orderkey"), "left").withColumn("found", F.coalesce("_f", F.lit(0)))
-    return rows.select("o_orderkey", "found", F.round(F.col("found") / 6.0, 3).alias("coverage"))
+    return agg.coverage(t(spark, d, "orders"), "o_orderkey", t(spark, d, "lineitem"), "l_orderkey", F.concat("l_returnflag", "l_linestatus"), 6)
 
 
 @query("""SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS n FROM orders) WHERE n = 1""")
@@ -202,7 +189,7 @@ def latest_job(spark, d):
 
 @query("""SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents GROUP BY 1""")
 def representative_rows(spark, d):
-    return t(spark, d, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.min("doc_id").alias("doc_id"))
+    return agg.representative(t(spark, d, "documents"), F.sha2("text", 256), "doc_id", "content_hash")
 
 
 @query("""SELECT n_nationkey, p_type FROM (SELECT DISTINCT n_nationkey, p_type FROM nation, (SELECT DISTINCT p_type FROM part))
@@ -256,8 +243,7 @@ def ancestor_walk_all(spark, d):
 @query("""SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders WHERE o_orderstatus = 'P' ORDER BY CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 WHEN '4' THEN 1 ELSE 0 END DESC, o_totalprice DESC, o_orderkey LIMIT 25""")
 def severity_ordering(spark, d):
     severity = F.element_at(F.array(*[F.lit(x) for x in ["critical", "high", "medium", "low", "none"]]), F.substring("o_orderpriority", 1, 1).cast("int"))
-    rows = t(spark, d, "orders").where("o_orderstatus = 'P'")
-    return rows.orderBy(rules.severity_rank(severity).desc(), F.desc("o_totalprice"), "o_orderkey").limit(25).select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return agg.top_by_severity(t(spark, d, "orders").where("o_orderstatus = 'P'"), severity, "o_totalprice", "o_orderkey").select("o_orderkey", "o_orderpriority", "o_totalprice")
 
 
 WIDE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -367,7 +353,7 @@ def calibration_bins(spark, d):
 
 @query("""SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1""")
 def latency_percentiles(spark, d):
-    return t(spark, d, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("p50"), F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"))
+    return agg.percentiles(t(spark, d, "events"), "event_type", "value", p50=0.5, p95=0.95)
 
 
 @query("""SELECT metric, b AS base, c AS cand, CASE WHEN c IS NULL THEN 'missing' WHEN b IS NULL THEN 'new' WHEN abs(c - b) <= greatest(0.5, abs(b) * 0.2) THEN 'unchanged' WHEN c > b THEN 'improved' ELSE 'regressed' END AS verdict FROM

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docuquarry.catalog import query, t
 from docuquarry.functions import text as tx
+from docuquarry.operators import aggregates as agg
 from docuquarry.operators import structure
 from docuquarry.plans import evidence
 
@@ -169,35 +170,28 @@ def extraction_batches(spark, d):
 @query("""SELECT c_name AS party, count(DISTINCT o_orderkey) AS contracts FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 0 GROUP BY 1 ORDER BY contracts DESC, party LIMIT 100""")
 def counterparties(spark, d):
     rows = t(spark, d, "orders").join(t(spark, d, "customer").where("c_acctbal > 0"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.groupBy(F.col("c_name").alias("party")).agg(F.countDistinct("o_orderkey").alias("contracts")).orderBy(F.desc("contracts"), "party").limit(100)
+    return agg.counterparties(rows, F.col("c_name"), "o_orderkey")
 
 
 @query("""SELECT role AS chunk_type, count(*) AS chunks, CAST(sum(length(text)) AS BIGINT) AS characters, max(turn) + 1 AS next_version FROM conversations GROUP BY 1""")
 def chunk_statistics(spark, d):
-    rows = t(spark, d, "conversations").groupBy(F.col("role").alias("chunk_type"))
-    return rows.agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("characters"), (F.max("turn") + 1).alias("next_version"))
+    return agg.chunk_statistics(t(spark, d, "conversations"), F.col("role"), "text", "turn")
 
 
 @query("""SELECT o_custkey, count(*) FILTER (o_orderpriority = '1-URGENT') AS critical, count(*) FILTER (o_orderpriority = '2-HIGH') AS high, count(*) FILTER (o_orderpriority > '3') AS rest,
 arg_max(o_orderstatus, CASE o_orderstatus WHEN 'P' THEN 3 WHEN 'O' THEN 2 ELSE 1 END) AS top FROM orders GROUP BY 1""")
 def risk_breakdown(spark, d):
-    level = F.col("o_orderpriority")
-    rank = F.when(F.col("o_orderstatus") == "P", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
-    rows = t(spark, d, "orders").groupBy("o_custkey")
-    return rows.agg(F.count_if(level == "1-URGENT").alias("critical"), F.count_if(level == "2-HIGH").alias("high"), F.count_if(level > "3").alias("rest"), F.max_by("o_orderstatus", rank).alias("top"))
+    level, rank = F.col("o_orderpriority"), F.when(F.col("o_orderstatus") == "P", 3).when(F.col("o_orderstatus") == "O", 2).otherwise(1)
+    return agg.severity_breakdown(t(spark, d, "orders"), "o_custkey", {"critical": level == "1-URGENT", "high": level == "2-HIGH", "rest": level > "3"}, F.col("o_orderstatus"), rank)
 
 
 @query("""WITH x AS (SELECT DISTINCT l_orderkey, unnest([l_returnflag, l_linestatus, l_returnflag || l_linestatus]) AS tag FROM lineitem)
 SELECT tag, count(*) AS cases FROM x GROUP BY 1 HAVING count(*) >= 3""")
 def tag_slices(spark, d):
-    tags = F.array("l_returnflag", "l_linestatus", F.concat("l_returnflag", "l_linestatus"))
-    rows = t(spark, d, "lineitem").select("l_orderkey", F.explode(tags).alias("tag")).distinct()
-    return rows.groupBy("tag").agg(F.count("*").alias("cases")).where("cases >= 3")
+    return agg.tag_slices(t(spark, d, "lineitem"), "l_orderkey", F.array("l_returnflag", "l_linestatus", F.concat("l_returnflag", "l_linestatus")))
 
 
 @query("""SELECT event_type AS stage, count(*) AS total, count(CASE WHEN value > 20 THEN value END) AS indexed, round(count(CASE WHEN value > 20 THEN value END) * 1.0 / count(*), 4) AS coverage,
   min(CASE WHEN value > 95 THEN ts END) AS earliest FROM events GROUP BY 1""")
 def index_coverage(spark, d):
-    some = F.count(F.when(F.col("value") > 20, F.col("value")))
-    rows = t(spark, d, "events").groupBy(F.col("event_type").alias("stage"))
-    return rows.agg(F.count("*").alias("total"), some.alias("indexed"), F.round(some / F.count("*"), 4).alias("coverage"), F.min(F.when(F.col("value") > 95, F.col("ts"))).alias("earliest"))
+    return agg.index_coverage(t(spark, d, "events"), F.col("event_type"), F.when(F.col("value") > 20, F.col("value")), F.when(F.col("value") > 95, F.col("ts")))
