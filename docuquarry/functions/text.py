@@ -12,13 +12,30 @@ from pyspark.sql.types import StringType
 
 #: White space as Unicode has it, for Java's expressions.
 SPACE = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The ASCII part of it, which a table of bits decides, and how the others begin in UTF-8.
+ASCII_SPACE = r"[\t-\r\x1c-\x20]"
+_WIDE = ["C285", "C2A0", "E19A80", "E280", "E2819F", "E38080"]
 #: Words of company names that don't tell parties apart.
 COMPANY_WORDS = ("private", "pvt", "limited", "ltd", "llc", "inc", "incorporated", "corp", "corporation", "plc", "gmbh", "llp", "company", "co", "sa", "bv", "nv", "ag", "pte")
 
 
+def _may_hold_wide_space(text: Column) -> Column:
+    """Whether a byte sequence that begins white space beyond ASCII occurs; a few comparisons of bytes, none for ASCII texts."""
+    data = text.cast("binary")
+    found = F.contains(data, F.unhex(F.lit(_WIDE[0])))
+    for start in _WIDE[1:]:
+        found = found | F.contains(data, F.unhex(F.lit(start)))
+    return (F.length(text) != F.octet_length(text)) & found
+
+
+def _without_space(text: Column, by: str, more: str = "") -> Column:
+    """Every white space (with more behind it) replaced; the long expression runs only where the short one could miss some."""
+    return F.when(_may_hold_wide_space(text), F.regexp_replace(text, SPACE + more, by)).otherwise(F.regexp_replace(text, ASCII_SPACE + more, by))
+
+
 def squeeze(text: Column) -> Column:
     """White-space runs to one space, ends stripped."""
-    return F.trim(F.regexp_replace(text, SPACE + "+", " "))
+    return F.trim(_without_space(text, " ", "+"))
 
 
 def words_only(text: Column) -> Column:
@@ -45,7 +62,7 @@ def content_hash(text: Column) -> Column:
 def token_estimate(text: Column) -> Column:
     """At least one token: characters by 3.6, or by 3.0 when a quarter of them is white space; empty: 0."""
     n = F.length(text)
-    spaces = n - F.length(F.regexp_replace(text, SPACE, ""))
+    spaces = n - F.length(_without_space(text, ""))
     per = F.when(spaces >= 0.25 * n, 3.0).otherwise(3.6)
     return F.when(n == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(n / per).cast("int")))
 

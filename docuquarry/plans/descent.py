@@ -103,6 +103,7 @@ def descend(rows: DataFrame, questions: DataFrame, levels: list[Level], keyword_
     found by keyword, keyword_hits (query_id, ref_id, contract_id, score), take part at every level but that
     of summaries; without them the vector leg stands alone. Chunks and edges expand what was found.
     """
+    keyword_hits = None if keyword_hits is None else keyword_hits.persist()
     evidence, scope = [], None
     for step, level in enumerate(levels):
         near = vector_leg(rows, questions, level, scope).withColumn("level", F.lit(level.name))

@@ -7,6 +7,8 @@ terms alone: terms to phrases (positions that agree once shifted), phrases to al
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,9 @@ _PART = r'(-?"[^"]*"?|[^\s"]+)'
 
 def placed_terms(text: Column, plain: bool = False) -> Column:
     """Array of (term, pos) of a text: words in lower case by their place, stop words counted but left out; plain takes every word as it is."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), _BETWEEN), lambda w: w != "")
+    low = F.lower(F.coalesce(text, F.lit("")))
+    cut = F.when(F.length(low) == F.octet_length(low), F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, _BETWEEN))  # the short expression for ASCII
+    words = F.filter(cut, lambda w: w != "")
     numbered = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     if plain:
         return numbered
@@ -31,15 +35,20 @@ def placed_terms(text: Column, plain: bool = False) -> Column:
 def index(rows: DataFrame, key: str, fields: dict[str, float], plain: bool = False, only: DataFrame | None = None) -> DataFrame:
     """(term, key, field, weight, positions): a row for each term, row and field, to be written once, bucketed or sorted by term.
 
-    only (term) leaves other terms out before anything is shuffled, for an index that answers a few questions.
-    A term of one row's field is one group, so a frequent term is dealt over the keys that hold it.
+    only (term) leaves other terms out before anything is shuffled, for an index that answers a few questions:
+    each different word is stemmed once, and those that no question asks for fall away. A term of one row's
+    field is one group, so a frequent term is dealt over the keys that hold it.
     """
-    out = None
+    parts = []
     for field, weight in fields.items():
-        one = rows.select(F.lit(field).alias("field"), F.lit(float(weight)).alias("weight"), key, F.inline(placed_terms(F.col(field), plain)))
-        out = one if out is None else out.unionByName(one)
+        said = placed_terms(F.col(field), True) if only is not None else placed_terms(F.col(field), plain)
+        parts.append(rows.select(F.lit(field).alias("field"), F.lit(float(weight)).alias("weight"), key, F.inline(said)))
+    out = reduce(DataFrame.unionByName, parts)
     if only is not None:
-        out = out.join(only.select("term").distinct(), "term", "left_semi")
+        words = out.select(F.col("term").alias("word")).distinct()
+        terms = words.withColumn("term", F.col("word")) if plain else words.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
+        asked = terms.join(only.select("term").distinct(), "term", "left_semi")
+        out = out.withColumnRenamed("term", "word").join(asked, "word").drop("word")
     return out.groupBy("term", key, "field", "weight").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -68,7 +77,7 @@ def search(postings: DataFrame, queries: DataFrame, key: str, query: str = "quer
     An alternative needs a clause that isn't excluded: one of exclusions alone finds nothing. Only the
     postings of the questions' terms are joined; both sides may grow, so Spark picks the join and splits hot terms.
     """
-    tree = parsed(queries, query, plain)
+    tree = parsed(queries, query, plain).persist()  # a few rows a question, read by all that follows
     by = ["query_id", "alternative"]
     phrases = tree.groupBy(*by, "clause", "negated").agg(F.count("*").alias("_terms"), F.countDistinct("term", "shift").alias("_need"))
     need = phrases.groupBy(*by).agg(F.count_if(~F.col("negated")).alias("_wanted"))
