@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docuquarry.catalog import query, t
 from docuquarry.operators import registers as g
+from docuquarry.streaming import logs
 
 _CONTRACT = """contract AS (SELECT o_orderkey AS contract_id, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS project_id, 'Order ' || o_orderkey AS title,
   CASE o_orderstatus WHEN 'F' THEN 'ready' WHEN 'O' THEN 'needs_review' ELSE 'archived' END AS status, CASE WHEN o_totalprice < 20000 THEN o_orderdate END AS deleted_at, o_orderdate AS created_at, o_totalprice, o_custkey FROM orders),
@@ -314,3 +315,15 @@ def alert_list(spark, d):
 @query(_RISKS + " SELECT contract_id, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low FROM risk GROUP BY 1")
 def severity_counts(spark, d):
     return g.severity_counts(risks(spark, d), ["contract_id"])
+
+
+@query("""WITH l AS (SELECT user_id, event_id % 40 AS run, ts, event_id, CASE event_type WHEN 'view' THEN 'started' WHEN 'purchase' THEN 'succeeded' WHEN 'error' THEN 'failed' ELSE 'heartbeat' END AS status FROM events),
+g AS (SELECT user_id, run, max(ts) FILTER (status = 'started') AS started_at, max({'a': ts, 's': status}) FILTER (status IN ('succeeded', 'failed')) AS e, count(*) FILTER (status = 'started') AS attempts FROM l GROUP BY ALL),
+o AS (SELECT *, e IS NOT NULL AND (started_at IS NULL OR e.a >= started_at) AS over FROM g)
+SELECT user_id, run, started_at, CASE WHEN over THEN e.a END AS ended_at, CASE WHEN over THEN e.s WHEN started_at IS NOT NULL THEN 'running' ELSE 'pending' END AS status, attempts,
+  CASE WHEN over THEN CAST(floor((epoch_us(e.a) - epoch_us(started_at)) / 1000) AS BIGINT) END AS duration_ms FROM o""")
+def stage_run_states(spark, d):
+    """Every run's state from the append-only log of its events."""
+    status = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("heartbeat")
+    log = t(spark, d, "events").select("user_id", (F.col("event_id") % 40).alias("run"), F.col("ts").alias("at"), status.alias("status"))
+    return logs.stage_runs(log, ["user_id", "run"]).drop("error")

@@ -13,8 +13,8 @@ from docuquarry.functions.text import squeeze
 from docuquarry.operators.folds import fold
 from docuquarry.plans.retrieval import GRAPH_FACTOR
 
-#: Shares of a quote's words found from which it is clean, or doubtful; words compared.
-QUOTE_CLEAN, QUOTE_MATCH, QUOTE_WORDS, EVIDENCE_WORDS = 0.98, 0.85, 2_000, 20_000
+#: Shares of a quote's words found from which it is clean, or doubtful; words compared by default, and the least words of a window.
+QUOTE_CLEAN, QUOTE_MATCH, QUOTE_WORDS, EVIDENCE_WORDS, WINDOW_WORDS = 0.98, 0.85, 2_000, 20_000, 1_000
 #: What text extraction mangles: marks and the plain ones they count as, and ligatures.
 QUOTE_MARKS = ("\u2018\u2019\u201c\u201d\u2013\u2014\u2212", "''\"\"---")
 LIGATURES = [("\ufb01", "fi"), ("\ufb02", "fl")]
@@ -80,14 +80,25 @@ def assemble_context(evidence: DataFrame, query: str, budget: int = CONTEXT_BUDG
     return folded.select(query, F.inline(placed))
 
 
-def _coverage(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for quotes, evidence in batches:
-        shares = []
-        for quote, text in zip(quotes, evidence, strict=True):
-            words = (quote or "").split()[:QUOTE_WORDS]
-            blocks = SequenceMatcher(None, words, (text or "").split()[:EVIDENCE_WORDS], autojunk=False).get_matching_blocks()
-            shares.append(min(1.0, sum(b.size for b in blocks) / len(words)) if words else 0.0)
-        yield pd.Series(shares)
+def _found(words: list[str], text: list[str]) -> int:
+    return sum(b.size for b in SequenceMatcher(None, words, text, autojunk=False).get_matching_blocks())
+
+
+def _coverage(quote_words: int | None, evidence_words: int | None):
+    """The share of a quote's words that stand in the evidence in order; without a bound the whole evidence, in windows that overlap by half."""
+
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for quotes, evidence in batches:
+            shares = []
+            for quote, text in zip(quotes, evidence, strict=True):
+                words, held = (quote or "").split()[:quote_words], (text or "").split()[:evidence_words]
+                width = len(held) if evidence_words else max(4 * len(words), WINDOW_WORDS)
+                starts = range(0, max(1, len(held) - width // 2), max(1, width // 2))
+                best = max((_found(words, held[i : i + width]) for i in starts), default=0) if words else 0
+                shares.append(min(1.0, best / len(words)) if words else 0.0)
+            yield pd.Series(shares)
+
+    return run
 
 
 def folded(text: Column) -> Column:
@@ -98,14 +109,15 @@ def folded(text: Column) -> Column:
     return squeeze(plain)
 
 
-def check_quotes(rows: DataFrame, quote: str, evidence: str) -> DataFrame:
+def check_quotes(rows: DataFrame, quote: str, evidence: str, quote_words: int | None = QUOTE_WORDS, evidence_words: int | None = EVIDENCE_WORDS) -> DataFrame:
     """rows with verdict: empty, ok (in the evidence as it stands, or nearly all words in order), partial or rejected.
 
     Python sees only the quotes that a substring test, over whole texts, leaves open. Of those it compares the first
-    QUOTE_WORDS words with the first EVIDENCE_WORDS of the evidence, the reference's own bounds: an altered quote
-    behind them is rejected, and words of a quote beyond them aren't looked at.
+    quote_words words with the first evidence_words of the evidence: an altered quote behind them is rejected, and
+    words of a quote beyond them aren't looked at. None takes whole quotes, and whole texts in windows of at least four
+    times the quote's length that overlap by half, so that a quote altered anywhere is found.
     """
-    share = F.pandas_udf(_coverage, "double")
+    share = F.pandas_udf(_coverage(quote_words, evidence_words), "double")
     q, e = folded(F.col(quote)), folded(F.col(evidence))
     first = rows.withColumn("_v", F.when(q == "", "empty").when(F.contains(e, q), "ok"))
     done = first.where("_v IS NOT NULL").withColumnRenamed("_v", "verdict")
