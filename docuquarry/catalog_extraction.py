@@ -184,11 +184,10 @@ def call_costs(spark, d):
     return t(spark, d, "events").select("event_id", usd.alias("usd"))
 
 
-@query("SELECT event_id, true AS within FROM events")
+@query("""SELECT event_id, round(least(20.0, 0.5 * pow(2, greatest(0, event_id % 9 - 1))) * CAST('0x' || substr(md5(event_id || ':' || event_id % 9 || ':4'), 1, 7) AS BIGINT) / 268435456, 6) AS wait FROM events""")
 def jittered_waits(spark, d):
-    attempt = (F.col("event_id") % 9).cast("int")
-    wait = costs.jittered_backoff(attempt, F.col("event_id"), 0.5, 20.0)
-    return t(spark, d, "events").select("event_id", wait.between(0, F.least(F.lit(20.0), 0.5 * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))).alias("within"))
+    wait = costs.jittered_backoff((F.col("event_id") % 9).cast("int"), F.col("event_id"), 0.5, 20.0, seed=4)
+    return t(spark, d, "events").select("event_id", F.round(wait, 6).alias("wait"))
 
 
 @query("""SELECT conv_id, turn, 'fine [removed: markup] ' || turn AS said, true AS suspicious FROM conversations""")

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docuquarry.catalog import query, t
+from docuquarry.operators import listings
 from docuquarry.operators import registers as g
 from docuquarry.streaming import logs
 
@@ -327,3 +328,31 @@ def stage_run_states(spark, d):
     status = F.when(F.col("event_type") == "view", "started").when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("heartbeat")
     log = t(spark, d, "events").select("user_id", (F.col("event_id") % 40).alias("run"), F.col("ts").alias("at"), status.alias("status"))
     return logs.stage_runs(log, ["user_id", "run"]).drop("error")
+
+
+def _audit_rows(spark, d):
+    e = t(spark, d, "events")
+    return e.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), F.when(F.col("event_id") % 4 > 0, F.col("user_id") % 5).alias("project_id"), "user_id", F.col("event_type").alias("action"), (F.col("value") > 20).alias("succeeded"), F.when(F.col("event_id") % 13 == 0, F.col("ts")).alias("deleted_at"))
+
+
+@query("""SELECT event_id AS id, event_type AS action, CASE WHEN event_id % 4 > 0 THEN user_id % 5 END AS project_id FROM events WHERE event_id % 13 <> 0 AND (event_id % 4 = 0 OR user_id % 5 IN (1, 3)) AND event_type IN ('click', 'error') AND value > 20
+ORDER BY ts DESC, event_id DESC LIMIT 40 OFFSET 80""")
+def audit_trail(spark, d):
+    """The third page of an audit trail of two projects and the platform, with filters."""
+    return listings.audit_trail(_audit_rows(spark, d), [1, 3], 3, 40, action=["click", "error"], succeeded=True, user_id=None).select("id", "action", "project_id")
+
+
+@query("""SELECT user_id, count(*) FILTER (event_type = 'error') AS failures, count(*) FILTER (event_type IN ('click', 'view') AND value > 20) AS reads, bool_or(event_type = 'error') AS has_failures, bool_or(event_type IN ('click', 'view') AND value > 20) AS has_reads FROM events WHERE event_id % 13 <> 0 GROUP BY 1""")
+def existence_counts(spark, d):
+    return listings.counts(_audit_rows(spark, d), "user_id", failures={"action": "error"}, reads={"action": ["click", "view"], "succeeded": True, "project_id": None})
+
+
+@query("""SELECT agreement_type, CAST(row_number() OVER (ORDER BY agreement_type = 'other', agreement_type) - 1 AS INTEGER) AS place FROM (SELECT DISTINCT p_type AS agreement_type FROM part WHERE p_size > 10 AND p_partkey % 9 <> 0 UNION ALL SELECT 'other')""")
+def known_document_types(spark, d):
+    profiles = t(spark, d, "part").select(F.col("p_type").alias("agreement_type"), (F.col("p_size") > 10).alias("is_active"), F.when(F.col("p_partkey") % 9 == 0, F.lit("x")).alias("deleted_at"))
+    return listings.known_types(profiles)
+
+
+@query("""SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS created_at, strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') AS due, round(o_totalprice, 2) AS value, upper(o_orderstatus) || '!' AS status FROM orders""")
+def order_responses(spark, d):
+    return listings.response(t(spark, d, "orders"), {"id": "o_orderkey", "created_at": "o_orderdate", "due": F.date_add(F.to_date("o_orderdate"), 30), "value": F.col("o_totalprice").cast("decimal(18,2)"), "status": F.concat(F.upper("o_orderstatus"), F.lit("!"))})

@@ -18,6 +18,7 @@ def cost_usd(model: Column, prices: dict[str, tuple[float, float]], input_tokens
 
 
 def jittered_backoff(attempt: Column, key: Column, base: float, cap: float = 60.0, seed: int = 0) -> Column:
-    """Seconds before an attempt (from 1): evenly spread from 0 to base doubled each time, cap at most. The draw is a hash of key and attempt, so a rerun waits as long."""
+    """Seconds before an attempt (from 1): evenly spread from 0 to base doubled each time, cap at most. The draw is a digest of key, attempt and seed, so a rerun waits as long."""
     ceiling = F.least(F.lit(float(cap)), base * F.pow(F.lit(2.0), F.greatest(F.lit(0), attempt - 1)))
-    return ceiling * F.pmod(F.xxhash64(key, attempt, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), attempt.cast("string"), F.lit(str(seed)))), 1, 7), 16, 10).cast("long")
+    return ceiling * drawn / float(1 << 28)

@@ -72,7 +72,7 @@ def accessible_projects(projects: DataFrame, members: DataFrame, user_id, is_adm
 
 def members_with_permission(users: DataFrame, members: DataFrame, roles: DataFrame, project_id, permission: str) -> DataFrame:
     """Users (user_id) who are members (project_id, user_id, role) of a project in a role (role, permissions) with the permission."""
-    able = members.where(F.col("project_id") == project_id).join(F.broadcast(roles.where(F.array_contains("permissions", permission))), "role", "left_semi")
+    able = members.where(F.col("project_id") == project_id).join(roles.where(F.array_contains("permissions", permission)), "role", "left_semi")
     return users.join(able, "user_id", "left_semi")
 
 

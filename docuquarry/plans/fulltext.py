@@ -44,8 +44,8 @@ def search(postings: DataFrame, queries: DataFrame, key: str, query: str = "quer
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col(query)))).alias("term"))
     need = asked.groupBy("query_id").agg(F.count("*").alias("_need"))
-    hits = postings.join(F.broadcast(asked), "term").groupBy("query_id", key).agg(F.count("*").alias("_have"), F.round(F.sum(F.log1p("weight")), 6).alias("score"))
-    whole = hits.join(F.broadcast(need), "query_id").where("_have = _need")
+    hits = postings.join(asked, "term").groupBy("query_id", key).agg(F.count("*").alias("_have"), F.round(F.sum(F.log1p("weight")), 6).alias("score"))
+    whole = hits.join(need, "query_id").where("_have = _need")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
     return whole.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", key, "score", "rank")
 
@@ -56,7 +56,7 @@ def descend(rows: DataFrame, vector: list[float], levels: list[tuple[str, int, f
     for level, hits, floor in levels:
         some = rows.where(F.col("level") == level)
         if narrowed is not None:
-            some = some.join(F.broadcast(narrowed), "contract_id", "left_semi")
+            some = some.join(narrowed, "contract_id", "left_semi")
         found = retrieval.knn(some, vector, hits, key, floor=floor).select("level", key, "contract_id", "similarity")
         if level == "document_summary":
             names = [r[0] for r in found.select("contract_id").distinct().collect()]  # at most so many as the level's hits

@@ -41,7 +41,7 @@ def to_run(stages: DataFrame, job: str) -> DataFrame:
 def ready(stages: DataFrame, needs: DataFrame, job: str) -> DataFrame:
     """(job, stage, ready): whether all stages that a stage needs (stage, needs) have succeeded in the job (stage, status)."""
     done = stages.where("status = 'succeeded'").select(job, F.col("stage").alias("needs"), F.lit(True).alias("_ok"))
-    rows = stages.select(job, "stage").join(F.broadcast(needs), "stage", "left").join(done, [job, "needs"], "left")
+    rows = stages.select(job, "stage").join(needs, "stage", "left").join(done, [job, "needs"], "left")
     return rows.groupBy(job, "stage").agg(F.bool_and(F.col("needs").isNull() | F.coalesce("_ok", F.lit(False))).alias("ready"))
 
 
@@ -68,7 +68,7 @@ def claim(queue: DataFrame, now: Column, limit: int, stages: list[str] | None =
 def resolve_profiles(contracts: DataFrame, profiles: DataFrame) -> DataFrame:
     """(contract_id, profile_id) for contracts (project_id, agreement_type): an active profile (project_id, agreement_type, priority, is_default, is_active) of its type, its project's before a global one, then the highest priority; else the default."""
     live = profiles.where("is_active").select(F.col("project_id").alias("_p"), "agreement_type", "priority", "profile_id")
-    fits = contracts.select("contract_id", "project_id", "agreement_type").join(F.broadcast(live), "agreement_type").where(F.col("_p").isNull() | (F.col("_p") == F.col("project_id")))
+    fits = contracts.select("contract_id", "project_id", "agreement_type").join(live, "agreement_type").where(F.col("_p").isNull() | (F.col("_p") == F.col("project_id")))
     w = Window.partitionBy("contract_id").orderBy(F.col("_p").isNull().asc(), F.desc("priority"), "profile_id")
     best = fits.withColumn("_r", F.row_number().over(w)).where("_r = 1").select("contract_id", F.col("profile_id").alias("_found"))
     default = [r[0] for r in profiles.where("is_active AND is_default").orderBy(F.desc("priority"), "profile_id").select("profile_id").limit(1).collect()]
