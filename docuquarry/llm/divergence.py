@@ -30,7 +30,7 @@ from docuquarry.llm.runtime import forget, materialize, small_side
 #: Bytes of terms in one automaton, and counts that a task holds before it hands them on.
 VOCABULARY_BYTES, HELD_COUNTS = 8 << 20, 400_000
 #: Sources that meet in one matrix, postings of a group of them, and terms of a slice.
-BLOCK_SOURCES, BLOCK_POSTINGS, SLICE_TERMS = 128, 200_000, 4_096
+BLOCK_SOURCES, BLOCK_POSTINGS, SLICE_TERMS = 128, 20_000, 4_096
 #: Fixed values of the measure: parts of a billion, five occurrences added to each term's count.
 SCALE, ADDED = 1_000_000_000, 5
 
