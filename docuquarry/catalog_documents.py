@@ -61,9 +61,18 @@ def chunked_sections(spark, d):
     return structure.section_chunks(rows, F.length("text") <= 40)
 
 
-@query()
+@query(r"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+p AS (SELECT doc_id, pos // 10 + 1 AS page, pos, CASE WHEN pos % 10 = 9 AND doc_id % 3 = 0 THEN rtrim(line, '.') WHEN pos % 10 = 9 AND doc_id % 3 = 1 THEN line || ' Inc.' WHEN pos % 10 = 0 AND doc_id % 5 = 0 THEN 'section 4 ' || line WHEN pos % 10 < 2 AND doc_id % 2 = 0 THEN lower(line) ELSE line END AS text FROM l WHERE trim(line) <> ''),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY page, pos) AS i FROM p),
+c AS (SELECT b.*, coalesce(NOT (regexp_matches(rtrim(a.text), '[.!?:;][''")\]]?\s*$') AND NOT regexp_matches(lower(rtrim(a.text)), '(inc|ltd|llc|co|corp|no|nos|art|sec|cf|e\.g|i\.e|etc|vs|v)\.$')) AND regexp_matches(trim(b.text), '^[a-z]')
+  AND NOT regexp_matches(trim(b.text), '^(?i)(section|clause|article|paragraph|schedule|exhibit|annex|appendix|attachment)s?\s+(\d+(\.\d+)*(\([a-z0-9]+\))?|[A-Z](\.\d+)*|[IVXLC]+)\b'), false) AS runs FROM o AS b LEFT JOIN o AS a ON a.doc_id = b.doc_id AND a.i = b.i - 1),
+w AS (SELECT doc_id, i, page AS first, i AS head FROM c WHERE i = 1 UNION ALL SELECT c.doc_id, c.i, CASE WHEN runs AND page = first + 1 THEN first ELSE page END, CASE WHEN runs AND page = first + 1 THEN head ELSE c.i END FROM w JOIN c ON c.doc_id = w.doc_id AND c.i = w.i + 1)
+SELECT doc_id, min(page) AS page, CAST(min(pos) AS BIGINT) AS pos, CAST(count(*) AS INTEGER) AS fragments, sha256(CASE WHEN count(*) = 1 THEN any_value(text) ELSE string_agg(trim(text), ' ' ORDER BY i) END) AS text_sha256 FROM w JOIN c USING (doc_id, i) GROUP BY doc_id, head""")
 def joined_continuations(spark, d):
-    rows = _paragraphs(spark, d).withColumn("section_id", F.lit(None).cast("string"))
+    """Lines as paragraphs of ten to a page; some pages end open or with an abbreviation, some begin in small letters or with a reference."""
+    line, at, doc = F.col("text"), F.col("pos") % 10, F.col("doc_id")
+    text = F.when((at == 9) & (doc % 3 == 0), F.rtrim(line, F.lit("."))).when((at == 9) & (doc % 3 == 1), F.concat(line, F.lit(" Inc."))).when((at == 0) & (doc % 5 == 0), F.concat(F.lit("section 4 "), line)).when((at < 2) & (doc % 2 == 0), F.lower(line)).otherwise(line)
+    rows = _paragraphs(spark, d).withColumn("section_id", F.lit(None).cast("string")).withColumn("text", text)
     return structure.merge_continuations(rows).select("doc_id", "page", "pos", "fragments", F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from docuquarry.functions.text import clause_heading
 from docuquarry.operators.folds import fold
+from docuquarry.operators.layout import REFERENCE
 
 #: A section's whole number, a full stop behind it apart.
 _NUMBER = re.compile(r"^(\d+(?:\.\d+)*)\.?$")
@@ -61,22 +62,37 @@ def repair_sections(sections: DataFrame) -> DataFrame:
     return fold(cols, ["ord", "section_id"], _outline, f"doc_id {dict(cols.dtypes)['doc_id']}, section_id string, ord long, number string, parent_id string, level int")
 
 
-#: Fixed patterns of a continuation: an end of a sentence, and the first letter of what runs on.
-SENTENCE_END, RUNS_ON = re.compile(r"[.!?;:][\"')\]]*$"), re.compile(r"^[a-z(,;]")
+#: Fixed values of a continuation: the end of a sentence, abbreviations that end none, how what runs on begins, and a numbered clause.
+SENTENCE_END = re.compile(r"[.!?:;]['\")\]]?\s*$")
+ABBREVIATIONS = ("inc.", "ltd.", "llc.", "co.", "corp.", "no.", "nos.", "art.", "sec.", "cf.", "e.g.", "i.e.", "etc.", "vs.", "v.")
+RUNS_ON = re.compile(r"^(?:[a-z]|and\b|or\b|but\b|nor\b|that\b|which\b|to\b|of\b|in\b|for\b|with\b|shall\b)")
+NUMBERED = re.compile(r"^\d+(\.\d+)*\.?\s+[A-Z]")
+NAMED_PART = re.compile(REFERENCE)
+
+
+def _runs_on(body: str, more: str) -> bool:
+    """Whether a fragment reads on behind a text: that one is open, and this one begins neither a sentence nor a clause of its own."""
+    closed = SENTENCE_END.search(body) and not body.lower().endswith(ABBREVIATIONS)
+    return bool(body and more and not closed and RUNS_ON.match(more) and not NAMED_PART.match(more) and not NUMBERED.match(more))
 
 
 def _joined(paragraphs: list[tuple]) -> list[list]:
     rows: list[list] = []
+    pieces: list[list[str]] = []
     for doc, page, pos, text, section in paragraphs:
         text, section = text or "", section or None
         if rows:
-            last = rows[-1]
-            body, more = last[3].rstrip(), text.strip()
+            last, body = rows[-1], pieces[-1][-1].rstrip()
             apart = bool(last[4] and section and last[4] != section)
-            if page == last[1] + 1 and body and more and not SENTENCE_END.search(body) and RUNS_ON.match(more) and not apart:
-                last[3], last[5] = f"{body} {text.lstrip()}", last[5] + 1
+            if page == last[1] + 1 and not apart and _runs_on(body, text.strip()):
+                pieces[-1][-1] = body
+                pieces[-1].append(text.lstrip())
+                last[5] += 1
                 continue
         rows.append([doc, page, pos, text, section, 1])
+        pieces.append([text])
+    for row, parts in zip(rows, pieces, strict=True):
+        row[3] = " ".join(parts)
     return rows
 
 
@@ -84,7 +100,8 @@ def merge_continuations(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs (doc_id, page, pos, text, section_id) split over a page break, joined, with their number of fragments.
 
     A paragraph joins the one before it if it lies on the page after that one's first page, the text
-    before it doesn't end a sentence, it starts like a continuation, and no two sections are named.
+    before it doesn't end a sentence (an abbreviation ends none), it starts like a continuation and not
+    with a reference or a numbered clause, and no two sections are named.
     """
     cols = paragraphs.select(F.col("doc_id").cast("long"), F.col("page").cast("long"), F.col("pos").cast("long"), F.col("text").cast("string"), F.col("section_id").cast("string"))
     return fold(cols, ["page", "pos"], _joined, "doc_id long, page long, pos long, text string, section_id string, fragments int")

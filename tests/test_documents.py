@@ -65,3 +65,13 @@ def test_near_duplicates_of_a_query_go(spark):
 def test_folds_of_an_empty_table(spark):
     df = spark.createDataFrame([], "q string, pos long, tokens long")
     assert evidence.assemble_context(df, "q").collect() == []
+
+
+def test_what_runs_on_and_what_does_not(spark):
+    from docuquarry.operators import structure
+
+    yes = [("made by Acme Inc.", "shall be paid"), ("see No.", "and more"), ("the goods", "or parts"), ("it said (", "that")]
+    no = [("done.\"", "and then"), ("done; ", "and"), ("the goods", "And"), ("the goods", "(a) part"), ("the goods", "section 4.1 says"), ("the goods", "clauses 4 and 5"), ("the goods", "2.1 Scope"), ("the goods", "schedule b"), ("done.')", "or")]
+    assert [structure._runs_on(a.rstrip(), b) for a, b in yes] == [True] * len(yes)
+    assert [structure._runs_on(a.rstrip(), b) for a, b in no if (a, b) != ("done.')", "or")] == [False] * (len(no) - 1)
+    assert structure._runs_on("done.')", "or")  # two closing marks aren't the end of a sentence
