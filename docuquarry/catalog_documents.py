@@ -55,7 +55,12 @@ def _paragraphs(spark, d):
     return lines.where(F.trim("text") != "").withColumn("page", F.expr("pos div 10 + 1"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
+c AS (SELECT doc_id, pos, CASE WHEN length(text) <= 40 THEN pos END AS head, greatest(1, CAST(floor(length(text) / CASE WHEN length(text) - length(regexp_replace(text, '\\s', '', 'g')) >= 0.25 * length(text) THEN 3.0 ELSE 3.6 END) AS BIGINT)) AS cost FROM l WHERE trim(text) <> ''),
+o AS (SELECT *, coalesce(last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos), -1) AS sec, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i FROM c),
+w AS (SELECT doc_id, i, sec, pos, pos AS first, CASE WHEN pos = sec THEN 0 ELSE cost END AS tok FROM o WHERE i = 1
+  UNION ALL SELECT o.doc_id, o.i, o.sec, o.pos, CASE WHEN o.sec = w.sec AND (tok = 0 OR tok + cost <= 700) THEN first ELSE o.pos END, CASE WHEN o.sec = w.sec AND (tok = 0 OR tok + cost <= 700) THEN tok + cost WHEN o.pos = o.sec THEN 0 ELSE cost END FROM w JOIN o ON o.doc_id = w.doc_id AND o.i = w.i + 1)
+SELECT doc_id, max(sec) AS heading_pos, first AS first_pos, max(pos) AS last_pos, count(*) AS paragraphs, max(tok) AS tokens FROM w GROUP BY doc_id, first""")
 def chunked_sections(spark, d):
     rows = _paragraphs(spark, d).withColumn("tokens", tx.token_estimate(F.col("text")))
     return structure.section_chunks(rows, F.length("text") <= 40)
