@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docuquarry.llm import decontam, minhash, mixing, quality, sharding
-from docuquarry.llm.runtime import materialize, small_side, table
+from docuquarry.llm.runtime import forget, materialize, small_side, table
 
 N_SHARDS = 40
 WEIGHTS = [5, 2, 1]
@@ -77,5 +77,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage over the whole documents table."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), name)
+        forget(before)  # written whole, so nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)
