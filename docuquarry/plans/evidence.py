@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from docuquarry.functions.text import squeeze
 from docuquarry.operators.folds import fold
+from docuquarry.operators.steps import settled
 from docuquarry.plans.retrieval import GRAPH_FACTOR
 
 #: Shares of a quote's words found from which it is clean, or doubtful; words compared by default, and the least words of a window.
@@ -146,6 +147,27 @@ def guardrail(evidence: DataFrame, query: str, floor: float = 0.45) -> DataFrame
     return evidence.groupBy(query).agg(F.max(usable).alias("similarity")).withColumn("answered", F.coalesce(F.col("similarity") >= floor, F.lit(False)))
 
 
+def retried(questions: DataFrame, search: Callable[[DataFrame], DataFrame], types: str = "types") -> DataFrame:
+    """Evidence of search, with relaxed: a question whose type filter found nothing at all is asked once more without it.
+
+    questions: (query_id, types, ...), types an array of document types, null or empty for no filter. search
+    takes questions, with null types for no filter, and returns rows with query_id. What a filter found,
+    however little, stands.
+    """
+    told = questions.withColumn(types, F.when(F.size(types) > 0, F.col(types)))
+    first = settled(search(told))  # a question's few hits, read three times
+    empty = told.where(F.col(types).isNotNull()).join(first.select("query_id").distinct(), "query_id", "left_anti")
+    again = search(empty.withColumn(types, F.lit(None).cast(dict(told.dtypes)[types])))
+    return first.withColumn("relaxed", F.lit(False)).unionByName(again.withColumn("relaxed", F.lit(True)))
+
+
+def answerable(questions: DataFrame, evidence: DataFrame, floor: float = 0.45) -> DataFrame:
+    """(query_id, similarity, answered, relaxed) of every question, also of those without evidence."""
+    found = guardrail(evidence, "query_id", floor).join(evidence.groupBy("query_id").agg(F.bool_or("relaxed").alias("relaxed")), "query_id")
+    known = questions.select("query_id").join(found, "query_id", "left")
+    return known.withColumns({"answered": F.coalesce("answered", F.lit(False)), "relaxed": F.coalesce("relaxed", F.lit(False))})
+
+
 def expand_graph(hits: DataFrame, edges: DataFrame, query: str, seeds: int = 10) -> DataFrame:
     """(query, node, score): nodes one edge from a query's best hits (node, rank, score) in either direction, at 0.4 of the best seed's score, hits left out.
 

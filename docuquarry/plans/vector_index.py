@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docuquarry.operators.steps import settled
+
 #: Rows that centres are fitted on at most (the first by a hash of the key), rounds of fitting, and most centres.
 SAMPLE_ROWS, ROUNDS, MOST_CENTRES = 8_192, 10, 1_024
 #: Rows and questions that meet in one group.
@@ -120,13 +122,14 @@ def nearest(index: DataFrame, centres: np.ndarray, queries: DataFrame, k: int, k
     """
     match = match or {}
     rows = index if where is None else index.where(where)
-    asked = queries.where(_usable(vector)).select("query_id", F.col(vector).alias("_q"), *match.values())
-    cells = rows.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius"))
+    # read by both rounds: the questions, a row a cell, and each question's first hits
+    asked = settled(queries.where(_usable(vector)).select("query_id", F.col(vector).alias("_q"), *match.values()))
+    cells = settled(rows.groupBy("cell").agg(F.count("*").alias("rows"), F.max("far").alias("radius")))
     gaps = _distances(centres, asked).join(cells, "cell")  # cells without rows aren't visited
     nearest_first = Window.partitionBy("query_id").orderBy("gap", "cell")
     ordered = gaps.withColumn("_n", F.row_number().over(nearest_first))
     n = asked.count()
-    seeds = _meet(rows, ordered.where("_n = 1"), cells, asked, n, k, key, vector, match, floor)
+    seeds = settled(_meet(rows, ordered.where("_n = 1"), cells, asked, n, k, key, vector, match, floor))
     by_rank = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), key)
     kth = seeds.withColumn("_r", F.row_number().over(by_rank)).where(F.col("_r") == k).select("query_id", F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("similarity"))).alias("_kth"))
     # below the floor nothing counts, so cells beyond its distance aren't read either

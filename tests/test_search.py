@@ -94,3 +94,13 @@ def test_descent_narrows_each_question_by_itself(spark):
     assert got[100] == {("document_summary", 1, "vector"), ("clause", 3, "vector"), ("chunk", 6, "vector"), ("chunk", 8, "neighbour")}
     assert got[200] == {("document_summary", 2, "vector"), ("clause", 5, "vector"), ("clause", 4, "vector"), ("chunk", 7, "vector")}
     assert {x[:2] for x in got[300]} <= {("clause", 4), ("clause", 3), ("chunk", 6)} and got[300]  # no summary: nothing narrows
+
+
+def test_a_filter_that_finds_nothing_is_dropped_once(spark):
+    from docuquarry.plans import evidence
+
+    kinds = spark.createDataFrame([("a", "clause", 0.9), ("b", "document_summary", 0.8)], "kind string, level string, similarity double")
+    asked = spark.createDataFrame([(1, ["a"]), (2, ["zz"]), (3, []), (4, None), (5, ["b"])], "query_id int, types array<string>")
+    found = evidence.retried(asked, lambda q: q.join(kinds, F.col("types").isNull() | F.array_contains("types", F.col("kind"))).select("query_id", "level", "similarity"))
+    got = {r.query_id: (r.similarity, r.answered, r.relaxed) for r in evidence.answerable(asked, found).collect()}
+    assert got == {1: (0.9, True, False), 2: (0.9, True, True), 3: (0.9, True, False), 4: (0.9, True, False), 5: (None, False, False)}
