@@ -1,32 +1,40 @@
 """Full-text search with phrases, alternatives and exclusions over a positional inverted index.
 
 A question becomes rows: alternatives, each of clauses, each a phrase of one or more terms that has to
-stand in a row or must not. Its tree is evaluated by joins and groupings over the postings of its
-terms alone: terms to phrases (positions that agree once shifted), phrases to alternatives, those to hits.
+stand in a row or must not. Its tree is evaluated by joins and groupings over the postings of its terms
+alone: steps (two terms at a distance) to phrases, phrases to alternatives, those to hits, the rarest first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docuquarry.functions.text import let
+from docuquarry.operators.steps import settled
 from docuquarry.plans.fulltext import STOP_WORDS, stem
 
+#: A side of a join is broadcast only when it was counted and has at most so many narrow rows.
+BROADCAST_ROWS = 400_000
 #: Letters and digits of any script make words.
 _BETWEEN = r"[^\p{L}\p{N}]+"
 #: A quoted phrase or a run without white space, with or without a minus before it; a quote that isn't closed runs to the end.
 _PART = r'(-?"[^"]*"?|[^\s"]+)'
 
 
-def placed_terms(text: Column, plain: bool = False) -> Column:
-    """Array of (term, pos) of a text: words in lower case by their place, stop words counted but left out; plain takes every word as it is."""
+def _words(text: Column) -> Column:
+    """The words of a text in lower case, in order."""
     low = F.lower(F.coalesce(text, F.lit("")))
     cut = F.when(F.length(low) == F.octet_length(low), F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, _BETWEEN))  # the short expression for ASCII
-    words = F.filter(cut, lambda w: w != "")
-    numbered = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    return F.array_remove(cut, "")
+
+
+def placed_terms(text: Column, plain: bool = False) -> Column:
+    """Array of (term, pos) of a text: words in lower case by their place, stop words counted but left out; plain takes every word as it is."""
+    numbered = F.transform(_words(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     if plain:
         return numbered
     return F.transform(F.filter(numbered, lambda x: ~x["term"].isin(STOP_WORDS)), lambda x: F.struct(stem(x["term"]).alias("term"), x["pos"].alias("pos")))
@@ -71,30 +79,119 @@ def parsed(queries: DataFrame, query: str = "query", plain: bool = False) -> Dat
     return every.select("query_id", "alternative", "clause", "negated", F.inline(shifted))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint where it was counted to have few rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _asked(queries: DataFrame, query: str, plain: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What questions ask, each thing once: phrases (pid, terms), their steps (pid, first, second, gap, offset), parts (aid, pid, negated, times) of alternatives, and who asks those (query_id, aid)."""
+    by = ["query_id", "alternative", "clause", "negated"]
+    clauses = settled(parsed(queries, query, plain).groupBy(*by).agg(F.sort_array(F.collect_set(F.struct("shift", "term"))).alias("terms")))
+    phrases = settled(clauses.select("terms").distinct().withColumn("pid", F.monotonically_increasing_id()))
+    parts = clauses.join(phrases, "terms").groupBy("query_id", "alternative").agg(F.sort_array(F.collect_list(F.struct("pid", "negated"))).alias("parts")).where(F.exists("parts", lambda x: ~x["negated"]))
+    kinds = settled(parts.select("parts").distinct().withColumn("aid", F.monotonically_increasing_id()))
+    steps = phrases.where(F.size("terms") > 1).select("pid", F.explode(F.transform(F.sequence(F.lit(0), F.size("terms") - 2), lambda i: F.struct(F.get("terms", i).alias("a"), F.get("terms", i + 1).alias("b")))).alias("x"))
+    steps = steps.select("pid", F.col("x.a.term").alias("first"), F.col("x.b.term").alias("second"), (F.col("x.b.shift") - F.col("x.a.shift")).alias("gap"), F.col("x.a.shift").alias("offset"))
+    of = kinds.select("aid", F.inline("parts")).groupBy("aid", "pid", "negated").agg(F.count("*").alias("times"))
+    return phrases, steps, of, parts.join(kinds, "parts").select("query_id", "aid").distinct()
+
+
+def _phrase_hits(stood: DataFrame, steps: DataFrame, key: str) -> DataFrame:
+    """(pid, key, weight) of phrases of several terms, from the places (step, key, field, weight, pos) of all steps: where a phrase's rarest step stands, its others are looked up."""
+    often = stood.groupBy("first", "second", "gap").agg(F.count("*").alias("_n"))
+    counted = steps.join(often, ["first", "second", "gap"])  # a phrase with a step that stands nowhere falls away below
+    need = steps.groupBy("pid").agg(F.count("*").alias("_need"))
+    rare = counted.groupBy("pid").agg(F.min_by(F.struct("first", "second", "gap", "offset"), F.struct("_n", "offset")).alias("_s"), F.count("*").alias("_have")).join(need, "pid").where("_have = _need")
+    rare = settled(rare.select("pid", "_need", "_s.*"))
+    at = stood.join(rare, ["first", "second", "gap"]).select("pid", "_need", key, "field", "weight", (F.col("pos") - F.col("offset")).alias("start"))
+    short, long = at.where("_need = 1"), at.where("_need > 1")
+    others = steps.join(rare.select("pid", F.col("offset").alias("_skip")), "pid").where("offset <> _skip").drop("_skip")
+    wanted = long.join(others, "pid").withColumn("pos", F.col("start") + F.col("offset"))
+    there = stood.select("first", "second", "gap", F.col(key).alias("_key"), F.col("field").alias("_field"), "pos").distinct()
+    seen = wanted.alias("w").join(there.alias("t"), (F.col("w.first") == F.col("t.first")) & (F.col("w.second") == F.col("t.second")) & (F.col("w.gap") == F.col("t.gap")) & (F.col("w.pos") == F.col("t.pos")) & F.col(f"w.{key}").eqNullSafe(F.col("t._key")) & (F.col("w.field") == F.col("t._field"))).select("w.*")
+    whole = seen.groupBy("pid", "_need", key, "field", "weight", "start").agg(F.count("*").alias("_c")).where("_c = _need - 1")
+    uses = short.select("pid", key, "weight").unionByName(whole.select("pid", key, "weight")).groupBy("pid", key, "weight").agg(F.count("*").alias("_uses"))
+    return uses.groupBy("pid", key).agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight"))
+
+
+def _answers(steps_at: Callable[[DataFrame], DataFrame], terms_in: Callable[[DataFrame], DataFrame], queries: DataFrame, key: str, query: str, limit: int | None, plain: bool) -> DataFrame:
+    """search, given what finds steps (first, second, gap) -> (first, second, gap, key, field, weight, pos) and single terms (term) -> (term, key, weight)."""
+    phrases, steps, parts, asks = _asked(queries, query, plain)
+    stood = settled(steps_at(_small(steps.select("first", "second", "gap").distinct())))
+    several = settled(_phrase_hits(stood, steps, key))
+    words = phrases.where(F.size("terms") == 1).select("pid", F.get("terms", F.lit(0))["term"].alias("term"))
+    one = settled(terms_in(_small(words.select("term"))).join(_small(words), "term").select("pid", key, "weight"))
+    # an alternative begins with its rarest phrase; what else it asks is looked up where that stands
+    often = several.groupBy("pid").agg(F.count("*").alias("_n"))
+    wide = parts.where("NOT negated").join(steps.select("pid").distinct(), "pid")
+    best = wide.join(often, "pid", "left").groupBy("aid").agg(F.min_by("pid", F.struct(F.coalesce("_n", F.lit(0)), "pid")).alias("_lead"))
+    # an alternative of single words begins with the rarest of them
+    bare = parts.where("NOT negated").join(best.select("aid"), "aid", "left_anti")
+    counts = one.groupBy("pid").agg(F.count("*").alias("_n"))
+    begun = settled(best.unionByName(bare.join(counts, "pid", "left").groupBy("aid").agg(F.min_by("pid", F.struct(F.coalesce("_n", F.lit(0)), "pid")).alias("_lead"))))
+    held = several.unionByName(one)
+    lead = begun.join(parts, "aid").where("pid = _lead").select("aid", "pid", "times")
+    leads = held.join(_small(lead), "pid")
+    leads = settled(leads.select("aid", key, "pid", (F.col("times") * F.log1p("weight")).alias("score")))
+    rest = parts.join(begun, "aid").where("pid <> _lead OR negated").select("aid", "pid", "negated", "times")
+    asked = leads.select("aid", key).join(rest, "aid")
+    looked = asked.alias("w").join(held.withColumnRenamed(key, "_key").alias("p"), (F.col("w.pid") == F.col("p.pid")) & F.col(f"w.{key}").eqNullSafe(F.col("p._key"))).select("w.aid", f"w.{key}", "negated", (F.col("times") * F.log1p("weight")).alias("score"))
+    need = parts.groupBy("aid").agg(F.count_if(~F.col("negated")).alias("_wanted"))
+    every = leads.select("aid", key, F.lit(False).alias("negated"), "score").unionByName(looked)
+    whole = every.groupBy("aid", key).agg(F.count_if(~F.col("negated")).alias("_have"), F.count_if("negated").alias("_barred"), F.round(F.sum(F.when(~F.col("negated"), F.col("score"))), 6).alias("score")).join(need, "aid").where("_barred = 0 AND _have = _wanted")
+    if limit is not None:  # what isn't among an alternative's first isn't among its question's
+        whole = whole.withColumn("_r", F.row_number().over(Window.partitionBy("aid").orderBy(F.desc("score"), key))).where(F.col("_r") <= limit)
+    found = whole.select("aid", key, "score").join(asks, "aid").groupBy("query_id", key).agg(F.max("score").alias("score"))
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
+    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+
+
 def search(postings: DataFrame, queries: DataFrame, key: str, query: str = "query", limit: int | None = 25, plain: bool = False) -> DataFrame:
     """(query_id, key, score, rank): what each question finds, by the sum over its clauses of ln(1 + weighted occurrences), at the best alternative; ties by key.
 
-    An alternative needs a clause that isn't excluded: one of exclusions alone finds nothing. Only the
-    postings of the questions' terms are joined; both sides may grow, so Spark picks the join and splits hot terms.
+    An alternative needs a clause that isn't excluded: one of exclusions alone finds nothing. Phrases and
+    alternatives that several questions share are looked for once. A phrase is found by its steps, two terms at a
+    distance, of which the rarest leads, and an alternative by its rarest phrase, so no frequent term meets all
+    questions that name it.
     """
-    tree = parsed(queries, query, plain).persist()  # a few rows a question, read by all that follows
-    by = ["query_id", "alternative"]
-    phrases = tree.groupBy(*by, "clause", "negated").agg(F.count("*").alias("_terms"), F.countDistinct("term", "shift").alias("_need"))
-    need = phrases.groupBy(*by).agg(F.count_if(~F.col("negated")).alias("_wanted"))
-    hit = postings.join(tree.distinct(), "term").withColumn("starts", F.transform("positions", lambda p: p - F.col("shift")))
-    # terms to phrases: the starts on which all of a phrase's terms agree, in one field
-    agreed = hit.groupBy(*by, "clause", "negated", key, "field", "weight").agg(F.collect_list("starts").alias("_lists"))
-    common = F.aggregate(F.slice("_lists", 2, F.size("_lists")), F.col("_lists")[0], lambda a, b: F.array_intersect(a, b))
-    stood = agreed.join(phrases.drop("_terms"), [*by, "clause", "negated"]).where(F.size("_lists") == F.col("_need")).withColumn("_uses", F.size(common)).where("_uses > 0")
-    clauses = stood.groupBy(*by, "clause", "negated", key).agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight"))
-    # phrases to alternatives
-    held = clauses.groupBy(*by, key).agg(F.count_if(~F.col("negated")).alias("_have"), F.count_if("negated").alias("_barred"), F.round(F.sum(F.when(~F.col("negated"), F.log1p("weight"))), 6).alias("score"))
-    whole = held.join(need, by).where("_barred = 0 AND _have = _wanted AND _wanted > 0")
-    found = whole.groupBy("query_id", key).agg(F.max("score").alias("score"))
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+
+    def steps_at(steps: DataFrame) -> DataFrame:
+        place = lambda term: postings.join(steps.select(F.col(term).alias("term")).distinct(), "term", "left_semi").select(F.col("term").alias(term), key, "field", "weight", F.explode("positions").alias("pos"))
+        ahead = place("first").join(steps.select("first", "gap").distinct(), "first").withColumn("_to", F.col("pos") + F.col("gap"))
+        behind = place("second").select("second", F.col(key).alias("_key"), F.col("field").alias("_field"), F.col("pos").alias("_pos"))
+        met = ahead.join(behind, (F.col("_to") == F.col("_pos")) & (F.col("field") == F.col("_field")) & F.col(key).eqNullSafe(F.col("_key")))
+        return met.join(steps, ["first", "second", "gap"]).select("first", "second", "gap", key, "field", "weight", "pos")
+
+    def terms_in(terms: DataFrame) -> DataFrame:
+        return postings.join(terms, "term", "left_semi").groupBy("term", key).agg(F.sum(F.col("weight") * F.size("positions")).alias("weight"))
+
+    return _answers(steps_at, terms_in, queries, key, query, limit, plain)
 
 
 def search_texts(rows: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query: str = "query", limit: int | None = 25, plain: bool = False) -> DataFrame:
-    """search over rows that have no written index: the terms asked for are indexed on the way."""
-    return search(index(rows, key, fields, plain, only=parsed(queries, query, plain)), queries, key, query, limit, plain)
+    """search over rows that have no written index: the steps and words asked for are found on the way, and nothing else is shuffled.
+
+    Each different word is stemmed once.
+    """
+    said = reduce(DataFrame.unionByName, [rows.select(key, F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), _words(F.col(f)).alias("words")) for f, w in fields.items()])
+    asked = parsed(queries, query, plain).select("term").distinct()
+    words = said.select(F.explode("words").alias("word")).distinct()
+    terms = words.withColumn("term", F.col("word")) if plain else words.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
+    known = _small(settled(terms.join(asked, "term", "left_semi").select("word", "term")))
+
+    def steps_at(steps: DataFrame) -> DataFrame:
+        gaps = sorted(r.gap for r in steps.select("gap").distinct().collect())  # no more than a question has words
+        behind = [F.slice("words", g + 1, F.size("words")).alias(f"_b{g}") for g in gaps]
+        each = said.select(key, "field", "weight", F.posexplode(F.arrays_zip("words", *behind)).alias("pos", "_x")).select(key, "field", "weight", "pos", "_x.*").withColumnRenamed("words", "word")
+        ends = F.array(*[F.struct(F.lit(g).cast("int").alias("gap"), F.col(f"_b{g}").alias("_b")) for g in gaps] or [F.struct(F.lit(0).alias("gap"), F.lit(None).cast("string").alias("_b"))])
+        first = each.join(known.withColumnRenamed("term", "first"), "word").withColumn("_ends", ends)
+        pair = first.select(key, "field", "weight", "pos", "first", F.inline("_ends")).where("_b IS NOT NULL").join(known.select(F.col("word").alias("_b"), F.col("term").alias("second")), "_b")
+        return pair.join(steps, ["first", "second", "gap"]).select("first", "second", "gap", key, "field", "weight", "pos")
+
+    def terms_in(terms: DataFrame) -> DataFrame:
+        of = _small(known.join(terms, "term", "left_semi"))
+        uses = said.select(key, "weight", F.explode("words").alias("word")).join(of, "word").groupBy("term", key, "weight").agg(F.count("*").alias("_uses"))
+        return uses.groupBy("term", key).agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight"))
+
+    return _answers(steps_at, terms_in, queries, key, query, limit, plain)

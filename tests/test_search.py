@@ -104,3 +104,24 @@ def test_a_filter_that_finds_nothing_is_dropped_once(spark):
     found = evidence.retried(asked, lambda q: q.join(kinds, F.col("types").isNull() | F.array_contains("types", F.col("kind"))).select("query_id", "level", "similarity"))
     got = {r.query_id: (r.similarity, r.answered, r.relaxed) for r in evidence.answerable(asked, found).collect()}
     assert got == {1: (0.9, True, False), 2: (0.9, True, True), 3: (0.9, True, False), 4: (0.9, True, False), 5: (None, False, False)}
+
+
+def test_a_frequent_term_does_not_meet_every_question_that_names_it(spark):
+    """Each question's phrase stands in one text, its other word in all: what is joined stays near the texts' size."""
+    n = 300
+    rows = spark.createDataFrame([(i, f"alpha{i} beta{i} common gamma{i} tail") for i in range(n)], "id int, text string")
+    asked = spark.createDataFrame([(i, f'"alpha{i} beta{i}" common -gamma{(i + i % 2)} or "common gamma{i} tail"') for i in range(n)], "query_id int, query string")
+    index = positional.index(rows, "id", {"text": 1.0})
+    for found in (positional.search(index, asked, "id"), positional.search_texts(rows, asked, "id", {"text": 1.0})):
+        assert sorted((r.query_id, r.id, r.score, r["rank"]) for r in found.collect()) == [(i, i, 1.386294 if i % 2 else 0.693147, 1) for i in range(n)]
+    plan = positional.search_texts(rows, asked, "id", {"text": 1.0})._jdf.queryExecution().optimizedPlan().toString()
+    assert "starts" not in plan  # no list of starts for each question and row that share a term
+
+
+def test_phrases_of_many_steps_and_repeated_clauses(spark):
+    texts = spark.createDataFrame([(1, "one two three one two four"), (2, "one two x three"), (3, "one of three, one of three"), (None, "one two three")], "id int, text string")
+    asked = spark.createDataFrame([(1, '"one two three"'), (2, '"one of three"'), (3, '"one two" "one two"'), (4, "three three -two")], "query_id int, query string")
+    got = lambda found: sorted((r.query_id, r.id or 0, r.score) for r in found.collect())
+    want = [(1, 0, 0.693147), (1, 1, 0.693147), (2, 0, 0.693147), (2, 1, 0.693147), (2, 3, 1.098612), (3, 0, 1.386294), (3, 1, 2.197225), (3, 2, 1.386294), (4, 3, 2.197225)]
+    assert got(positional.search_texts(texts, asked, "id", {"text": 1.0})) == want
+    assert got(positional.search(positional.index(texts, "id", {"text": 1.0}), asked, "id")) == want
