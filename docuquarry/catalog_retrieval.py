@@ -118,9 +118,11 @@ def descent_of_many(spark, d):
     """All questions through summaries, clauses and chunks at once, with both legs, neighbours and edges."""
     rows = _vector_rows(spark, d).select("level", F.col("vec_id").alias("ref_id"), "contract_id", "embedding", F.floor(F.col("vec_id") / 20).alias("place"))
     asked = rows.where("ref_id % 100 = 0").select(F.col("ref_id").alias("query_id"), "embedding")
-    words = positional.search_texts(t(spark, d, "documents"), _questions(spark, d), "doc_id", {"text": 0.4}, limit=None)
     chunks = rows.where("level = 'chunk'").select("ref_id", "contract_id", F.col("place").alias("reading_order"))
-    hits = words.join(asked.select("query_id"), "query_id", "left_semi").select("query_id", F.col("doc_id").alias("ref_id"), "score").join(chunks.select("ref_id", "contract_id"), "ref_id")
+    # only documents that are chunks can be hits, and only questions with a vector descend
+    texts = t(spark, d, "documents").join(chunks.select(F.col("ref_id").alias("doc_id")), "doc_id", "left_semi")
+    words = positional.search_texts(texts, _questions(spark, d).join(asked.select("query_id"), "query_id", "left_semi"), "doc_id", {"text": 0.4}, limit=None)
+    hits = words.select("query_id", F.col("doc_id").alias("ref_id"), "score").join(chunks.select("ref_id", "contract_id"), "ref_id")
     clauses = rows.where("level = 'clause'").select("ref_id", "contract_id", F.col("place").alias("number"))
     edges = rows.select(F.col("place").alias("source_ref"), (2 * F.col("place") + 1).alias("target_ref")).distinct()
     levels = [descent.Level("document_summary", 4, 0.05), descent.Level("clause", 10, 0.0), descent.Level("chunk", 8, -1.0)]
