@@ -96,5 +96,6 @@ def reindex_list(embeddings: DataFrame, target: dict, project_ids: list | None =
 def mock_vector(text: Column, width: int) -> Column:
     """A unit vector from sha256 digests of the text and a counter: a model for tests."""
     digests = F.concat(*[F.unhex(F.sha2(F.concat(text.cast("binary"), F.unhex(F.lit(f"{i:08x}"))), 256)) for i in range(-(-width // 32))])
-    raw = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (F.conv(F.hex(F.substring(digests, i, F.lit(1))), 16, 10).cast("double") - 127.5) / 127.5)
+    # a lambda evaluates what it names again for every component, so digests and components are bound first
+    raw = tx.let(digests, lambda d: F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: (F.conv(F.hex(F.substring(d, i, F.lit(1))), 16, 10).cast("double") - 127.5) / 127.5))
     return vx.unit(raw)
