@@ -51,13 +51,16 @@ def citation_outcomes(citations: DataFrame, retrieved: DataFrame, case: str = "c
     hit. Hallucinated: not offered; broken: not retrieved; precision is over what resolves, recall over
     relevant hits in the context.
     """
-    hits = retrieved.groupBy(case, "ref_id").agg(F.max("grade").alias("_g"))
-    rows = citations.join(hits, [case, "ref_id"], "left")
-    kind = F.when(~F.col("resolved"), "hallucinated").when(F.col("_g").isNull(), "broken").when(F.col("_g") >= RELEVANT, "correct").otherwise("imprecise")
-    cited = rows.select(case, kind.alias("_k")).groupBy(case).agg(F.count("*").alias("total"), *[F.count_if(F.col("_k") == k).alias(k) for k in ("correct", "imprecise", "broken", "hallucinated")])
-    shown = F.col("in_context") & (F.col("grade") >= RELEVANT)
-    seen = retrieved.groupBy(case).agg(F.count_if(shown).alias("available"), F.count_if(shown & ~F.col("cited")).alias("missed"))
-    out = cited.join(seen, case, "full").na.fill(0)
+    # both sides meet as rows of one grouping by case and reference, so nothing is sorted for a join
+    shown = F.coalesce(F.col("in_context") & (F.col("grade") >= RELEVANT), F.lit(False))
+    found = retrieved.select(case, "ref_id", F.lit(0).alias("_lost"), F.lit(0).alias("_said"), "grade", shown.cast("int").alias("_a"), (shown & ~F.col("cited")).cast("int").alias("_m"))
+    lost = F.coalesce(~F.col("resolved"), F.lit(False)).cast("int")
+    named = citations.select(case, "ref_id", lost.alias("_lost"), (1 - lost).alias("_said"), F.lit(None).cast(dict(found.dtypes)["grade"]).alias("grade"), F.lit(0).alias("_a"), F.lit(0).alias("_m"))
+    per = named.unionByName(found).groupBy(case, "ref_id").agg(F.max("grade").alias("_g"), *[F.sum(c).alias(c) for c in ("_lost", "_said", "_a", "_m")])
+    graded = F.when(F.col("ref_id").isNotNull(), F.col("_g"))
+    kind = F.when(graded.isNull(), "broken").when(graded >= RELEVANT, "correct").otherwise("imprecise")
+    of = lambda k: F.coalesce(F.sum(F.when(kind == k, F.col("_said"))), F.lit(0))
+    out = per.groupBy(case).agg(F.sum(F.col("_lost") + F.col("_said")).alias("total"), *[of(k).alias(k) for k in ("correct", "imprecise", "broken")], F.sum("_lost").alias("hallucinated"), F.sum("_a").alias("available"), F.sum(F.coalesce("_m", F.lit(0))).alias("missed")).na.fill(0)
     resolvable = F.col("total") - F.col("hallucinated") - F.col("broken")
     return out.withColumns({"precision": F.when(resolvable > 0, F.round(F.col("correct") / resolvable, 6)), "recall": F.when(F.col("available") > 0, F.round((F.col("available") - F.col("missed")) / F.col("available"), 6))})
 
