@@ -82,7 +82,8 @@ def carry_forward(df: DataFrame, keys: list[str], order: str, value: str) -> Dat
 
 def ancestors(rows: DataFrame, start: DataFrame, depth: int = 12) -> DataFrame:
     """(id, ancestor, depth) along parent links, nearest first, cut at a depth and at the first repeat."""
-    links = rows.select(F.col("id").alias("_i"), F.col("parent_id").alias("_p"))
+    # many rows share their far ancestors: those stream past a table of links, where a sort would hold them all in one task
+    links = rows.select(F.col("id").alias("_i"), F.col("parent_id").alias("_p")).hint("shuffle_hash")
     at = start.select("id", F.col("id").alias("ancestor"), F.array("id").alias("_path"))
     out = None
     for level in range(1, depth + 1):
