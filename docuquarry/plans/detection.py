@@ -60,9 +60,12 @@ def detect(pages: DataFrame, headings: DataFrame, wanted: DataFrame, search: Cal
     """
     wanted = settled(wanted.select("doc", "clause").distinct())
     fields = ["doc", "clause", "source", "page", "window"]
+    step = max(1, size - min(overlap, size - 1))
     parts = [settled(heading_claims(headings, wanted, key).withColumn("source", F.lit("heading")).withColumn("window", F.lit(None).cast("long")).select(fields))]
-    windows = page_windows(pages, size, overlap).withColumn("_wave", F.floor(F.col("window") / wave))
-    sizes = settled(windows.groupBy("doc", "window", "_wave").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("_chars")))
+    # windows are numbered without texts; a wave reads those of its own pages alone
+    numbers = pages.select("doc", "page", F.length(F.coalesce("text", F.lit(""))).alias("text"))
+    windows = page_windows(numbers, size, overlap)
+    sizes = settled(windows.groupBy("doc", "window").agg(F.sum("text").alias("_chars")).withColumn("_wave", F.floor(F.col("window") / wave)))
     pending, seen, number = settled(wanted.join(parts[0], ["doc", "clause"], "left_anti")), [], 0
     last = sizes.agg(F.max("_wave")).first()[0]
     while last is not None and number <= last and not (early_stop and pending.isEmpty()):
@@ -71,7 +74,9 @@ def detect(pages: DataFrame, headings: DataFrame, wanted: DataFrame, search: Cal
             snapshot = wanted.select("doc").distinct().join(snapshot, "doc", "left").withColumn("pending", F.coalesce("pending", F.array().cast("array<string>")))
         reached = settled(sizes.where(F.col("_wave") == number).join(snapshot, "doc"))
         open_now = reached.where(F.col("_chars") >= least_chars).select("doc", "window", "pending")
-        frontier = windows.where(F.col("_wave") == number).join(open_now, ["doc", "window"]).select("doc", "window", "page", "text", "pending")
+        opening = open_now.withColumn("page", F.explode(F.sequence(F.col("window") * step + 1, F.col("window") * step + size)))
+        first, behind = number * wave * step + 1, (number * wave + wave - 1) * step + size
+        frontier = pages.where(F.col("page").between(first, behind)).join(opening, ["doc", "page"]).select("doc", "window", "page", "text", "pending")
         found = search(frontier).join(pending, ["doc", "clause"], "left_semi").groupBy("doc", "clause").agg(F.min(F.struct("window", "page")).alias("_f"))
         parts.append(settled(found.select("doc", "clause", F.lit("window").alias("source"), F.col("_f.page").alias("page"), F.col("_f.window").alias("window"))))
         pending = settled(pending.join(parts[-1], ["doc", "clause"], "left_anti"))
