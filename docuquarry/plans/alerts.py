@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docuquarry.functions.text import let
+from docuquarry.operators.steps import settled
 from docuquarry.plans.rules import at_least, promoted
 
 #: The kinds that a sweep owns, statuses of contracts that it skips and of alerts that are live.
@@ -22,6 +23,8 @@ DEFAULTS = {
 }
 DRAFT = "struct<alert_type:string,severity:string,title:string,message:string,dedupe_key:string,due_date:date,details:string>"
 _ALERT_TITLE = 255
+#: Projects, or rules of projects, are broadcast only when they were counted and are at most so many.
+BROADCAST_ROWS = 10_000
 
 
 def setting(config: Column, name: str, default: int) -> Column:
@@ -55,6 +58,24 @@ def effective_rules(rules: DataFrame, projects: DataFrame) -> DataFrame:
     return projects.select("project_id").distinct().join(own, "project_id", "left").select("project_id", both.alias("rules"))
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    rows = settled(rows)
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def thresholds(rules: DataFrame, projects: DataFrame) -> DataFrame:
+    """(project_id, a column for each kind): its effective rule as (severity, watched, thresholds), null without one; each rule's JSON is read once, not once a contract."""
+
+    def read(kind: str) -> Column:
+        def of(rule: Column) -> Column:
+            watched = F.coalesce(F.try_variant_get(F.try_parse_json(rule["config"]), "$.clause_types", "array<string>"), F.array().cast("array<string>"))
+            return F.when(rule.isNotNull(), F.struct(rule["severity"].alias("severity"), watched.alias("watched"), *[setting(rule["config"], n, v).alias(n) for n, v in DEFAULTS[kind].items()]))
+
+        return let(F.try_element_at("rules", F.lit(kind)), of)
+
+    return effective_rules(rules, projects).select("project_id", *[read(kind).alias(f"_{kind}") for kind in KINDS])
+
+
 def _label(title: Column, number: Column, file: Column, key: Column) -> Column:
     said = [F.when(c != "", c) for c in (title, number, file)]
     return F.coalesce(*said, F.concat(F.lit("Contract "), key.cast("string")))
@@ -74,10 +95,9 @@ def _draft(holds: Column, kind: str, severity: Column, title: Column, message: C
 
 
 def _under(kind: str, body) -> Column:
-    """A draft under the rule of its kind, with its thresholds read once; null without a rule."""
-    rule = F.try_element_at("rules", F.lit(kind))
-    read = F.struct(rule["severity"].alias("severity"), rule["config"].alias("config"), *[setting(rule["config"], n, v).alias(n) for n, v in DEFAULTS[kind].items()])
-    return F.when(rule.isNotNull(), let(read, body))
+    """A draft under the rule of its kind, as thresholds has it; null without a rule."""
+    rule = F.col(f"_{kind}")
+    return F.when(rule.isNotNull(), body(rule))
 
 
 def expiring(c: dict[str, Column], today: Column) -> Column:
@@ -120,7 +140,7 @@ def high_risk(c: dict[str, Column], today: Column) -> Column:
 
 def missing_clause(c: dict[str, Column], today: Column) -> Column:
     def body(r: Column) -> Column:
-        watched = F.coalesce(F.try_variant_get(F.try_parse_json(r["config"]), "$.clause_types", "array<string>"), F.array().cast("array<string>"))
+        watched = r["watched"]
         every = F.coalesce(c["missing_mandatory_clauses"], F.array().cast("array<string>"))
         low = F.transform(watched, lambda w: F.lower(w))
         missing = F.sort_array(F.when(F.size(watched) > 0, F.filter(every, lambda m: F.array_contains(low, F.lower(m)))).otherwise(every))
@@ -171,13 +191,18 @@ def collect(contracts: DataFrame, metadata: DataFrame, obligations: DataFrame, p
     and failed ones only through their obligations.
     """
     live = contracts.where("deleted_at IS NULL").withColumn("label", _label(F.col("title"), F.col("contract_number"), F.col("original_file_name"), F.col("id")))
-    ruled = effective_rules(rules, contracts)
-    rows = live.where(~F.col("status").isin(SKIPPED)).join(ruled, "project_id").join(metadata.withColumnRenamed("contract_id", "id").withColumn("_described", F.lit(True)), "id", "left").join(pending.withColumnRenamed("contract_id", "id"), "id", "left")
+    ruled = _small(thresholds(rules, contracts))
+    # rules come last, as no shuffle or sort need carry them
+    rows = live.where(~F.col("status").isin(SKIPPED)).join(metadata.withColumnRenamed("contract_id", "id").withColumn("_described", F.lit(True)), "id", "left").join(pending.withColumnRenamed("contract_id", "id"), "id", "left").join(ruled, "project_id")
     c = {n: F.col(n) for n in rows.columns} | {"auto_renewal": F.coalesce("auto_renewal", F.lit(False))}
     made = [F.when(F.col("_described"), f(c, today)) for f in (expiring, auto_renewal, high_risk, missing_clause)] + [review_required(c, today)]
     hits = F.filter(F.array(*made), lambda x: x.isNotNull())
     of_contracts = rows.select("project_id", F.col("id").alias("contract_id"), F.inline(hits))
-    owed = obligations.where(F.col("due_date").isNotNull()).where(F.col("status").isin(OPEN_OBLIGATIONS)).join(ruled, "project_id").join(live.select(F.col("id").alias("contract_id"), "label"), "contract_id")
+    # what no rule's window holds goes before it is joined
+    widest = ruled.agg(F.max("_obligation_due.window_days"), F.max("_obligation_due.overdue_days")).first()
+    left = F.datediff("due_date", today)
+    due = obligations.where(F.col("status").isin(OPEN_OBLIGATIONS) & (left <= F.lit(widest[0]).cast("int")) & (left >= -F.lit(widest[1]).cast("int")))
+    owed = due.join(live.select(F.col("id").alias("contract_id"), "label"), "contract_id").join(ruled, "project_id")
     o = {n: F.col(n) for n in owed.columns}
     of_obligations = owed.select("project_id", "contract_id", F.inline(F.filter(F.array(obligation_due(o, today)), lambda x: x.isNotNull())))
     return of_contracts.unionByName(of_obligations)
@@ -192,18 +217,26 @@ def sweep(alerts: DataFrame, drafts: DataFrame, rules: DataFrame, now: Column) -
     without a draft is retired, or held where no enabled rule governs it. An open alert of the rule's age
     goes up a step once. Status stays the operator's.
     """
-    a = alerts.where(F.col("status").isin(LIVE) & F.col("alert_type").isin(KINDS)).select("dedupe_key", "project_id", "alert_type", "status", "created_at", "escalated_at", *[F.col(x).alias(f"_{x}") for x in ("severity", "title", "message", "due_date")])
-    governed = effective_rules(rules, alerts)
-    a = a.join(governed, "project_id", "left").withColumn("_rule", F.try_element_at("rules", F.col("alert_type"))).drop("rules", "project_id", "alert_type")
-    b = drafts.select("dedupe_key", "severity", F.substring("title", 1, _ALERT_TITLE).alias("title"), "message", "due_date", F.lit(True).alias("_holds"))
+    digest = F.unhex(F.sha2("message", 256))  # messages are only compared
+    a = alerts.where(F.col("status").isin(LIVE) & F.col("alert_type").isin(KINDS)).select("dedupe_key", "project_id", "alert_type", "status", "created_at", "escalated_at", *[F.col(x).alias(f"_{x}") for x in ("severity", "title", "due_date")], digest.alias("_message"))
+    on = rules.where(F.col("is_enabled") & F.col("alert_type").isin(KINDS))
+    own = on.where("project_id IS NOT NULL").groupBy("project_id", "alert_type").agg(F.max("escalate_after_days").alias("_after"), F.lit(True).alias("_own"))
+    # at most one row a kind
+    base = {r.alert_type: r.escalate_after_days for r in on.where("project_id IS NULL").collect()}
+    any_project = F.col("project_id").isNotNull() & F.col("alert_type").isin(list(base))
+    base_after = F.lit(None).cast("int")
+    for kind, days in base.items():
+        base_after = F.when(F.col("alert_type") == kind, F.lit(days).cast("int")).otherwise(base_after)
+    a = a.join(_small(own), ["project_id", "alert_type"], "left").withColumns({"_governed": F.col("_own").isNotNull() | any_project, "_after": F.when(F.col("_own"), F.col("_after")).when(any_project, base_after)}).drop("_own", "project_id", "alert_type")
+    b = drafts.select("dedupe_key", "severity", F.substring("title", 1, _ALERT_TITLE).alias("title"), digest.alias("message"), "due_date", F.lit(True).alias("_holds"))
     rows = a.join(b, "dedupe_key", "full")
     held, known = F.col("_holds").isNotNull(), F.col("status").isNotNull()
     severity = F.when(F.col("escalated_at").isNotNull(), promoted(F.col("severity"))).otherwise(F.col("severity"))
     changed = ~(severity.eqNullSafe(F.col("_severity")) & F.col("title").eqNullSafe(F.col("_title")) & F.col("message").eqNullSafe(F.col("_message")) & F.col("due_date").eqNullSafe(F.col("_due_date")))
     age = F.floor((F.unix_micros(now) - F.unix_micros("created_at")) / 86_400_000_000)
-    after = F.col("_rule.escalate_after_days")
+    after = F.col("_after")
     due = F.coalesce(known & held & (F.col("status") == "open") & F.col("escalated_at").isNull() & (after > 0) & (age >= after), F.lit(False))
-    action = F.when(~known, "raise").when(~held, F.when(F.col("_rule").isNotNull(), "retire").otherwise("hold")).when(changed, "refresh").otherwise("keep")
+    action = F.when(~known, "raise").when(~held, F.when(F.col("_governed"), "retire").otherwise("hold")).when(changed, "refresh").otherwise("keep")
     final = F.when(~known, F.col("severity")).when(~held, F.col("_severity")).when(due, promoted(severity)).otherwise(severity)
     status = F.when(~known, "open").when(action == "retire", "resolved").otherwise(F.col("status"))
     return rows.select("dedupe_key", action.alias("action"), due.alias("escalated"), final.alias("severity"), status.alias("status"), F.coalesce("title", "_title").alias("title"), F.when(held, F.col("due_date")).otherwise(F.col("_due_date")).alias("due_date"))
