@@ -50,3 +50,15 @@ def test_citation_outcomes_group_without_a_join(spark):
     found = evaluation.citation_outcomes(cited, hits)
     assert "Join" not in plan(found)
     assert sorted(tuple(r)[:8] for r in found.collect()) == [(1, 5, 1, 1, 2, 1, 2, 1), (2, 1, 0, 0, 1, 0, 0, 0), (3, 0, 0, 0, 0, 0, 0, 0)]
+
+
+def test_rules_are_read_once_and_join_behind_the_contracts(spark):
+    from docuquarry import catalog_alerts
+    from docuquarry.plans import alerts
+
+    tables = catalog_alerts._tables(spark, "/root/testdata/sf0.001")
+    drafts = alerts.collect(*tables, F.lit("2001-06-01").cast("date"))
+    said = plan(drafts)
+    assert "parse_json" not in said and "map_concat" not in said  # thresholds are columns of a few written rows
+    swept = alerts.sweep(drafts.withColumns({"status": F.lit("open"), "escalated_at": F.lit(None).cast("timestamp"), "created_at": F.lit("2001-01-01").cast("timestamp")}), drafts, tables[-1], F.lit("2001-06-01 12:00:00").cast("timestamp"))
+    assert "map_concat" not in plan(swept) and {r.action for r in swept.select("action").distinct().collect()} == {"keep"}
