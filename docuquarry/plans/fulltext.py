@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docuquarry.functions.text import let
 from docuquarry.operators.relational import latest_per_key
 from docuquarry.plans import retrieval
 
@@ -17,24 +20,33 @@ def stem(word: Column) -> Column:
     """A light English stem: plurals and the endings of verbs and adverbs off, where three letters stay."""
     plural = F.when(word.rlike("[^aeious]ies$"), F.regexp_replace(word, "ies$", "y")).when(word.rlike("(ss|x|z|ch|sh)es$"), F.regexp_replace(word, "es$", "")).when(word.rlike("[^aius]s$"), F.regexp_replace(word, "s$", "")).otherwise(word)
     bare = F.regexp_replace(plural, "(?<=[a-z]{3})(ing|edly|ed|ly)$", "")
-    return F.when(F.length(word) > 3, F.regexp_replace(bare, "(?<=[a-z]{2})([b-df-hj-np-tv-z])\\1$", "$1")).otherwise(word)
+    single = lambda w: F.regexp_replace(w, "(?<=[a-z]{2})([b-df-hj-np-tv-z])\\1$", "$1")
+    # most words have none of the endings, which plain comparisons tell
+    ends = reduce(lambda a, b: a | b, [F.endswith(word, F.lit(e)) for e in ("s", "ing", "ed", "ly")])
+    return F.when(F.length(word) <= 3, word).when(ends, single(bare)).when(F.substring(word, -1, 1) == F.substring(word, -2, 1), single(word)).otherwise(word)
 
 
-def terms(text: Column) -> Column:
-    """Stems of the words that aren't stop words, in order."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: (w != "") & ~w.isin(STOP_WORDS))
-    return F.transform(words, stem)
+def words(text: Column) -> Column:
+    """The words of a text in lower case, in order: letters and digits of any script."""
+
+    def cut(low: Column) -> Column:
+        return F.when(F.length(low) == F.octet_length(low), F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, r"[^\p{L}\p{N}]+"))  # the short expression for ASCII
 
+    return F.array_remove(let(F.lower(F.coalesce(text, F.lit(""))), cut), "")
 
-def _posted(text: Column, weight: float) -> Column:
-    return F.transform(terms(text), lambda x: F.struct(x.alias("term"), F.lit(weight).alias("w")))
+
+def terms(text: Column) -> Column:
+    """Stems of the words that aren't stop words, in order."""
+    return F.transform(F.filter(words(text), lambda w: ~w.isin(STOP_WORDS)), stem)
 
 
 def index(rows: DataFrame, key: str, title: str | None, body: str) -> DataFrame:
     """(term, key, weight): the inverted index of rows, to be written once, partitioned or sorted by term."""
     parts = [(body, "B"), *([(title, "A")] if title else [])]
-    posted = F.flatten(F.array(*[_posted(F.col(c), WEIGHTS[w]) for c, w in parts]))
-    return rows.select(key, F.inline(posted)).groupBy("term", key).agg(F.sum(F.col("w").cast("decimal(18,2)")).cast("double").alias("weight"))
+    said = reduce(DataFrame.unionByName, [rows.select(key, F.lit(WEIGHTS[w]).cast("decimal(18,2)").alias("w"), F.explode(words(F.col(c))).alias("word")) for c, w in parts])
+    # words are stemmed as rows, by compiled code
+    posted = said.where(~F.col("word").isin(STOP_WORDS)).select(stem(F.col("word")).alias("term"), key, "w")
+    return posted.groupBy("term", key).agg(F.sum("w").cast("double").alias("weight"))
 
 
 def search(postings: DataFrame, queries: DataFrame, key: str, query: str = "query", limit: int = 25) -> DataFrame:

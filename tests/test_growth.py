@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docuquarry.operators import relational
-from docuquarry.plans import detection, embeddings, evaluation
+from docuquarry.plans import detection, embeddings, evaluation, fulltext
 
 
 def plan(df) -> str:
@@ -62,3 +62,11 @@ def test_rules_are_read_once_and_join_behind_the_contracts(spark):
     assert "parse_json" not in said and "map_concat" not in said  # thresholds are columns of a few written rows
     swept = alerts.sweep(drafts.withColumns({"status": F.lit("open"), "escalated_at": F.lit(None).cast("timestamp"), "created_at": F.lit("2001-01-01").cast("timestamp")}), drafts, tables[-1], F.lit("2001-06-01 12:00:00").cast("timestamp"))
     assert "map_concat" not in plan(swept) and {r.action for r in swept.select("action").distinct().collect()} == {"keep"}
+
+
+def test_an_index_stems_words_as_rows(spark):
+    rows = spark.createDataFrame([(1, "The FLIES and \u00c9T\u00c9S running, running"), (2, None), (3, "")], "id long, body string")
+    got = fulltext.index(rows, "id", None, "body")
+    # the only lambda binds the text in lower case
+    assert plan(got).count("lower(") == 1 and plan(got).count("transform(") == 1
+    assert {(r.term, r.weight) for r in got.collect()} == {("fly", 0.4), ("\u00e9t\u00e9", 0.4), ("run", 0.8)}
