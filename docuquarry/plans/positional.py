@@ -15,26 +15,17 @@ from pyspark.sql import functions as F
 
 from docuquarry.functions.text import let
 from docuquarry.operators.steps import settled
-from docuquarry.plans.fulltext import STOP_WORDS, stem
+from docuquarry.plans.fulltext import STOP_WORDS, stem, words
 
 #: A side of a join is broadcast only when it was counted and has at most so many narrow rows.
 BROADCAST_ROWS = 400_000
-#: Letters and digits of any script make words.
-_BETWEEN = r"[^\p{L}\p{N}]+"
 #: A quoted phrase or a run without white space, with or without a minus before it; a quote that isn't closed runs to the end.
 _PART = r'(-?"[^"]*"?|[^\s"]+)'
 
 
-def _words(text: Column) -> Column:
-    """The words of a text in lower case, in order."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    cut = F.when(F.length(low) == F.octet_length(low), F.split(low, "[^a-z0-9]+")).otherwise(F.split(low, _BETWEEN))  # the short expression for ASCII
-    return F.array_remove(cut, "")
-
-
 def placed_terms(text: Column, plain: bool = False) -> Column:
     """Array of (term, pos) of a text: words in lower case by their place, stop words counted but left out; plain takes every word as it is."""
-    numbered = F.transform(_words(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
+    numbered = F.transform(words(text), lambda w, i: F.struct(w.alias("term"), i.alias("pos")))
     if plain:
         return numbered
     return F.transform(F.filter(numbered, lambda x: ~x["term"].isin(STOP_WORDS)), lambda x: F.struct(stem(x["term"]).alias("term"), x["pos"].alias("pos")))
@@ -47,16 +38,18 @@ def index(rows: DataFrame, key: str, fields: dict[str, float], plain: bool = Fal
     each different word is stemmed once, and those that no question asks for fall away. A term of one row's
     field is one group, so a frequent term is dealt over the keys that hold it.
     """
-    parts = []
-    for field, weight in fields.items():
-        said = placed_terms(F.col(field), True) if only is not None else placed_terms(F.col(field), plain)
-        parts.append(rows.select(F.lit(field).alias("field"), F.lit(float(weight)).alias("weight"), key, F.inline(said)))
+    parts = [rows.select(F.lit(field).alias("field"), F.lit(float(weight)).alias("weight"), key, F.posexplode(words(F.col(field))).alias("pos", "word")) for field, weight in fields.items()]
     out = reduce(DataFrame.unionByName, parts)
+
+    def stemmed(said: DataFrame) -> DataFrame:
+        """With term, by compiled code, as words are rows by now."""
+        return said.withColumn("term", F.col("word")) if plain else said.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
+
     if only is not None:
-        words = out.select(F.col("term").alias("word")).distinct()
-        terms = words.withColumn("term", F.col("word")) if plain else words.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
-        asked = terms.join(only.select("term").distinct(), "term", "left_semi")
-        out = out.withColumnRenamed("term", "word").join(asked, "word").drop("word")
+        asked = stemmed(out.select("word").distinct()).join(only.select("term").distinct(), "term", "left_semi")
+        out = out.join(asked, "word").drop("word")
+    else:
+        out = stemmed(out).drop("word")
     return out.groupBy("term", key, "field", "weight").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
@@ -120,8 +113,8 @@ def _answers(steps_at: Callable[[DataFrame], DataFrame], terms_in: Callable[[Dat
     phrases, steps, parts, asks = _asked(queries, query, plain)
     stood = settled(steps_at(_small(steps.select("first", "second", "gap").distinct())))
     several = settled(_phrase_hits(stood, steps, key))
-    words = phrases.where(F.size("terms") == 1).select("pid", F.get("terms", F.lit(0))["term"].alias("term"))
-    one = settled(terms_in(_small(words.select("term"))).join(_small(words), "term").select("pid", key, "weight"))
+    single = phrases.where(F.size("terms") == 1).select("pid", F.get("terms", F.lit(0))["term"].alias("term"))
+    one = settled(terms_in(_small(single.select("term"))).join(_small(single), "term").select("pid", key, "weight"))
     # an alternative begins with its rarest phrase; what else it asks is looked up where that stands
     often = several.groupBy("pid").agg(F.count("*").alias("_n"))
     wide = parts.where("NOT negated").join(steps.select("pid").distinct(), "pid")
@@ -174,10 +167,10 @@ def search_texts(rows: DataFrame, queries: DataFrame, key: str, fields: dict[str
 
     Each different word is stemmed once.
     """
-    said = reduce(DataFrame.unionByName, [rows.select(key, F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), _words(F.col(f)).alias("words")) for f, w in fields.items()])
+    said = reduce(DataFrame.unionByName, [rows.select(key, F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), words(F.col(f)).alias("words")) for f, w in fields.items()])
     asked = parsed(queries, query, plain).select("term").distinct()
-    words = said.select(F.explode("words").alias("word")).distinct()
-    terms = words.withColumn("term", F.col("word")) if plain else words.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
+    each_word = said.select(F.explode("words").alias("word")).distinct()
+    terms = each_word.withColumn("term", F.col("word")) if plain else each_word.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
     known = _small(settled(terms.join(asked, "term", "left_semi").select("word", "term")))
 
     def steps_at(steps: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docuquarry.operators import relational
-from docuquarry.plans import detection, embeddings, evaluation, fulltext
+from docuquarry.plans import detection, embeddings, evaluation, fulltext, positional
 
 
 def plan(df) -> str:
@@ -70,3 +70,10 @@ def test_an_index_stems_words_as_rows(spark):
     # the only lambda binds the text in lower case
     assert plan(got).count("lower(") == 1 and plan(got).count("transform(") == 1
     assert {(r.term, r.weight) for r in got.collect()} == {("fly", 0.4), ("\u00e9t\u00e9", 0.4), ("run", 0.8)}
+
+
+def test_a_positional_index_stems_words_as_rows(spark):
+    rows = spark.createDataFrame([(1, "The FLIES and \u00c9T\u00c9S running, running"), (2, None), (3, "")], "id long, body string")
+    got = positional.index(rows, "id", {"body": 1.0})
+    assert plan(got).count("lower(") == 1 and plan(got).count("transform(") == 1
+    assert {(r.term, tuple(r.positions)) for r in got.collect()} == {("fly", (1,)), ("\u00e9t\u00e9", (3,)), ("run", (4, 5))}
