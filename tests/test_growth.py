@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docuquarry.operators import relational
-from docuquarry.plans import detection, embeddings, evaluation, fulltext, positional
+from docuquarry.plans import detection, embeddings, evaluation, fulltext, positional, risks
 
 
 def plan(df) -> str:
@@ -64,6 +64,16 @@ def test_rules_are_read_once_and_join_behind_the_contracts(spark):
     assert "map_concat" not in plan(swept) and {r.action for r in swept.select("action").distinct().collect()} == {"keep"}
 
 
+def test_rules_read_a_clause_once_and_meet_the_model_in_one_grouping(spark):
+    clauses = spark.createDataFrame([(1, "assignment", '{"consent_required_on_change_of_control": [1]}'), (1, "assignment", '{"consent_required_on_change_of_control": []'), (2, "exclusivity", '{"bound_side": "both", "x": {"bound_side": null}}'), (2, "exclusivity", None), (None, "exclusivity", '{"bound_side": "both"}')], "contract_id long, clause_type string, attributes string")
+    found = risks.clause_findings(clauses)
+    assert found.columns == [*clauses.columns, "risk_type", "severity"] and "get_json_object" not in plan(found)
+    model = spark.createDataFrame([(None, "exclusivity", "exclusivity", "low"), (2, "exclusivity", "assignment", "low"), (2, "exclusivity", "assignment", "high")], "contract_id long, risk_type string, clause_type string, severity string")
+    merged = risks.merged_findings(found, model)
+    assert plan(merged).count("json_tuple") == 1
+    assert {tuple(r) for r in merged.collect()} == {(1, "change_of_control", "assignment", "medium", "rule"), (2, "exclusivity", "exclusivity", "high", "rule"), (None, "exclusivity", "exclusivity", "high", "rule"), (2, "exclusivity", "assignment", "high", "model")}
+
+
 def test_an_index_stems_words_as_rows(spark):
     rows = spark.createDataFrame([(1, "The FLIES and \u00c9T\u00c9S running, running"), (2, None), (3, "")], "id long, body string")
     got = fulltext.index(rows, "id", None, "body")
