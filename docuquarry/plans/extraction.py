@@ -7,6 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docuquarry.functions.text import let
+
 #: Points of a match, of a chunk's kind, and the bounds of an evidence bundle.
 HEADING, KEYWORD, TITLE_KEYWORD, SYNONYM = 10.0, 2.0, 3.0, 4.0
 KIND_POINTS = {"clause": 2.0, "section": 1.0, "list": 0.75, "table": 0.5, "paragraph": 0.25}
@@ -31,31 +33,35 @@ def _under(path: Column, name: str) -> Column:
     return F.when(path == "", F.lit(name)).otherwise(F.concat(path, F.lit(f".{name}")))
 
 
-def _issues(value: Column, schema: dict, path: Column) -> Column:
+def _issues(value: Column, kind: Column, schema: dict, path: Column) -> Column:
+    """What a variant of a kind, as schema_of_variant has it, has against a schema; the kind and the names in an object are read once each."""
     declared = schema.get("type")
     types = [declared] if isinstance(declared, str) else list(declared or [])
     where = F.when(path == "", "(root)").otherwise(path)
-    is_a = lambda *names: F.schema_of_variant(value).rlike(f"^({'|'.join(_TYPES[n] for n in names)})")
+    is_a = lambda *names: kind.rlike(f"^({'|'.join(_TYPES[n] for n in names)})")
     parts = []
     if "enum" in schema:
         allowed = [json.dumps(e, ensure_ascii=False, separators=(",", ":")) for e in schema["enum"]]
         parts.append(_found(~F.to_json(value).isin(allowed), "schema_enum_violation", where))
     if "object" in types:
         named = schema.get("properties", {})
-        held = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-        inner = [_found(~F.array_contains(held, n), "schema_missing_field", _under(path, n)) for n in schema.get("required", [])]
-        if schema.get("additionalProperties") is False:
-            extra = F.array_sort(F.array_except(held, F.array(*map(F.lit, named)).cast("array<string>")))
-            issue = lambda n: F.struct(F.lit("schema_unexpected_field").alias("code"), F.when(path == "", n).otherwise(F.concat(path, F.lit("."), n)).alias("field"), F.lit("warning").alias("severity"))
-            inner.append(F.transform(extra, issue))
-        for name, sub in named.items():
-            child = F.try_variant_get(value, f"$['{name}']", "variant")
-            inner.append(F.when(F.array_contains(held, name), _issues(child, sub, _under(path, name))).otherwise(_none()))
-        if inner:
-            parts.append(F.when(is_a("object"), F.concat(*inner)).otherwise(_none()))
+
+        def inside_object(held: Column) -> Column:
+            inner = [_found(~F.array_contains(held, n), "schema_missing_field", _under(path, n)) for n in schema.get("required", [])]
+            if schema.get("additionalProperties") is False:
+                extra = F.array_sort(F.array_except(held, F.array(*map(F.lit, named)).cast("array<string>")))
+                issue = lambda n: F.struct(F.lit("schema_unexpected_field").alias("code"), F.when(path == "", n).otherwise(F.concat(path, F.lit("."), n)).alias("field"), F.lit("warning").alias("severity"))
+                inner.append(F.transform(extra, issue))
+            for name, sub in named.items():
+                child = F.try_variant_get(value, f"$['{name}']", "variant")
+                inner.append(F.when(F.array_contains(held, name), _judged(child, sub, _under(path, name))).otherwise(_none()))
+            return F.concat(*inner) if inner else _none()
+
+        if named or schema.get("required") or schema.get("additionalProperties") is False:
+            parts.append(F.when(is_a("object"), let(F.map_keys(F.try_variant_get(value, "$", "map<string,variant>")), inside_object)).otherwise(_none()))
     if "array" in types and isinstance(schema.get("items"), dict):
         entries = F.try_variant_get(value, "$", "array<variant>")
-        each = lambda x, i: _issues(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))
+        each = lambda x, i: _judged(x, schema["items"], F.concat(path, F.lit("["), i.cast("string"), F.lit("]")))
         parts.append(F.when(is_a("array"), F.flatten(F.transform(entries, each))).otherwise(_none()))
     inside = F.when(is_a("null"), _none()).otherwise(F.concat(*parts)) if parts else _none()
     if not types:
@@ -63,6 +69,11 @@ def _issues(value: Column, schema: dict, path: Column) -> Column:
     return F.when(is_a(*types), inside).otherwise(_found(F.lit(True), "schema_type_mismatch", where))
 
 
+def _judged(value: Column, schema: dict, path: Column) -> Column:
+    """_issues of a value, with the value and its kind bound before they are used."""
+    return let(F.struct(value.alias("v"), F.schema_of_variant(value).alias("k")), lambda x: _issues(x["v"], x["k"], schema, path))
+
+
 def schema_issues(payload: Column, schema: dict) -> Column:
     """What a JSON text has against a schema: types and their unions, enums, required and unexpected fields, items.
 
@@ -70,8 +81,8 @@ def schema_issues(payload: Column, schema: dict) -> Column:
     64 bits are integers, and a boolean is no number. Null or broken JSON is schema_unreadable at (root). Other
     keywords of a schema are not looked at.
     """
-    value = F.try_parse_json(payload)
-    return F.when(value.isNull(), _found(F.lit(True), "schema_unreadable", F.lit("(root)"))).otherwise(_issues(value, schema, F.lit("")))
+    unreadable = _found(F.lit(True), "schema_unreadable", F.lit("(root)"))
+    return let(F.try_parse_json(payload), lambda value: F.when(value.isNull(), unreadable).otherwise(_judged(value, schema, F.lit(""))))
 
 
 def accepted(rows: DataFrame, issues: str = "issues", attributes: str = "attributes", corrections: str = "corrections") -> DataFrame:

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docuquarry.operators import relational
-from docuquarry.plans import detection, embeddings, evaluation, fulltext, positional, risks
+from docuquarry.plans import detection, embeddings, evaluation, extraction, fulltext, positional, risks
 
 
 def plan(df) -> str:
@@ -64,6 +64,16 @@ def test_rules_are_read_once_and_join_behind_the_contracts(spark):
     assert "map_concat" not in plan(swept) and {r.action for r in swept.select("action").distinct().collect()} == {"keep"}
 
 
+def test_a_payload_is_parsed_once_for_all_checks(spark):
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "items": {"type": "object", "properties": {"n": {"type": ["number", "null"]}}}}}}
+    rows = spark.createDataFrame([(1, '{"a": [{"n": 1}, {"n": "x"}, 2]}'), (2, "{"), (3, None), (4, "null"), (5, "{}")], "id long, payload string")
+    got = rows.select("id", extraction.schema_issues(F.col("payload"), schema).alias("i"))
+    assert plan(got).count("parseJson") == 1
+    assert {r.id: [(i.code, i.field) for i in r.i] for r in got.collect()} == {
+        1: [("schema_type_mismatch", "a[1].n"), ("schema_type_mismatch", "a[2]")], 2: [("schema_unreadable", "(root)")], 3: [("schema_unreadable", "(root)")], 4: [("schema_type_mismatch", "(root)")], 5: [("schema_missing_field", "a")],
+    }
+
+
 def test_rules_read_a_clause_once_and_meet_the_model_in_one_grouping(spark):
     clauses = spark.createDataFrame([(1, "assignment", '{"consent_required_on_change_of_control": [1]}'), (1, "assignment", '{"consent_required_on_change_of_control": []'), (2, "exclusivity", '{"bound_side": "both", "x": {"bound_side": null}}'), (2, "exclusivity", None), (None, "exclusivity", '{"bound_side": "both"}')], "contract_id long, clause_type string, attributes string")
     found = risks.clause_findings(clauses)
