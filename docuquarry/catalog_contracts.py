@@ -76,7 +76,7 @@ def _export(spark, d):
     contracts, metadata = repository_tables(spark, d)
     chosen = exports.selected(contracts, metadata, [1, 3], {"status": ["F", "O"], "risk_score": {"min": 20}}, date(2001, 6, 1))
     of = contracts.select(F.col("id").alias("contract_id"), "project_id")
-    li = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "contract_id").join(of, "contract_id").withColumn("id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")))
+    li = t(spark, d, "lineitem").withColumnRenamed("l_orderkey", "contract_id").join(of.hint("shuffle_hash"), "contract_id").withColumn("id", F.concat_ws("-", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(18,2)")))
     kind = F.when(F.col("l_returnflag") == "R", "confidentiality").when(F.col("l_returnflag") == "A", "term").otherwise("notice")
     clauses = li.select("id", "contract_id", "project_id", kind.alias("clause_type"), F.col("l_linenumber").cast("string").alias("clause_number"), F.lit("").alias("title"), F.concat(F.lit("S "), "l_suppkey").alias("section_title"), F.concat(F.lit("part "), "l_partkey").alias("text"), F.lit("s").alias("summary"))
     obligations = li.where("l_linestatus = 'O'").select("id", "contract_id", "project_id", F.concat(F.lit("ship "), "l_partkey").alias("action"), F.to_date("l_shipdate").alias("due_date"))

@@ -46,7 +46,8 @@ def export_set(chosen: DataFrame, children: dict[str, DataFrame], project_ids: l
             rows = named.withColumns({"contract_id": F.col("id"), "file_name": F.col("original_file_name"), "missing_mandatory_clauses": F.array_join(F.coalesce("missing_mandatory_clauses", F.array().cast("array<string>")), ", "), "uploaded_at": F.col("created_at")})
             place: Column = F.lit(1)
         else:
-            rows = children[entity].where(F.col("project_id").isin(project_ids)).join(titles, "contract_id")
+            # a hashed title a contract, so that the rows are sorted for their places alone
+            rows = children[entity].where(F.col("project_id").isin(project_ids)).join(titles.hint("shuffle_hash"), "contract_id")
             if entity == "clauses":
                 rows = masked_clauses(rows, MASKED_TYPES, may_see_masked, MASK)
                 if dict(rows.dtypes).get("attributes", "").startswith("map"):

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from docuquarry import catalog, catalog_contracts  # noqa: F401  (registers its queries)
 from docuquarry.operators import relational
 from docuquarry.plans import detection, embeddings, evaluation, extraction, fulltext, positional, risks
 
@@ -97,3 +98,15 @@ def test_a_positional_index_stems_words_as_rows(spark):
     got = positional.index(rows, "id", {"body": 1.0})
     assert plan(got).count("lower(") == 1 and plan(got).count("transform(") == 1
     assert {(r.term, tuple(r.positions)) for r in got.collect()} == {("fly", (1,)), ("\u00e9t\u00e9", (3,)), ("run", (4, 5))}
+
+
+def test_rows_of_a_sheet_are_sorted_for_their_places_alone(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        clauses = catalog.QUERIES["export_sheets"](spark, "/root/testdata/sf0.001").where("entity = 'clauses'")
+        text = clauses._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert text.count("ShuffledHashJoin") >= 2 and clauses.count() > 0
+
