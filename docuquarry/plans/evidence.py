@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docuquarry.functions.text import squeeze
+from docuquarry.functions.text import let, squeeze
 from docuquarry.operators.folds import fold
 from docuquarry.operators.steps import settled
 from docuquarry.plans.retrieval import GRAPH_FACTOR
@@ -81,50 +81,77 @@ def assemble_context(evidence: DataFrame, query: str, budget: int = CONTEXT_BUDG
     return folded.select(query, F.inline(placed))
 
 
-def _found(words: list[str], text: list[str]) -> int:
-    return sum(b.size for b in SequenceMatcher(None, words, text, autojunk=False).get_matching_blocks())
+def _found(matcher: SequenceMatcher, words: list[str]) -> int:
+    matcher.set_seq1(words)
+    return sum(b.size for b in matcher.get_matching_blocks())
 
 
 def _coverage(quote_words: int | None, evidence_words: int | None):
-    """The share of a quote's words that stand in the evidence in order; without a bound the whole evidence, in windows that overlap by half."""
+    """The share of a quote's words that stand in the evidence in order; without a bound the whole evidence, in windows that overlap by half.
+
+    Below QUOTE_MATCH it may be the share that stands there in any order, which is never less. A text is
+    read once for all quotes of it that follow each other.
+    """
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for quotes, evidence in batches:
-            shares = []
+            shares, read, held, known, whole = [], None, [], frozenset(), None
             for quote, text in zip(quotes, evidence, strict=True):
-                words, held = (quote or "").split()[:quote_words], (text or "").split()[:evidence_words]
-                width = len(held) if evidence_words else max(4 * len(words), WINDOW_WORDS)
-                starts = range(0, max(1, len(held) - width // 2), max(1, width // 2))
-                best = max((_found(words, held[i : i + width]) for i in starts), default=0) if words else 0
-                shares.append(min(1.0, best / len(words)) if words else 0.0)
-            yield pd.Series(shares)
+                words = (quote or "").split()[:quote_words]
+                if not words:
+                    shares.append(0.0)
+                    continue
+                if text != read:
+                    read, held, whole = text, (text or "").split()[:evidence_words], None
+                    known = frozenset(held)
+                most = sum(w in known for w in words)
+                if most / len(words) < QUOTE_MATCH:
+                    shares.append(most / len(words))
+                    continue
+                width, best = len(held) if evidence_words else max(4 * len(words), WINDOW_WORDS), 0
+                for i in range(0, max(1, len(held) - width // 2), max(1, width // 2)):
+                    if i or width < len(held):
+                        matcher = SequenceMatcher(None, (), held[i : i + width], autojunk=False)
+                    else:
+                        matcher = whole = whole or SequenceMatcher(None, (), held, autojunk=False)
+                    best = max(best, _found(matcher, words))
+                    if best == most:
+                        break
+                shares.append(best / len(words))
+            yield pd.Series(shares, dtype="float64")
 
     return run
 
 
 def folded(text: Column) -> Column:
     """Lower case, with plain quotes, dashes, fi and fl for typographic ones and one space for any white space, that of Unicode included; null is empty."""
-    plain = F.translate(F.lower(F.coalesce(text, F.lit(""))), *QUOTE_MARKS)
-    for ligature, letters in LIGATURES:
-        plain = F.replace(plain, F.lit(ligature), F.lit(letters))
-    return squeeze(plain)
+
+    def plain(small: Column) -> Column:
+        out = F.translate(small, *QUOTE_MARKS)
+        for ligature, letters in LIGATURES:
+            out = F.replace(out, F.lit(ligature), F.lit(letters))
+        return F.when(F.length(small) == F.octet_length(small), small).otherwise(out)  # ASCII holds none of them
+
+    # both are bound, as squeeze names its text many times over
+    return let(F.lower(F.coalesce(text, F.lit(""))), lambda small: let(plain(small), squeeze))
 
 
 def check_quotes(rows: DataFrame, quote: str, evidence: str, quote_words: int | None = QUOTE_WORDS, evidence_words: int | None = EVIDENCE_WORDS) -> DataFrame:
     """rows with verdict: empty, ok (in the evidence as it stands, or nearly all words in order), partial or rejected.
 
-    Python sees only the quotes that a substring test, over whole texts, leaves open. Of those it compares the first
+    rows are read, and both texts folded, once. Python sees only the quotes that a substring test, over whole texts,
+    leaves open; for the others it gets nulls, so that rows need no second reading. Of the open ones it compares the first
     quote_words words with the first evidence_words of the evidence: an altered quote behind them is rejected, and
     words of a quote beyond them aren't looked at. None takes whole quotes, and whole texts in windows of at least four
     times the quote's length that overlap by half, so that a quote altered anywhere is found.
     """
     share = F.pandas_udf(_coverage(quote_words, evidence_words), "double")
-    q, e = folded(F.col(quote)), folded(F.col(evidence))
-    first = rows.withColumn("_v", F.when(q == "", "empty").when(F.contains(e, q), "ok"))
-    done = first.where("_v IS NOT NULL").withColumnRenamed("_v", "verdict")
-    left = first.where("_v IS NULL").drop("_v").withColumn("_s", share(q, e))
-    verdict = F.when(F.col("_s") >= QUOTE_CLEAN, "ok").when(F.col("_s") >= QUOTE_MATCH, "partial").otherwise("rejected")
-    return done.unionByName(left.withColumn("verdict", verdict).drop("_s"))
+    told = rows.withColumns({"_q": folded(F.col(quote)), "_e": folded(F.col(evidence))})
+    told = told.withColumn("_v", F.when(F.col("_q") == "", "empty").when(F.contains("_e", "_q"), "ok"))
+    open_ = F.col("_v").isNull()
+    left = told.withColumn("_s", share(F.when(open_, F.col("_q")), F.when(open_, F.col("_e"))))
+    verdict = F.coalesce("_v", F.when(F.col("_s") >= QUOTE_CLEAN, "ok").when(F.col("_s") >= QUOTE_MATCH, "partial").otherwise("rejected"))
+    return left.select(*[F.col(f"`{c}`") for c in rows.columns], verdict.alias("verdict"))
 
 
 def citation_verdict(cited: Column, offered: Column) -> Column:

@@ -1,10 +1,14 @@
 """Shapes of plans that keep a task's memory, the shuffle or the time in proportion to the input."""
 
+import random
+from difflib import SequenceMatcher
+
+import pytest
 from pyspark.sql import functions as F
 
 from docuquarry import catalog, catalog_contracts  # noqa: F401  (registers its queries)
 from docuquarry.operators import relational
-from docuquarry.plans import detection, embeddings, evaluation, extraction, fulltext, positional, risks
+from docuquarry.plans import detection, embeddings, evaluation, evidence, extraction, fulltext, positional, risks
 
 
 def plan(df) -> str:
@@ -110,3 +114,31 @@ def test_rows_of_a_sheet_are_sorted_for_their_places_alone(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert text.count("ShuffledHashJoin") >= 2 and clauses.count() > 0
 
+
+
+@pytest.mark.parametrize("bounds", [{}, {"quote_words": None, "evidence_words": None}, {"quote_words": 9, "evidence_words": 31}])
+def test_quotes_are_read_and_folded_once(spark, bounds):
+    rnd, rows = random.Random(5), []
+    for _ in range(60):
+        text = rnd.choices("abcdefgh", k=rnd.choice([0, 1, 2, 9, 40, 41, 2500]))
+        for _ in range(4):  # quotes of one text follow each other, as verbatim, altered and invented ones
+            at = rnd.randrange(len(text) + 1)
+            quote = text[at : at + rnd.choice([3, 10, 30])]
+            for _ in range(rnd.randrange(3)):
+                quote.insert(rnd.randrange(len(quote) + 1), rnd.choice(["x", "a", "b"]))
+            rows.append((len(rows), " ".join(quote) if rnd.random() < 0.95 else None, " ".join(text) if text or rnd.random() < 0.5 else None))
+
+    def verdict(quote, text):
+        n, m = bounds.get("quote_words", evidence.QUOTE_WORDS), bounds.get("evidence_words", evidence.EVIDENCE_WORDS)
+        if not quote or quote in (text or ""):
+            return "ok" if quote else "empty"
+        words, held = quote.split()[:n], (text or "").split()[:m]
+        width = len(held) if m else max(4 * len(words), evidence.WINDOW_WORDS)
+        best = max(sum(b.size for b in SequenceMatcher(None, words, held[i : i + width], autojunk=False).get_matching_blocks()) for i in range(0, max(1, len(held) - width // 2), max(1, width // 2)))
+        return "ok" if best / len(words) >= evidence.QUOTE_CLEAN else "partial" if best / len(words) >= evidence.QUOTE_MATCH else "rejected"
+
+    got = evidence.check_quotes(spark.createDataFrame(rows, "i int, quote string, text string"), "quote", "text", **bounds)
+    assert got.columns == ["i", "quote", "text", "verdict"]
+    assert plan(got).count("translate(") == 2 and "Union" not in plan(got)
+    want = {i: verdict(q, t) for i, q, t in rows}
+    assert {r.i: r.verdict for r in got.collect()} == want and {"empty", "ok", "partial", "rejected"} == set(want.values())
