@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 import numpy as np
@@ -14,8 +15,8 @@ from docuquarry.operators.folds import fold
 
 #: Fixed values of the ranking: fusion constant, and factors of neighbours and of graph hits.
 RRF_K, NEIGHBOUR_FACTOR, GRAPH_FACTOR = 60, 0.5, 0.4
-#: Rows of a block in which many queries meet many rows.
-BLOCK_ROWS = 4_096
+#: Rows of a block in which many queries meet many rows, and scores of a block that are held at once.
+BLOCK_ROWS, STRIP_SCORES = 4_096, 262_144
 
 
 def knn(rows: DataFrame, query: list[float], k: int, key: str, vector: str = "embedding", floor: float | None = None) -> DataFrame:
@@ -31,6 +32,33 @@ def _equals(term: str, word: Column) -> Column:
     return word == term
 
 
+def best_of_block(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, held: np.ndarray, k: int, floor: float | None = None, scope: Callable[[slice], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(names, ids, scores) of each question's k best rows by inner product to nine places, ties by id, never the row of its own id.
+
+    Questions are taken in strips, so that only STRIP_SCORES scores are held at once. scope says for a strip which rows
+    each of its questions may see.
+    """
+    out, strip = [], max(1, STRIP_SCORES // max(1, len(ids)))
+    for lo in range(0, len(names), strip):
+        at = slice(lo, lo + strip)
+        score = asked[at] @ held.T
+        seen = names[at, None] != ids[None, :]
+        if floor is not None:
+            seen &= score >= floor
+        if scope is not None:
+            seen &= scope(at)
+        if 0 < k < len(ids):  # what may be among the first k once rounded is sorted, no more
+            shown = np.where(seen & ~np.isnan(score), score, -np.inf)
+            seen &= ~(shown < np.partition(shown, len(ids) - k, axis=1)[:, len(ids) - k, None] - 2e-9)
+        i, j = np.nonzero(seen)
+        order = np.lexsort((ids[j], -np.round(score[i, j], 9), i))
+        i, j = i[order], j[order]
+        first = np.arange(len(i)) - np.searchsorted(i, i) < k
+        i, j = i[first], j[first]
+        out.append((names[at][i], ids[j], score[i, j]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (names[:0], ids[:0], np.zeros(0))
+
+
 def knn_of(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
     """(query_id, key, similarity, rank): the k rows nearest by cosine to each of queries (query_id, vector), never the row of its own id, ties by key.
 
@@ -52,11 +80,8 @@ def knn_of(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str =
             for qs in left["_qs"]:
                 names = np.array([r["query_id"] for r in qs])
                 q = np.stack([np.asarray(r["_q"], np.float64) for r in qs])
-                score = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)) @ x.T
-                for i, name in enumerate(names):
-                    order = np.lexsort((ids, -np.round(score[i], 9)))
-                    order = order[ids[order] != name][:k]
-                    out.append(pd.DataFrame({"query_id": name, key: ids[order], "similarity": score[i, order]}))
+                found = best_of_block(names, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), ids, x, k)
+                out.append(pd.DataFrame(dict(zip(("query_id", key, "similarity"), found, strict=True))))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "similarity": []})
 
     kinds = dict(rows.dtypes)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docuquarry.operators.steps import settled
+from docuquarry.plans.retrieval import best_of_block
 
 #: Rows that centres are fitted on at most (the first by a hash of the key), rounds of fitting, and most centres.
 SAMPLE_ROWS, ROUNDS, MOST_CENTRES = 8_192, 10, 1_024
@@ -94,20 +95,24 @@ def _meet(index: DataFrame, visits: DataFrame, cells: DataFrame, asked: DataFram
     kinds = dict(index.dtypes)
 
     def near(rows: pd.DataFrame, questions: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(rows) and len(questions):
-            ids, score = rows[key].to_numpy(), _unit(questions["_q"]) @ _unit(rows[vector]).T
-            allowed = np.ones(score.shape, bool)
+        names, ids = questions["query_id"].to_numpy(), rows[key].to_numpy()
+        if not len(names) or not len(ids):
+            return pd.DataFrame({"query_id": [], key: [], "similarity": []})
+
+        def scope(at: slice) -> np.ndarray:
+            allowed = np.ones((len(names[at]), len(ids)), bool)
             for column, of in match.items():
-                values = rows[column].to_numpy()
-                for i, scope in enumerate(questions[of]):
-                    if scope is not None:
-                        allowed[i] &= np.isin(values, list(scope))
-            for i, name in enumerate(questions["query_id"]):
-                keep = np.flatnonzero(allowed[i] & (ids != name) & (score[i] >= (-2 if floor is None else floor)))
-                order = keep[np.lexsort((ids[keep], -np.round(score[i][keep], 9)))][:k]
-                out.append(pd.DataFrame({"query_id": name, key: ids[order], "similarity": score[i][order]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "similarity": []})
+                values, within = rows[column].to_numpy(), {}
+                for i, wanted in enumerate(questions[of].iloc[at]):
+                    if wanted is not None:
+                        kinds = tuple(wanted)
+                        if kinds not in within:  # questions that share a filter test the rows once
+                            within[kinds] = np.isin(values, list(kinds))
+                        allowed[i] &= within[kinds]
+            return allowed
+
+        found = best_of_block(names, _unit(questions["_q"]), ids, _unit(rows[vector]), k, floor, scope if match else None)
+        return pd.DataFrame(dict(zip(("query_id", key, "similarity"), found, strict=True)))
 
     grouped = dealt.groupBy("cell", "_part", "_b").cogroup(asking.groupBy("_c", "_p", "_block"))
     return grouped.applyInPandas(near, f"query_id {dict(asked.dtypes)['query_id']}, `{key}` {kinds[key]}, similarity double")

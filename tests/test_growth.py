@@ -1,14 +1,16 @@
 """Shapes of plans that keep a task's memory, the shuffle or the time in proportion to the input."""
 
 import random
+import tracemalloc
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from docuquarry import catalog, catalog_contracts  # noqa: F401  (registers its queries)
 from docuquarry.operators import relational
-from docuquarry.plans import detection, embeddings, evaluation, evidence, extraction, fulltext, positional, risks
+from docuquarry.plans import detection, embeddings, evaluation, evidence, extraction, fulltext, positional, retrieval, risks
 
 
 def plan(df) -> str:
@@ -142,3 +144,26 @@ def test_quotes_are_read_and_folded_once(spark, bounds):
     assert plan(got).count("translate(") == 2 and "Union" not in plan(got)
     want = {i: verdict(q, t) for i, q, t in rows}
     assert {r.i: r.verdict for r in got.collect()} == want and {"empty", "ok", "partial", "rejected"} == set(want.values())
+
+
+def test_a_block_holds_a_strip_of_its_scores(monkeypatch):
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(retrieval.BLOCK_ROWS, 8))
+    tracemalloc.start()
+    names, _, _ = retrieval.best_of_block(np.arange(retrieval.BLOCK_ROWS), x, np.arange(retrieval.BLOCK_ROWS), x, 5, 0.0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(names) == 5 * retrieval.BLOCK_ROWS and peak < 32 << 20  # all scores at once take 128 MiB
+
+    monkeypatch.setattr(retrieval, "STRIP_SCORES", 100)
+    held = np.concatenate([x[:30], x[:10], x[:3] + 1e-12])  # equal scores, and scores that rounding makes equal
+    ids, may = rnd.permutation(len(held)), rnd.random((20, len(held))) < 0.7
+    for k, floor, scope in [(3, None, None), (4, 0.5, lambda at: may[at]), (50, None, lambda at: may[at]), (43, 0.0, None), (2, 99.0, None)]:
+        names, found, scores = retrieval.best_of_block(np.arange(20), x[:20], ids, held, k, floor, scope)
+        want = []
+        for q in range(20):
+            s = held @ x[q]
+            seen = [i for i in range(len(held)) if ids[i] != q and (floor is None or s[i] >= floor) and (scope is None or may[q, i])]
+            want += [(q, ids[i]) for i in sorted(seen, key=lambda i: (-np.round(s[i], 9), ids[i]))[:k]]
+        assert list(zip(names, found, strict=True)) == want and len(scores) == len(want)
+    assert [len(c) for c in retrieval.best_of_block(ids[:0], x[:0], ids, held, 3)] == [0, 0, 0]
