@@ -60,6 +60,10 @@ def positional_index(spark, d):
 _UNIT = "u AS (SELECT vec_id, label, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))) AS e FROM embeddings)"
 
 
+#: Ids, eight bytes each, that are broadcast at most, so that texts stay where they are read.
+_IDS = 4_000_000
+
+
 def _vector_rows(spark, d):
     """Embeddings with what searches filter on: level and model by label, project by id, a risk band as metadata."""
     level = F.when(F.col("label") == 0, "document_summary").when(F.col("label").isin(1, 2), "clause").otherwise("chunk")
@@ -120,7 +124,7 @@ def descent_of_many(spark, d):
     asked = rows.where("ref_id % 100 = 0").select(F.col("ref_id").alias("query_id"), "embedding")
     chunks = rows.where("level = 'chunk'").select("ref_id", "contract_id", F.col("place").alias("reading_order"))
     # only documents that are chunks can be hits, and only questions with a vector descend
-    texts = t(spark, d, "documents").join(chunks.select(F.col("ref_id").alias("doc_id")), "doc_id", "left_semi")
+    texts = t(spark, d, "documents").join(positional.small(chunks.select(F.col("ref_id").alias("doc_id")), _IDS), "doc_id", "left_semi")
     words = positional.search_texts(texts, _questions(spark, d).join(asked.select("query_id"), "query_id", "left_semi"), "doc_id", {"text": 0.4}, limit=None)
     hits = words.select("query_id", F.col("doc_id").alias("ref_id"), "score").join(chunks.select("ref_id", "contract_id"), "ref_id")
     clauses = rows.where("level = 'clause'").select("ref_id", "contract_id", F.col("place").alias("number"))

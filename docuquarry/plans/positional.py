@@ -72,9 +72,9 @@ def parsed(queries: DataFrame, query: str = "query", plain: bool = False) -> Dat
     return every.select("query_id", "alternative", "clause", "negated", F.inline(shifted))
 
 
-def _small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint where it was counted to have few rows."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def _asked(queries: DataFrame, query: str, plain: bool) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -111,10 +111,10 @@ def _phrase_hits(stood: DataFrame, steps: DataFrame, key: str) -> DataFrame:
 def _answers(steps_at: Callable[[DataFrame], DataFrame], terms_in: Callable[[DataFrame], DataFrame], queries: DataFrame, key: str, query: str, limit: int | None, plain: bool) -> DataFrame:
     """search, given what finds steps (first, second, gap) -> (first, second, gap, key, field, weight, pos) and single terms (term) -> (term, key, weight)."""
     phrases, steps, parts, asks = _asked(queries, query, plain)
-    stood = settled(steps_at(_small(steps.select("first", "second", "gap").distinct())))
+    stood = settled(steps_at(small(steps.select("first", "second", "gap").distinct())))
     several = settled(_phrase_hits(stood, steps, key))
     single = phrases.where(F.size("terms") == 1).select("pid", F.get("terms", F.lit(0))["term"].alias("term"))
-    one = settled(terms_in(_small(single.select("term"))).join(_small(single), "term").select("pid", key, "weight"))
+    one = settled(terms_in(small(single.select("term"))).join(small(single), "term").select("pid", key, "weight"))
     # an alternative begins with its rarest phrase; what else it asks is looked up where that stands
     often = several.groupBy("pid").agg(F.count("*").alias("_n"))
     wide = parts.where("NOT negated").join(steps.select("pid").distinct(), "pid")
@@ -125,7 +125,7 @@ def _answers(steps_at: Callable[[DataFrame], DataFrame], terms_in: Callable[[Dat
     begun = settled(best.unionByName(bare.join(counts, "pid", "left").groupBy("aid").agg(F.min_by("pid", F.struct(F.coalesce("_n", F.lit(0)), "pid")).alias("_lead"))))
     held = several.unionByName(one)
     lead = begun.join(parts, "aid").where("pid = _lead").select("aid", "pid", "times")
-    leads = held.join(_small(lead), "pid")
+    leads = held.join(small(lead), "pid")
     leads = settled(leads.select("aid", key, "pid", (F.col("times") * F.log1p("weight")).alias("score")))
     rest = parts.join(begun, "aid").where("pid <> _lead OR negated").select("aid", "pid", "negated", "times")
     asked = leads.select("aid", key).join(rest, "aid")
@@ -171,7 +171,7 @@ def search_texts(rows: DataFrame, queries: DataFrame, key: str, fields: dict[str
     asked = parsed(queries, query, plain).select("term").distinct()
     each_word = said.select(F.explode("words").alias("word")).distinct()
     terms = each_word.withColumn("term", F.col("word")) if plain else each_word.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
-    known = _small(settled(terms.join(asked, "term", "left_semi").select("word", "term")))
+    known = small(settled(terms.join(asked, "term", "left_semi").select("word", "term")))
 
     def steps_at(steps: DataFrame) -> DataFrame:
         gaps = sorted(r.gap for r in steps.select("gap").distinct().collect())  # no more than a question has words
@@ -183,7 +183,7 @@ def search_texts(rows: DataFrame, queries: DataFrame, key: str, fields: dict[str
         return pair.join(steps, ["first", "second", "gap"]).select("first", "second", "gap", key, "field", "weight", "pos")
 
     def terms_in(terms: DataFrame) -> DataFrame:
-        of = _small(known.join(terms, "term", "left_semi"))
+        of = small(known.join(terms, "term", "left_semi"))
         uses = said.select(key, "weight", F.explode("words").alias("word")).join(of, "word").groupBy("term", key, "weight").agg(F.count("*").alias("_uses"))
         return uses.groupBy("term", key).agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight"))
 

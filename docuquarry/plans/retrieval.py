@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 from docuquarry.functions import vectors
 from docuquarry.operators.folds import fold
+from docuquarry.operators.steps import settled
 
 #: Fixed values of the ranking: fusion constant, and factors of neighbours and of graph hits.
 RRF_K, NEIGHBOUR_FACTOR, GRAPH_FACTOR = 60, 0.5, 0.4
 #: Rows of a block in which many queries meet many rows, and scores of a block that are held at once.
 BLOCK_ROWS, STRIP_SCORES = 4_096, 262_144
+#: Counts of blocks are broadcast for at most so many values that rows and queries share.
+MOST_VALUES = 400_000
 
 
 def knn(rows: DataFrame, query: list[float], k: int, key: str, vector: str = "embedding", floor: float | None = None) -> DataFrame:
@@ -59,33 +62,38 @@ def best_of_block(names: np.ndarray, asked: np.ndarray, ids: np.ndarray, held: n
     return tuple(np.concatenate(c) for c in zip(*out, strict=True)) if out else (names[:0], ids[:0], np.zeros(0))
 
 
-def knn_of(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding") -> DataFrame:
+def knn_of(rows: DataFrame, queries: DataFrame, k: int, key: str, vector: str = "embedding", within: str | None = None, floor: float | None = None) -> DataFrame:
     """(query_id, key, similarity, rank): the k rows nearest by cosine to each of queries (query_id, vector), never the row of its own id, ties by key.
 
-    Queries are packed into blocks and rows dealt into parts, both of about BLOCK_ROWS; every block meets
-    every part by an equality join on the part's number, and a part returns k rows a query.
+    within names a column of both: a query, which may stand in several rows, meets only rows of its values. floor is
+    the least similarity. Queries and rows meet in blocks of about BLOCK_ROWS each, by an equality join on their
+    numbers, and a block returns k rows a query. Rows without a vector are near to nothing.
     """
-    n, m = (max(1, -(-df.count() // BLOCK_ROWS)) for df in (rows, queries))
-    asked = queries.select("query_id", F.col(vector).alias("_q")).withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(m)))
-    packed = asked.groupBy("_b").agg(F.collect_list(F.struct("query_id", "_q")).alias("_qs"))
-    meets = packed.select("_b", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("_p"), "_qs")
-    dealt = rows.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("_p"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias("_b"))
-
-    def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):  # one block and one part, each bounded
-            ids = right[key].to_numpy()
-            x = np.stack(right[vector].to_numpy()).astype(np.float64)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            for qs in left["_qs"]:
-                names = np.array([r["query_id"] for r in qs])
-                q = np.stack([np.asarray(r["_q"], np.float64) for r in qs])
-                found = best_of_block(names, q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300), ids, x, k)
-                out.append(pd.DataFrame(dict(zip(("query_id", key, "similarity"), found, strict=True))))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], key: [], "similarity": []})
-
-    kinds = dict(rows.dtypes)
-    found = meets.groupBy("_p", "_b").cogroup(dealt.groupBy("_p", "_b")).applyInPandas(near, f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {kinds[key]}, similarity double")
+    kind = {} if within is None else {"_w": F.col(within)}
+    held = rows.where(F.col(vector).isNotNull()).select(key, vector, *[c.alias(n) for n, c in kind.items()])
+    asked = queries.where(F.col(vector).isNotNull()).select("query_id", F.col(vector).alias("_q"), *[c.alias(n) for n, c in kind.items()])
+    sized = [df.groupBy(*kind).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(n)) for df, n in ((held, "_parts"), (asked, "_blocks"))]
+    # what only one side has meets nothing, and without queries or rows nothing is dealt
+    met = settled((sized[0].join(sized[1], "_w") if kind else sized[0].crossJoin(sized[1])).where("_parts > 0 AND _blocks > 0"))
+    met = F.broadcast(met) if met.count() <= MOST_VALUES else met
+
+    def dealt(df: DataFrame, own: str, name: str, number: str, others: str, other: str) -> DataFrame:
+        """df in blocks by its own number, each as often as the other side has blocks."""
+        both = df.join(met, "_w") if kind else df.crossJoin(met)
+        return both.withColumn(number, F.pmod(F.xxhash64(own), F.col(name)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(others) - 1))).drop(name, others)
+
+    left, right = dealt(asked, "query_id", "_blocks", "_b", "_parts", "_p"), dealt(held, key, "_parts", "_p", "_blocks", "_b")
+
+    def near(questions: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        if not len(questions) or not len(some):
+            return pd.DataFrame({"query_id": [], key: [], "similarity": []})
+        x, q = (np.stack(v.to_numpy()).astype(np.float64) for v in (some[vector], questions["_q"]))
+        x, q = (v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300) for v in (x, q))
+        found = best_of_block(questions["query_id"].to_numpy(), q, some[key].to_numpy(), x, k, floor)
+        return pd.DataFrame(dict(zip(("query_id", key, "similarity"), found, strict=True)))
+
+    kinds, by = dict(rows.dtypes), [*kind, "_p", "_b"]
+    found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(near, f"query_id {dict(queries.dtypes)['query_id']}, `{key}` {kinds[key]}, similarity double")
     w = Window.partitionBy("query_id").orderBy(F.round("similarity", 9).desc(), key)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -125,3 +125,18 @@ def test_phrases_of_many_steps_and_repeated_clauses(spark):
     want = [(1, 0, 0.693147), (1, 1, 0.693147), (2, 0, 0.693147), (2, 1, 0.693147), (2, 3, 1.098612), (3, 0, 1.386294), (3, 1, 2.197225), (3, 2, 1.386294), (4, 3, 2.197225)]
     assert got(positional.search_texts(texts, asked, "id", {"text": 1.0})) == want
     assert got(positional.search(positional.index(texts, "id", {"text": 1.0}), asked, "id")) == want
+
+
+def test_questions_that_are_all_narrowed_leave_no_empty_block(spark):
+    """Far more chunks than a block holds, and no question that sees all of them: the wide leg has rows and no questions."""
+    rows = spark.range(9_000).select(F.when(F.col("id") < 3, "document_summary").otherwise("chunk").alias("level"), F.col("id").alias("ref_id"), (F.col("id") % 3).alias("contract_id"), F.array(F.cos(F.col("id") / 3_000), F.sin(F.col("id") / 3_000)).cast("array<float>").alias("embedding"))
+    asked = rows.where("ref_id IN (300, 6000)").select(F.col("ref_id").alias("query_id"), "embedding")
+    assert descent.retrieval.knn_of(rows, asked.where("false"), 3, "ref_id").count() == 0
+    assert descent.retrieval.knn_of(rows.where("false"), asked, 3, "ref_id").count() == 0
+    hits = asked.select("query_id", F.explode(F.expr("array(7L, 9L, 11L)")).alias("ref_id"), F.lit(1.0).alias("score")).withColumn("contract_id", F.col("ref_id") % 3)
+    got = descent.descend(rows, asked, [descent.Level("document_summary", 1, -1.0), descent.Level("chunk", 4, -1.0)], hits)
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in text and "FlatMapCoGroups" not in text  # levels are written, no plan carries those before
+    found = {q: [r.ref_id for r in sorted(got.where(f"query_id = {q} AND level = 'chunk'").collect(), key=lambda r: r["rank"])] for q in (300, 6_000)}
+    # the nearest of the contract of the nearest summary, 2, and what its words found there
+    assert found == {300: [11, 299, 302, 296], 6_000: [11, 5_999, 6_002, 5_996]}
