@@ -8,7 +8,7 @@ alone: steps (two terms at a distance) to phrases, phrases to alternatives, thos
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,6 +19,10 @@ from docuquarry.plans.fulltext import STOP_WORDS, stem, words
 
 #: A side of a join is broadcast only when it was counted and has at most so many narrow rows.
 BROADCAST_ROWS = 400_000
+#: One row of so many, by a hash of its key, tells which scores an alternative's first rows have at least.
+SHARE = 16
+#: Elements of an array that are tested one by one.
+UNROLLED = 4
 #: A quoted phrase or a run without white space, with or without a minus before it; a quote that isn't closed runs to the end.
 _PART = r'(-?"[^"]*"?|[^\s"]+)'
 
@@ -108,33 +112,54 @@ def _phrase_hits(stood: DataFrame, steps: DataFrame, key: str) -> DataFrame:
     return uses.groupBy("pid", key).agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight"))
 
 
-def _answers(steps_at: Callable[[DataFrame], DataFrame], terms_in: Callable[[DataFrame], DataFrame], queries: DataFrame, key: str, query: str, limit: int | None, plain: bool) -> DataFrame:
-    """search, given what finds steps (first, second, gap) -> (first, second, gap, key, field, weight, pos) and single terms (term) -> (term, key, weight)."""
+def _met(rows: DataFrame, few: DataFrame, on: str | list[str]) -> DataFrame:
+    """rows joined to few, which is broadcast in pieces of at most BROADCAST_ROWS: rows stay where they are."""
+    pieces = max(1, -(-few.count() // BROADCAST_ROWS))
+    at = F.pmod(F.xxhash64(*([on] if isinstance(on, str) else on)), F.lit(pieces))
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(few if pieces == 1 else few.where(at == i)), on) for i in range(pieces)])
+
+
+def _all(array: str, most: int, met: Callable[[Column], Column]) -> Column:
+    """Whether all of an array's elements, most at most, are met; the first few by plain expressions, as a lambda keeps a join above long rows from being compiled."""
+    first = [(F.size(array) <= i) | met(F.get(array, F.lit(i))) for i in range(min(most, UNROLLED))]
+    rest = [F.forall(F.slice(array, F.lit(UNROLLED + 1), F.size(array)), met)] if most > UNROLLED else []
+    return reduce(lambda a, b: a & b, [*first, *rest], F.lit(True))
+
+
+def _whole(held: DataFrame, kinds: DataFrame, key: str, most: int) -> DataFrame:
+    """Rows (key, held) in which alternatives (aid, pid, times, rest) are met, with score. They begin at their rarest phrase; the rest, most at most, is looked up in the row's own map."""
+    weight = lambda x: F.try_element_at("held", x["pid"])
+    part = lambda x: F.when(~x["negated"], x["times"] * F.log1p(weight(x))).otherwise(0.0)
+    at = _met(held.select(key, "held", F.explode("held").alias("pid", "weight")), kinds, "pid").where(_all("rest", most, lambda x: x["negated"] == weight(x).isNull()))
+    parts = [F.when(F.size("rest") > i, part(F.get("rest", F.lit(i)))).otherwise(0.0) for i in range(min(most, UNROLLED))]
+    if most > UNROLLED:
+        parts.append(F.aggregate(F.slice("rest", F.lit(UNROLLED + 1), F.size("rest")), F.lit(0.0), lambda s, x: s + part(x)))
+    return at.withColumn("score", F.round(reduce(lambda a, b: a + b, parts, F.col("times") * F.log1p("weight")), 6))
+
+
+def _answers(hits_of: Callable[[DataFrame, DataFrame], DataFrame], queries: DataFrame, key: str, query: str, limit: int | None, plain: bool) -> DataFrame:
+    """search, given what finds phrases (pid, terms) of steps (pid, first, second, gap, offset) -> (pid, key, weight), once each.
+
+    What alternatives meet grows with questions times rows, so none of it is written: a row's phrases are one
+    map, and of an alternative's rows only those pass that are no worse than its limit-th among a share of the rows.
+    """
     phrases, steps, parts, asks = _asked(queries, query, plain)
-    stood = settled(steps_at(small(steps.select("first", "second", "gap").distinct())))
-    several = settled(_phrase_hits(stood, steps, key))
-    single = phrases.where(F.size("terms") == 1).select("pid", F.get("terms", F.lit(0))["term"].alias("term"))
-    one = settled(terms_in(small(single.select("term"))).join(small(single), "term").select("pid", key, "weight"))
-    # an alternative begins with its rarest phrase; what else it asks is looked up where that stands
-    often = several.groupBy("pid").agg(F.count("*").alias("_n"))
-    wide = parts.where("NOT negated").join(steps.select("pid").distinct(), "pid")
-    best = wide.join(often, "pid", "left").groupBy("aid").agg(F.min_by("pid", F.struct(F.coalesce("_n", F.lit(0)), "pid")).alias("_lead"))
-    # an alternative of single words begins with the rarest of them
-    bare = parts.where("NOT negated").join(best.select("aid"), "aid", "left_anti")
-    counts = one.groupBy("pid").agg(F.count("*").alias("_n"))
-    begun = settled(best.unionByName(bare.join(counts, "pid", "left").groupBy("aid").agg(F.min_by("pid", F.struct(F.coalesce("_n", F.lit(0)), "pid")).alias("_lead"))))
-    held = several.unionByName(one)
-    lead = begun.join(parts, "aid").where("pid = _lead").select("aid", "pid", "times")
-    leads = held.join(small(lead), "pid")
-    leads = settled(leads.select("aid", key, "pid", (F.col("times") * F.log1p("weight")).alias("score")))
-    rest = parts.join(begun, "aid").where("pid <> _lead OR negated").select("aid", "pid", "negated", "times")
-    asked = leads.select("aid", key).join(rest, "aid")
-    looked = asked.alias("w").join(held.withColumnRenamed(key, "_key").alias("p"), (F.col("w.pid") == F.col("p.pid")) & F.col(f"w.{key}").eqNullSafe(F.col("p._key"))).select("w.aid", f"w.{key}", "negated", (F.col("times") * F.log1p("weight")).alias("score"))
-    need = parts.groupBy("aid").agg(F.count_if(~F.col("negated")).alias("_wanted"))
-    every = leads.select("aid", key, F.lit(False).alias("negated"), "score").unionByName(looked)
-    whole = every.groupBy("aid", key).agg(F.count_if(~F.col("negated")).alias("_have"), F.count_if("negated").alias("_barred"), F.round(F.sum(F.when(~F.col("negated"), F.col("score"))), 6).alias("score")).join(need, "aid").where("_barred = 0 AND _have = _wanted")
-    if limit is not None:  # what isn't among an alternative's first isn't among its question's
-        whole = whole.withColumn("_r", F.row_number().over(Window.partitionBy("aid").orderBy(F.desc("score"), key))).where(F.col("_r") <= limit)
+    held = settled(hits_of(phrases, steps).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("pid", "weight"))).alias("held")))
+    often = held.select(F.explode(F.map_keys("held")).alias("pid")).groupBy("pid").agg(F.count("*").alias("_n"))
+    # what has to stand comes first, and of that the rarest; where one part stands nowhere, nothing is found
+    each = parts.join(often, "pid", "left").groupBy("aid").agg(F.sort_array(F.collect_list(F.struct("negated", F.coalesce("_n", F.lit(0)).alias("_n"), "pid", "times"))).alias("_e")).where("_e[0]._n > 0")
+    kinds = settled(each.select("aid", F.col("_e")[0]["pid"].alias("pid"), F.col("_e")[0]["times"].alias("times"), F.slice("_e", F.lit(2), F.size("_e")).alias("rest")))
+    most = kinds.agg(F.max(F.size("rest"))).first()[0] or 0
+    if limit is None:
+        whole = _whole(held, kinds, key, most)
+    else:
+        first = Window.partitionBy("aid").orderBy(F.desc("score"), key)
+        some = _whole(held.where(F.pmod(F.xxhash64(key), F.lit(SHARE)) == 0), kinds, key, most).select("aid", key, "score")
+        last = some.withColumn("_r", F.row_number().over(first)).where(F.col("_r") == limit).select("aid", F.col("score").alias("_least"), F.col(key).alias("_last"))
+        whole = _whole(held, settled(kinds.join(last, "aid", "left")), key, most)
+        whole = whole.where(F.col("_least").isNull() | (F.col("score") > F.col("_least")) | ((F.col("score") == F.col("_least")) & F.coalesce(F.col(key) <= F.col("_last"), F.col(key).isNull())))
+        # what isn't among an alternative's first isn't among its question's
+        whole = whole.select("aid", key, "score").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= limit)
     found = whole.select("aid", key, "score").join(asks, "aid").groupBy("query_id", key).agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), key)))
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
@@ -159,32 +184,58 @@ def search(postings: DataFrame, queries: DataFrame, key: str, query: str = "quer
     def terms_in(terms: DataFrame) -> DataFrame:
         return postings.join(terms, "term", "left_semi").groupBy("term", key).agg(F.sum(F.col("weight") * F.size("positions")).alias("weight"))
 
-    return _answers(steps_at, terms_in, queries, key, query, limit, plain)
+    def hits_of(phrases: DataFrame, steps: DataFrame) -> DataFrame:
+        several = _phrase_hits(settled(steps_at(small(steps.select("first", "second", "gap").distinct()))), steps, key)
+        single = phrases.where(F.size("terms") == 1).select("pid", F.get("terms", F.lit(0))["term"].alias("term"))
+        return several.unionByName(terms_in(small(single.select("term"))).join(small(single), "term").select("pid", key, "weight"))
 
+    return _answers(hits_of, queries, key, query, limit, plain)
 
-def search_texts(rows: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query: str = "query", limit: int | None = 25, plain: bool = False) -> DataFrame:
-    """search over rows that have no written index: the steps and words asked for are found on the way, and nothing else is shuffled.
 
-    Each different word is stemmed once.
-    """
-    said = reduce(DataFrame.unionByName, [rows.select(key, F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), words(F.col(f)).alias("words")) for f, w in fields.items()])
-    asked = parsed(queries, query, plain).select("term").distinct()
-    each_word = said.select(F.explode("words").alias("word")).distinct()
-    terms = each_word.withColumn("term", F.col("word")) if plain else each_word.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
-    known = small(settled(terms.join(asked, "term", "left_semi").select("word", "term")))
+def _weighted(weight: float, pid: Column) -> Column:
+    return F.struct(pid.alias("pid"), F.lit(weight).alias("weight"))
 
-    def steps_at(steps: DataFrame) -> DataFrame:
-        gaps = sorted(r.gap for r in steps.select("gap").distinct().collect())  # no more than a question has words
-        behind = [F.slice("words", g + 1, F.size("words")).alias(f"_b{g}") for g in gaps]
-        each = said.select(key, "field", "weight", F.posexplode(F.arrays_zip("words", *behind)).alias("pos", "_x")).select(key, "field", "weight", "pos", "_x.*").withColumnRenamed("words", "word")
-        ends = F.array(*[F.struct(F.lit(g).cast("int").alias("gap"), F.col(f"_b{g}").alias("_b")) for g in gaps] or [F.struct(F.lit(0).alias("gap"), F.lit(None).cast("string").alias("_b"))])
-        first = each.join(known.withColumnRenamed("term", "first"), "word").withColumn("_ends", ends)
-        pair = first.select(key, "field", "weight", "pos", "first", F.inline("_ends")).where("_b IS NOT NULL").join(known.select(F.col("word").alias("_b"), F.col("term").alias("second")), "_b")
-        return pair.join(steps, ["first", "second", "gap"]).select("first", "second", "gap", key, "field", "weight", "pos")
 
-    def terms_in(terms: DataFrame) -> DataFrame:
-        of = small(known.join(terms, "term", "left_semi"))
-        uses = said.select(key, "weight", F.explode("words").alias("word")).join(of, "word").groupBy("term", key, "weight").agg(F.count("*").alias("_uses"))
-        return uses.groupBy("term", key).agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight"))
+def search_texts(rows: DataFrame, queries: DataFrame, key: str, fields: dict[str, float], query: str = "query", limit: int | None = 25, plain: bool = False) -> DataFrame:
+    """search over rows that have no written index: phrases are found where a text is read, and what stands in a row is all that is shuffled.
 
-    return _answers(steps_at, terms_in, queries, key, query, limit, plain)
+    Each different word is stemmed once. A phrase is looked up by the step of two terms whose rarer one is rarest; its
+    other words are compared in place. A single term is a step from a word to itself.
+    """
+    said = reduce(DataFrame.unionByName, [rows.select(key, F.lit(float(w)).alias("weight"), words(F.col(f)).alias("words")) for f, w in fields.items()])
+    asked = small(settled(parsed(queries, query, plain).select("term").distinct()))
+    each_word = said.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("_n"))
+    terms = each_word.withColumn("term", F.col("word")) if plain else each_word.where(~F.col("word").isin(STOP_WORDS)).withColumn("term", stem(F.col("word")))
+    known = settled(terms.join(asked, "term", "left_semi").select("word", "term", "_n"))
+
+    def leads_of(phrases: DataFrame, steps: DataFrame) -> DataFrame:
+        """(first, second, gap, pid, offset, others): the step that finds a phrase, and its terms beside that."""
+        often = known.groupBy("term").agg(F.sum("_n").alias("_n"))
+        one = F.get("terms", F.lit(0))["term"]
+        single = phrases.where(F.size("terms") == 1).select("pid", one.alias("first"), one.alias("second"), F.lit(0).alias("gap"), F.lit(0).alias("offset"))
+        counted = steps.unionByName(single).join(often.select(F.col("term").alias("first"), F.col("_n").alias("_a")), "first").join(often.select(F.col("term").alias("second"), F.col("_n").alias("_b")), "second")
+        rare = counted.groupBy("pid").agg(F.min_by(F.struct("first", "second", "gap", "offset"), F.struct(F.least("_a", "_b"), F.greatest("_a", "_b"), "offset")).alias("_s")).select("pid", "_s.*")
+        beside = F.filter("terms", lambda x: (x["shift"] != F.col("offset")) & (x["shift"] != F.col("offset") + F.col("gap")))
+        return settled(rare.join(phrases, "pid").select("first", "second", "gap", "pid", "offset", beside.alias("others")))
+
+    def hits_of(phrases: DataFrame, steps: DataFrame) -> DataFrame:
+        leads = leads_of(phrases, steps)
+        begins = known.join(leads.select(F.col("first").alias("term"), "gap").distinct(), "term").select("word", F.col("term").alias("first"), "gap")
+        each = said.select(key, "weight", "words", F.posexplode("words").alias("pos", "word"))
+        pair = _met(each, begins, "word").withColumn("_b", F.get("words", F.col("pos") + F.col("gap"))).where("_b IS NOT NULL")
+        at = _met(_met(pair, known.select(F.col("word").alias("_b"), F.col("term").alias("second")), "_b"), leads, ["first", "second", "gap"])
+
+        def there(x: Column) -> Column:
+            """Whether a term stands at its place; a stem begins as its word does."""
+            word = F.get("words", F.col("pos") - F.col("offset") + x["shift"])
+            return word == x["term"] if plain else (F.substring(word, 1, 1) == F.substring(x["term"], 1, 1)) & ~word.isin(STOP_WORDS) & (stem(word) == x["term"])
+
+        at = at.where(_all("others", leads.agg(F.max(F.size("others"))).first()[0] or 0, there))
+        # dealt by row alone, so that what is grouped by row and phrase stays where it is
+        weights = sorted({float(w) for w in fields.values()})
+        listed = at.groupBy(key).agg(*[F.collect_list(F.when(F.col("weight") == w, F.col("pid"))).alias(f"_{i}") for i, w in enumerate(weights)])
+        dealt = listed.select(key, F.inline(F.concat(*[F.transform(f"_{i}", partial(_weighted, w)) for i, w in enumerate(weights)])))
+        uses = dealt.groupBy(key, "pid", "weight").agg(F.count("*").alias("_uses"))
+        return uses.groupBy(key, "pid").agg(F.sum(F.col("weight") * F.col("_uses")).alias("weight")).select("pid", key, "weight")
+
+    return _answers(hits_of, queries, key, query, limit, plain)

@@ -140,3 +140,31 @@ def test_questions_that_are_all_narrowed_leave_no_empty_block(spark):
     found = {q: [r.ref_id for r in sorted(got.where(f"query_id = {q} AND level = 'chunk'").collect(), key=lambda r: r["rank"])] for q in (300, 6_000)}
     # the nearest of the contract of the nearest summary, 2, and what its words found there
     assert found == {300: [11, 299, 302, 296], 6_000: [11, 5_999, 6_002, 5_996]}
+
+
+@pytest.mark.parametrize("share,pieces", [(2, 400_000), (1_000, 50)])
+def test_search_writes_no_row_for_each_question_and_text_that_meet(spark, monkeypatch, share, pieces):
+    """Every question meets every text: what is written between the steps stays near the texts' size, and the first of each are those of a full evaluation."""
+    monkeypatch.setattr(positional, "SHARE", share, raising=False)
+    monkeypatch.setattr(positional, "BROADCAST_ROWS", pieces)
+    written = []
+    monkeypatch.setattr(positional, "settled", lambda df, held=positional.settled: (out := held(df), written.append(out.count()))[0])
+    n, words = 60, ["alpha", "beta", "gamma", "delta", "omega"]
+    said = {i: " ".join([*words, *(["alpha beta"] * (i * 7 % 5)), *(["gammas"] * (i * 3 % 4)), *([f"own{i}"] if i % 3 else [])]) for i in range(n)}
+    rows = spark.createDataFrame([*said.items(), (None, "alpha beta gamma")], "id int, text string")
+    asked = spark.createDataFrame([(q, f'"alpha beta" gamma -own{q} or "beta gamma delta omega" alpha alpha -"own{q}"') for q in range(n)], "query_id int, query string")
+    got = {(r.query_id, r["rank"]): (r.id, r.score) for r in positional.search_texts(rows, asked, "id", {"text": 0.4}, limit=5).collect()}
+    assert max(written) <= 8 * n
+    want = {}
+    for q in range(n):
+        score = {None: round(2 * np.log(1.4), 6)} if q >= 0 else {}
+        for i, text in said.items():
+            if i == q and q % 3:
+                continue
+            w = text.split()
+            pairs = sum(w[j : j + 2] == ["alpha", "beta"] for j in range(len(w)))
+            gammas, alphas = sum(x in ("gamma", "gammas") for x in w), w.count("alpha")
+            score[i] = round(max(np.log1p(0.4 * pairs) + np.log1p(0.4 * gammas), np.log1p(0.4) + 2 * np.log1p(0.4 * alphas)), 6)
+        best = sorted(score.items(), key=lambda x: (-x[1], -1 if x[0] is None else x[0]))[:5]
+        want |= {(q, r + 1): x for r, x in enumerate(best)}
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 2e-6 for k in want)
